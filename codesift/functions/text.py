@@ -102,8 +102,5 @@ def percent_text(rate: Column) -> Column:
 
 def strip_fences(text: Column) -> Column:
     """Remove a leading and trailing code fence from model text."""
-    body = trim_all(text)
-    body = F.when(body.startswith("```json"), F.substring(body, F.lit(8), F.length(body))).otherwise(body)
-    body = F.when(body.startswith("```"), F.substring(body, F.lit(4), F.length(body))).otherwise(body)
-    body = F.when(body.endswith("```"), F.substring(body, F.lit(1), F.length(body) - 3)).otherwise(body)
-    return trim_all(body)
+    opened = F.regexp_replace(trim_all(text), r"^(?:```json)?(?:```)?", "")
+    return trim_all(F.regexp_replace(opened, r"```\z", ""))

@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
+from ..functions.expr import let, quoted
 from ..rules import BY_KEY, CATALOGUE, PENALTY, Rule
 
 BUCKETS = ("security", "performance", "style")
@@ -23,29 +24,25 @@ def catalogue(spark: SparkSession, extra: Iterable[Rule] = ()) -> DataFrame:
               " message string, suggestion string")
 
 
-def _catalogue_map(extra: Iterable[Rule] = ()) -> Column:
-    pairs = []
+def _catalogue_map(extra: Iterable[Rule] = ()) -> str:
+    """The catalogue as a map literal; the optimizer folds it into one constant."""
+    rows = []
     for r in [*CATALOGUE, *extra]:
-        category = F.lit(r.category) if r.category else F.lit(None).cast("string")
-        pairs += [F.lit(r.key), F.struct(
-            F.lit(r.name).alias("rule"), F.lit(r.severity).alias("severity"), category.alias("category"),
-            F.lit(r.bucket).alias("bucket"), F.lit(r.penalty).alias("penalty"),
-            F.lit(r.message).alias("message"), F.lit(r.advice).alias("suggestion"))]
-    return F.create_map(*pairs)
+        category = quoted(r.category) if r.category else "cast(null as string)"
+        rows.append(f"'{r.key}', named_struct('rule', {quoted(r.name)}, 'severity', '{r.severity}', "
+                    f"'category', {category}, 'bucket', '{r.bucket}', 'penalty', {r.penalty}D, "
+                    f"'message', {quoted(r.message)}, 'suggestion', {quoted(r.advice)})")
+    return f"map({', '.join(rows)})"
 
 
 def with_issues(scanned: DataFrame, extra: Iterable[Rule] = ()) -> DataFrame:
     """Replace hits by full issues, still inside the row of the file."""
-    looked_up = F.transform("hits", lambda h: F.struct(
-        h["line"].alias("line"), h["detail"].alias("detail"),
-        F.element_at(_catalogue_map(extra), h["key"]).alias("c")))
-    issues = F.transform(looked_up, lambda x: F.struct(
-        x["line"].alias("line"),
-        F.replace(x["c"]["message"], F.lit("{}"), F.coalesce(x["detail"], F.lit(""))).alias("message"),
-        x["c"]["severity"].alias("severity"), x["c"]["rule"].alias("rule"),
-        x["c"]["suggestion"].alias("suggestion"), x["c"]["category"].alias("category"),
-        x["c"]["bucket"].alias("bucket"), x["c"]["penalty"].alias("penalty")))
-    return scanned.withColumn("issues", issues).drop("hits")
+    looked_up = let(f"element_at({_catalogue_map(extra)}, h.key)", "c", (
+        "named_struct('line', h.line, 'message', replace(c.message, '{}', coalesce(h.detail, '')), "
+        "'severity', c.severity, 'rule', c.rule, 'suggestion', c.suggestion, 'category', c.category, "
+        "'bucket', c.bucket, 'penalty', c.penalty)"))
+    keep = [f"`{c}`" for c in scanned.columns if c != "hits"]
+    return scanned.selectExpr(*keep, f"transform(hits, h -> {looked_up}) AS issues")
 
 
 def issues_long(scanned_findings: DataFrame, extra: Iterable[Rule] = ()) -> DataFrame:

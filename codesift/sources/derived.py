@@ -4,21 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-# Our own code snippets; ~ stands for a line end and @ for a single quote.
-SNIPPETS: list[tuple[str, str]] = [
-    (".js", "function run(n) {~  exec(@ls @ + n);~}"),
-    (".js", "let s = @@;~for (const r of rows) {~  s += @x@;~}~s += @y@;"),
-    (".js", "if (a == b) { go(); }~if (a === b) { go(); }"),
-    (".js", "const cfg = { apiKey: @abcd1234efgh@ };~const port = @short@;"),
-    (".js", "async function f() {~  items.forEach(async x => g(x));~  while (true) {~    await g(1);~  }~}"),
-    (".js", "async function f() {~  p = fetch(u);~  p = fetch(v);~  return await p;~}"),
-    (".py", "import os~os.system(@ls@)~cur.execute(@select 1 where a = %s@, (v,))~password = @hunter22@"),
-    (".java", "for (int i = 0; i < 9; i++) {~  new Thread(job).start();~}~catch (E e) {~}"),
-    (".java", "Connection c = open();~c.run();~MessageDigest.getInstance(\"MD5\");"),
-    (".ts", "app.on(@data@, (m) => {~  handle(m);~});"),
-    (".go", "let isRefreshing = false;~if (!isRefreshing) { isRefreshing = true; refresh(); }"),
-    (".txt", "plain text without any code"),
-]
+from .snippets import ALL, BASIC
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,16 +15,24 @@ def _pick(values: list[str], key: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (key % len(values) + 1).cast("int"))
 
 
-def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One file per document: its text followed by a snippet chosen by its number."""
-    doc = table(spark, sf_dir, "documents")
+def with_snippet(documents: DataFrame, snippets: list[tuple[str, str, str]]) -> DataFrame:
+    """Files out of documents; a projection, so it works on a stream as well."""
     number = F.col("doc_id")
-    bodies = [b.replace("~", "\n").replace("@", "'") for _, b in SNIPPETS]
-    return doc.select(
+    bodies = [body.replace("~", "\n").replace("@", "'") for _, body, _ in snippets]
+    return documents.select(
         number.alias("file_id"),
-        F.concat(F.lit("f"), number.cast("string"), _pick([e for e, _ in SNIPPETS], number)).alias("file_name"),
-        F.concat("text", F.lit("\n"), _pick(bodies, number)).alias("content"),
-    )
+        F.concat(F.lit("f"), number.cast("string"), _pick([e for e, _, _ in snippets], number)).alias("file_name"),
+        F.concat("text", F.lit("\n"), _pick(bodies, number)).alias("content"))
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file per document: its text followed by a snippet chosen by its number."""
+    return with_snippet(table(spark, sf_dir, "documents"), BASIC)
+
+
+def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Like ``files`` with the long snippet list, so that every rule has findings."""
+    return with_snippet(table(spark, sf_dir, "documents"), ALL)
 
 
 def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +50,10 @@ STATUS_BY_EVENT = {"signup": "queued", "view": "processing", "purchase": "comple
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    return jobs_of(table(spark, sf_dir, "events"))
+
+
+def jobs_of(e: DataFrame) -> DataFrame:
     n = F.col("event_id")
     status = F.lit("dlq")
     for event, value in STATUS_BY_EVENT.items():
@@ -82,9 +79,12 @@ def review_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dlq_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").filter(F.col("event_type").isin("error", "click"))
+    return dlq_of(table(spark, sf_dir, "events"))
+
+
+def dlq_of(e: DataFrame) -> DataFrame:
     n = F.col("event_id")
-    return e.select(
+    return e.filter(F.col("event_type").isin("error", "click")).select(
         n.alias("id"), F.when(n % 5 == 0, -1 - n).otherwise(n - n % 4).alias("job_id"),
         F.concat(F.lit("m"), (n % 997).cast("string")).alias("message_id"),
         (3 + n % 2).cast("int").alias("receive_count"), F.col("ts").alias("moved_to_dlq_at"),
@@ -93,7 +93,10 @@ def dlq_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queue deliveries: up to four per message, three in five of them failing."""
-    e = table(spark, sf_dir, "events")
+    return deliveries_of(table(spark, sf_dir, "events"))
+
+
+def deliveries_of(e: DataFrame) -> DataFrame:
     n = F.col("event_id")
     return e.select(
         n.alias("delivery_id"), (n - n % 4).alias("job_id"),
