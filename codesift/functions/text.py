@@ -92,8 +92,18 @@ def round_half_up(value: Column) -> Column:
 
 
 def seconds_text(ms: Column) -> Column:
-    """Milliseconds as seconds with one decimal, for example 1.5s."""
-    return F.format_string("%.1fs", ms / F.lit(1000.0))
+    """Whole milliseconds as seconds with one decimal, for example 1.5s.
+
+    At five hundredths the binary value of the quotient decides, as it does in
+    ECMAScript: ``error`` is that value times 1000 minus ``ms``, exactly.
+    """
+    q = ms / F.lit(1000.0)
+    high = q * F.lit(134217729.0) - (q * F.lit(134217729.0) - q)
+    product = q * F.lit(1000.0)
+    error = (product - ms) + ((high * 1000.0 - product) + (q - high) * 1000.0)
+    up = (ms % 100 > 50) | ((ms % 100 == 50) & (error >= 0))
+    tenths = F.floor(ms / 100) + F.when(up, 1).otherwise(0)
+    return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit("s"))
 
 
 def percent_text(rate: Column) -> Column:

@@ -242,7 +242,7 @@ class Scanner:
         repeated = let(words, "w", "array_distinct(array_compact(zip_with(w, slice(w, 2, size(w)), "
                                    "(a, b) -> if(a = b, a, null))))")
         found = (f"flatten(transform(_rows, r -> transform(regexp_extract_all(r.s, {declared}, 1), "
-                 f"(v, k) -> {hit('k + 1', 'r.n', 'v')})))")
+                 f"v -> {hit('1', 'r.n', 'v')})))")
         unused = let(found, "d", f"array_except(array_distinct(transform(d, h -> h.detail)), {repeated})")
         return let(unused, "u", f"if(size(u) = 0, {NO_HITS}, filter({found}, h -> array_contains(u, h.detail)))")
 

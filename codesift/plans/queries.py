@@ -246,7 +246,7 @@ def _(spark, sf):
 
 @query("j04_review_once_per_hash")
 def _(spark, sf):
-    h = hashed(spark, sf)
+    h = U.with_hash(D.submissions(spark, sf, D.code_files(spark, sf)))
     first = U.first_submissions(h)
     once = h.join(first.select("job_id"), "job_id", "left_semi").select("code_hash", "file_name", "content")
     results = store(C.scored(C.with_issues(S.scan(once))).select(
@@ -352,7 +352,7 @@ def _(spark, sf):
 def _(spark, sf):
     rows = S.prepare(D.code_files(spark, sf), in_loop=False)
     return rows.select("file_id", F.expr(
-        f"coalesce(get(filter(_rows, r -> r.s RLIKE {quoted(portable(r'\bfunction\b|=>'))}), 0).n, 0)").alias("line"))
+        f"coalesce(get(filter(_rows, r -> r.s RLIKE {quoted(portable(r'(?:^|\W)function|=>'))}), 0).n, 0)").alias("line"))
 
 
 # ---- frames and folds ---------------------------------------------------------
@@ -480,9 +480,9 @@ QUERIES["f03_split_lines"] = lambda spark, sf: D.code_files(spark, sf).select(
 QUERIES["f04_extension"] = _on_files(lambda: T.file_extension(_name_col()).alias("ext"))
 QUERIES["f05_language"] = _on_files(lambda: T.detect_language(_name_col(), _text()).alias("language"))
 QUERIES["f06_prompt_language"] = _on_files(lambda: T.prompt_language(_name_col()).alias("language"))
-QUERIES["f07_regex_test"] = _on_files(lambda: _text().rlike(portable(r"\bconst\s+\w+\s*=")).alias("found"))
+QUERIES["f07_regex_test"] = _on_files(lambda: _text().rlike(portable(r"(?:^|\W)const\s+\w+\s*=")).alias("found"))
 QUERIES["f08_dynamic_regex"] = _on_files(lambda: F.regexp_like(_text(), F.concat(
-    F.lit(r"\b"), F.regexp_extract("content", r"^(\w+)", 1), F.lit(r"\b.*\n"))).alias("again"))
+    F.lit(r"\W"), F.regexp_extract("content", r"^(\w+)", 1), F.lit(r"\W"))).alias("again"))
 QUERIES["f09_capture_group"] = _on_files(
     lambda: F.regexp_extract("content", portable(r"(?:const|let|var)\s+(\w+)"), 1).alias("name"))
 QUERIES["f10_all_matches"] = _on_files(lambda: F.array_join(F.regexp_extract_all(
@@ -499,7 +499,7 @@ QUERIES["f15_text_case"] = _on_files(
 QUERIES["f16_parse_int"] = _on_files(
     lambda: T.parse_int(F.substring("content", 1, 1), 50).alias("digit"), lambda: T.parse_int(F.lit("x"), 7).alias("fallback"))
 QUERIES["f17_number_format"] = _on_files(
-    lambda: T.seconds_text(F.col("file_id") * 100).alias("seconds"), lambda: T.percent_text(F.col("file_id") / 4).alias("percent"))
+    lambda: T.seconds_text(F.col("file_id") * 10).alias("seconds"), lambda: T.percent_text(F.col("file_id") / 4).alias("percent"))
 QUERIES["f18_round_half_up"] = _on_files(lambda: T.round_half_up(F.col("file_id") / 2).alias("rounded"))
 QUERIES["f21_strip_fences"] = lambda spark, sf: D.responses(spark, sf).select(
     "response_id", T.strip_fences(F.col("body")).alias("text"))
@@ -598,11 +598,8 @@ def _stream_events(spark, sf):
 
 @query("t02_idempotent_capture")
 def _(spark, sf):
-    n = F.col("event_id")
-    e = _stream_events(spark, sf).filter(F.col("event_type").isin("error", "click"))
-    kept = ST.capture_dead_letters(e.select(
-        n.alias("id"), F.concat(F.lit("m"), (n % 997).cast("string")).alias("message_id"), F.col("ts").alias("moved_to_dlq_at")))
-    return kept.groupBy("message_id").agg(F.count(F.lit(1)).alias("n"))
+    kept = ST.first_report(D.dlq_of(_stream_events(spark, sf)))
+    return kept.select("message_id", "id", "job_id", "receive_count")
 
 
 @query("t03_retry_routing")
@@ -751,7 +748,7 @@ def _(spark, sf):
     return S.findings(S.scan(D.code_files(spark, sf), keys)).select("file_id", "key", "line")
 
 
-USER_RULE = Rule("XX-01", "user/todo-marker", "low", "style", None, "A marker is left.", "Finish it.", line=(has(r"\b[Hh]andle\b"),))
+USER_RULE = Rule("XX-01", "user/todo-marker", "low", "style", None, "A marker is left.", "Finish it.", line=(has(r"(?:^|\W)[Hh]andle(?:\W|$)"),))
 
 
 @query("x03_user_rule")

@@ -77,7 +77,15 @@ depths AS (SELECT file_id, n, len(st) AS depth FROM walk WHERE n > 0)"""
 
 
 def base(*more: str, recursive: bool = False) -> str:
-    return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join([CODE_FILES, LANGS, LINES, *more]) + "\n"
+    return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join([SHARED, *more]) + "\n"
+
+
+SHARED = ",\n".join([CODE_FILES, LANGS, LINES])
+
+
+def inside(sql: str) -> str:
+    """A rule statement for use below a statement that already has the shared views."""
+    return sql.replace(SHARED + ",\n", "", 1).replace(f"WITH {SHARED}\n", "", 1)
 
 
 def rule_sql(key: str) -> str:
@@ -233,7 +241,7 @@ def all_findings_sql() -> str:
     """Every rule in one statement, with the catalogue columns."""
     parts = []
     for r in CATALOGUE:
-        sql = rule_sql(r.key)
+        sql = inside(rule_sql(r.key))
         category = lit(r.category) if r.category else "CAST(NULL AS VARCHAR)"
         parts.append(f"SELECT file_id, line, detail, '{r.key}' AS key, {r.stage} AS stage, {r.number} AS number, "
                      f"{lit(r.name)} AS rule, '{r.severity}' AS severity, {category} AS category, '{r.bucket}' AS bucket, "

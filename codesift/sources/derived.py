@@ -35,14 +35,15 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_snippet(table(spark, sf_dir, "documents"), ALL)
 
 
-def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def submissions(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
     """Every event submits a file; many events submit the same one."""
+    of = files(spark, sf_dir) if of is None else of
     events = table(spark, sf_dir, "events")
     count = table(spark, sf_dir, "documents").agg(F.count("*").alias("n"))
     picked = events.crossJoin(F.broadcast(count)).select(  # one row on the right
         F.col("event_id").alias("job_id"), "user_id", (F.col("event_id") % F.col("n")).alias("file_id"),
         F.col("ts").alias("created_at"))
-    return picked.join(files(spark, sf_dir), "file_id").select(
+    return picked.join(of, "file_id").select(
         "job_id", "user_id", "file_id", "file_name", "content", "created_at")
 
 

@@ -91,9 +91,12 @@ def read_cache(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_reports(reports: DataFrame, path: str) -> None:
-    """One row per report, ordered by key so that a look-up reads few files."""
+    """One row per report, ordered by key inside each file so that a look-up skips row groups.
+
+    Partitioned by hash: a range would first sample, and so compute, every report.
+    """
     key = reports.columns[0]
-    reports.repartitionByRange(key).sortWithinPartitions(key).write.mode("append").parquet(path)
+    reports.repartition(key).sortWithinPartitions(key).write.mode("append").parquet(path)
 
 
 def export_report(spark: SparkSession, path: str, key: str, value, target: str) -> None:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators import deadletters, jobs as J, reuse, score
+from ..operators import jobs as J, reuse, score
 from ..operators.asof import micros
 from ..operators.scan import scan
 from ..operators.tables import insert_if_absent, newest
@@ -42,10 +42,9 @@ def put(df: DataFrame, path: str, batch: int) -> None:
 
 def earlier(spark: SparkSession, path: str, batch: int, like: DataFrame) -> DataFrame:
     """Rows of all batches before this one."""
-    empty = like.limit(0)
     if batch == 0:
-        return empty
-    schema = like.schema.add("batch", "int")
+        return like.limit(0)
+    schema = T.StructType([*like.schema.fields, T.StructField("batch", T.IntegerType())])
     return spark.read.schema(schema).parquet(path).filter(F.col("batch") < batch).drop("batch")
 
 
@@ -57,25 +56,12 @@ def review(files: DataFrame) -> DataFrame:
 
 
 # ---- dead letters --------------------------------------------------------------
-def capture_dead_letters(letters: DataFrame, ts: str = "moved_to_dlq_at", delay: str = "1 hour") -> DataFrame:
-    """One row per message, whatever the number of deliveries.
+def first_report(letters: DataFrame) -> DataFrame:
+    """Idempotent capture: one row per message, the first report wins.
 
-    The watermark drops near repeats early; the anti-join against the rows
-    written so far covers repeats at any distance.
+    The anti-join against the rows written by earlier batches covers repeats
+    at any distance, and a replayed batch replaces its own rows.
     """
-    kept = (letters.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
-            .dropDuplicatesWithinWatermark(["message_id"]))
-
-    def write(df: DataFrame, n: int, path: str) -> None:
-        done = earlier(df.sparkSession, path, n, df)
-        put(insert_if_absent(done, df, "message_id", [ts, "id"]), path, n)
-
-    path = each_batch(kept, "dead-letters", write)
-    return letters.sparkSession.read.parquet(path).drop("batch")
-
-
-def first_report(letters: DataFrame) -> DataFrame:
-    """Idempotent capture where the first report of a message wins, also inside a batch."""
 
     def write(df: DataFrame, n: int, path: str) -> None:
         done = earlier(df.sparkSession, path, n, df)
@@ -182,5 +168,5 @@ def letter_counts(letters: DataFrame) -> DataFrame:
         F.count_if("resolved").alias("resolved"), F.avg("retry_count").alias("avg_retries"))
 
 
-__all__ = ["to_table", "each_batch", "review", "capture_dead_letters", "first_report", "route", "latest_status",
-           "reuse_labels", "possible_hits", "dashboard", "letter_counts", "deadletters"]
+__all__ = ["to_table", "each_batch", "review", "first_report", "route", "latest_status",
+           "reuse_labels", "possible_hits", "dashboard", "letter_counts"]
