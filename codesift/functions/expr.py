@@ -25,8 +25,12 @@ def any_of(conditions: Iterable[str]) -> str:
 
 
 def let(value: str, name: str, body: str) -> str:
-    """Bind ``value`` to ``name`` once inside ``body``."""
-    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+    """Bind ``value`` to ``name`` once inside ``body``.
+
+    The finishing function of an aggregate hands its argument over as it is; a
+    ``transform`` of a one-element array would deep-copy the result.
+    """
+    return f"aggregate(array(0), {value}, (a_, b_) -> a_, {name} -> {body})"
 
 
 def rlike(text: str, pattern: str, ignore_case: bool = False) -> str:

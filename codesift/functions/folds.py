@@ -1,7 +1,8 @@
 """Ordered folds over the lines of one file, as SQL expression text.
 
-Each fold carries a small state along the lines; results go into blocks of
-bounded size, so that appending stays cheap for files with very many lines.
+Spark copies the state of an ``aggregate`` at every step.  The folds therefore
+keep a small state, write their results as text, and go over the lines in
+blocks: the long text is touched once per block and not once per line.
 """
 
 from __future__ import annotations
@@ -11,50 +12,56 @@ from ..rules.pattern import LOOP_CALL, LOOP_HEAD
 from .dialect import portable
 from .expr import let, matches, quoted, rlike
 
-BLOCK = 256
+BLOCK = 1024
 ROW = "struct<n:int,s:string>"
 
 
+def in_blocks(items: str, zero: str, step: str) -> str:
+    """Texts of all items, comma separated, as an array of strings.
+
+    ``step`` gives struct(s: state, t: text) for item x from a.s and a.t; the
+    text of an item ends with a comma or is empty.
+    """
+    inner = f"aggregate(slice(items, at, {BLOCK}), named_struct('s', o.s, 't', ''), (a, x) -> {step})"
+    outer = let(inner, "i", "named_struct('s', i.s, 't', concat(o.t, i.t))")
+    starts = f"sequence(1, greatest(size(items), 1), {BLOCK})"
+    text = f"aggregate({starts}, named_struct('s', {zero}, 't', ''), (o, at) -> {outer}, o -> o.t)"
+    return let(items, "items", f"filter(split({text}, ','), p -> p <> '')")
+
+
 def structure(rows: str) -> str:
-    """rows<n, s> with the two facts the loop fold needs: loop line, net braces."""
+    """What the loop fold needs of each line: is it a loop line, net braces."""
     braces = "length(replace(r.s, '}', '')) - length(replace(r.s, '{', ''))"
     loop = f"contains(r.s, '(') AND ({rlike('r.s', LOOP_HEAD)} OR {matches('r.s', None, LOOP_CALL, False)})"
-    return f"transform({rows}, r -> named_struct('n', r.n, 's', r.s, 'loop', {loop}, 'net', {braces}))"
+    return f"transform({rows}, r -> named_struct('loop', {loop}, 'net', {braces}))"
 
 
 # brace counts of the open loops after line x, from those before it
-_AFTER = "if(x.loop, concat(a.stack, array(x.net)), if(size(a.stack) = 0, a.stack, " + let(
-    "concat(slice(a.stack, 1, size(a.stack) - 1), array(element_at(a.stack, -1) + x.net))", "t", let(
+_AFTER = "if(x.loop, concat(a.s, array(x.net)), if(size(a.s) = 0, a.s, " + let(
+    "concat(slice(a.s, 1, size(a.s) - 1), array(element_at(a.s, -1) + x.net))", "t", let(
         "cast(array_position(reverse(transform(t, b -> b > 0)), true) as int)", "e",
         "if(e = 0, slice(t, 1, 0), slice(t, 1, size(t) - e + 1))")) + "))"
 
 
-def _blocks(lines: str, element: str, keep: str) -> str:
-    """Fold the loop stack; ``keep`` is the array to append for line x with stack st."""
-    start = (f"named_struct('stack', cast(array() as array<int>), 'cur', cast(array() as array<{element}>), "
-             f"'done', cast(array() as array<array<{element}>>))")
-    step = let(_AFTER, "st", (
-        f"if(size(a.cur) >= {BLOCK}, "
-        f"named_struct('stack', st, 'cur', {keep}, 'done', concat(a.done, array(a.cur))), "
-        f"named_struct('stack', st, 'cur', concat(a.cur, {keep}), 'done', a.done))"))
-    return f"aggregate({lines}, {start}, (a, x) -> {step}, a -> flatten(concat(a.done, array(a.cur))))"
+def _depths(rows: str) -> str:
+    step = let(_AFTER, "st", "named_struct('s', st, 't', concat(a.t, cast(size(st) as string), ','))")
+    return in_blocks(structure(rows), "cast(array() as array<int>)", step)
 
 
 def loop_depths(rows: str) -> str:
     """Number of open loops after each line."""
-    return _blocks(structure(rows), "int", "array(size(st))")
+    return f"transform({_depths(rows)}, d -> cast(d as int))"
 
 
 def rows_in_loops(rows: str) -> str:
     """The rows that lie inside at least one loop, loop heads included."""
-    keep = f"if(size(st) > 0, array(named_struct('n', x.n, 's', x.s)), cast(array() as array<{ROW}>))"
-    return _blocks(structure(rows), ROW, keep)
+    return let(_depths(rows), "ds", f"filter({rows}, r -> get(ds, r.n - 1) <> '0')")
 
 
 def spaced_out(numbers: str, gap: int) -> str:
     """Ascending numbers, leaving out each one closer than ``gap`` to the last kept one."""
-    return (f"aggregate({numbers}, cast(array() as array<int>), (a, n) -> "
-            f"if(size(a) = 0 OR n - element_at(a, -1) >= {gap}, concat(a, array(n)), a))")
+    step = (f"if(a.s is null OR x - a.s >= {gap}, named_struct('s', x, 't', concat(a.t, cast(x as string), ',')), a)")
+    return f"transform({in_blocks(numbers, 'cast(null as int)', step)}, d -> cast(d as int))"
 
 
 def scope_change(line: str) -> str:

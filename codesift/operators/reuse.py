@@ -48,7 +48,7 @@ def _fold(times: Column, ttl: int, last: Column) -> Column:
         F.struct(t.alias("last"), F.concat(a["out"], F.array(t)).alias("out"))).otherwise(a), lambda a: a["out"])
 
 
-def miss_times(times: DataFrame, ttl: int = TTL_SECONDS, hot_rows: int = 50_000) -> DataFrame:
+def miss_times(times: DataFrame, ttl: int = TTL_SECONDS, hot_rows: int = 10_000) -> DataFrame:
     """times(code_hash, t): the times at which the greedy cache misses.
 
     The window starts at a miss and hits do not extend it, so whether a time
@@ -96,7 +96,7 @@ def _chain(times: DataFrame, ttl: int) -> DataFrame:
         jump = store(jump.join(there, ["code_hash", "to"]).select("code_hash", "t", F.col("beyond").alias("to")), "jump")
 
 
-def label(submissions: DataFrame, ttl: int = TTL_SECONDS, hot_rows: int = 50_000) -> DataFrame:
+def label(submissions: DataFrame, ttl: int = TTL_SECONDS, hot_rows: int = 10_000) -> DataFrame:
     """Adds ``hit``: answered from an earlier result or analysed anew.
 
     submissions(job_id, code_hash, created_at, ...).  At one instant the lowest

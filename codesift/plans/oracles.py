@@ -337,6 +337,7 @@ def oracles() -> dict[str, str]:
     o["t01_review_stream"] = REVIEW + f"SELECT file_id, language, CAST(n_issues AS INT) AS n_issues, score, {GRADE} AS grade FROM per_file"
     o["t02_idempotent_capture"] = w(DLQ) + f"SELECT message_id, id, job_id, receive_count FROM dlq_messages {FIRST_LETTER}"
     o["t03_retry_routing"] = ROUTED
+    o["t03_retry_routing_state"] = ROUTED
     o["t03_retry_routing_batch"] = ROUTED
     o["t04_latest_status"] = ("SELECT event_id - event_id % 4 AS job_id, event_type AS status, ts FROM events "
                               "QUALIFY row_number() OVER (PARTITION BY event_id - event_id % 4 ORDER BY ts DESC, event_id DESC) = 1")

@@ -583,8 +583,9 @@ def _(spark, sf):
 
 # ---- streams ----------------------------------------------------------------------
 def _stream_files(spark, sf):
-    doc = io.stream_table(spark, sf, "documents")
-    return D.with_snippet(doc, D.ALL)
+    # a batch of a stream holds few files: deal their rows out to all cores
+    doc = io.stream_table(spark, sf, "documents").select("doc_id", "text")
+    return D.with_snippet(doc.repartition(spark.sparkContext.defaultParallelism, "doc_id"), D.ALL)
 
 
 @query("t01_review_stream")
@@ -602,11 +603,16 @@ def _(spark, sf):
     return kept.select("message_id", "id", "job_id", "receive_count")
 
 
-@query("t03_retry_routing")
+@query("t03_retry_routing_state")
 def _(spark, sf):
     return ST.to_table(ST.route(D.deliveries_of(_stream_events(spark, sf))), "routed")
 
 
+@query("t03_retry_routing")
+def _(spark, sf):
+    return ST.route_by_batch(D.deliveries_of(_stream_events(spark, sf)))
+
+
 @query("t03_retry_routing_batch")
 def _(spark, sf):
     return J.route_deliveries(D.deliveries(spark, sf)).select("delivery_id", "message_id", "attempt", "status")

@@ -11,6 +11,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores for a source with fewer splits than there are cores.
+
+    The scan does much work per row.  A source of many files or row groups is
+    left as it is, so a large table is never shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+
+
 def _pick(values: list[str], key: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (key % len(values) + 1).cast("int"))
 
@@ -27,12 +41,12 @@ def with_snippet(documents: DataFrame, snippets: list[tuple[str, str, str]]) ->
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One file per document: its text followed by a snippet chosen by its number."""
-    return with_snippet(table(spark, sf_dir, "documents"), BASIC)
+    return with_snippet(documents(spark, sf_dir), BASIC)
 
 
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Like ``files`` with the long snippet list, so that every rule has findings."""
-    return with_snippet(table(spark, sf_dir, "documents"), ALL)
+    return with_snippet(documents(spark, sf_dir), ALL)
 
 
 def submissions(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
@@ -126,7 +140,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         body(item(category='"perf"')), body(item(issue='""')), "not json",
         body(item(explanation="null", line="2.5")), body(item(), '"text"'),
     ]
-    doc, n = table(spark, sf_dir, "documents"), F.col("doc_id")
+    doc, n = documents(spark, sf_dir), F.col("doc_id")
     lines = F.size(F.split("text", "\n", -1)).cast("string")
     return doc.select(
         n.alias("response_id"), _pick(PROVIDERS, n).alias("provider"),

@@ -42,7 +42,7 @@ MORE: list[tuple[str, str, str]] = [
             "~app.off(@y@);", ""),
     (".js", "let running = true;~while (list.length > 0) {~  await step();~  done = 1;~}", "SM-04"),
     (".js", "while (retries < 3) {~  retries++;~  call();~}", "SM-05"),
-    (".js", "if (retries < 3) { await sleep(5); retries++; }", "SM-06 SM-19"),
+    (".js", "if (retries < 3) { await sleep(5); retries++; }", "SM-06"),
     (".js", "while (todo.length) {~  todo.push(item);~}", "SM-07 SM-03"),
     (".js", "const queue = [];~function add(x) { queue.push(x); }", "SM-08 SM-21"),
     (".js", "try { a(); } catch (e) { retryLater(); }~try { b(); } catch (err) { log(err.stack); }", "SM-10"),
@@ -55,7 +55,7 @@ MORE: list[tuple[str, str, str]] = [
     (".js", "const cache = {};~cache[key] = value;", "SM-18 PT-09"),
     (".js", "async function hit() { n++; }", "SM-19"),
     (".js", "const state = {};~app.get(@/@, (req, res) => { state.x = 1; });", "SM-20"),
-    (".js", "pending.push(1);~async function go() { try { await f(); } catch (e) { pending = []; } }", "AU-01 AU-03"),
+    (".js", "auth();~pending.push(1);~async function go() { try { await f(); } catch (e) { pending = []; } }", "AU-01 AU-03"),
     (".js", "auth();~if (ok) { queue.forEach(p => p.resolve(v)); queue = []; } else { queue = []; }", "AU-02"),
     (".js", "auth();~if (ok) { if (x) { y(); } queue.forEach(p => p.resolve(v)); } else { queue = []; }", "AU-02"),
     (".js", "auth();~if (ok) { y(); } z(); if (k) { queue.forEach(p => p.resolve(v)); } else { queue.forEach(p => p.reject(e)); queue = []; }", ""),
@@ -65,7 +65,7 @@ MORE: list[tuple[str, str, str]] = [
     (".js", "var refreshing = true;~refreshing = true;", "AU-06 AU-07"),
     (".js", "if (status === 401) { refreshToken(); }", "AU-08 AU-09"),
     (".js", "if (status === 401) { refreshToken(); logout(); }", ""),
-    (".js", "function wrap() {~  let token = 1;~}~let accessToken = null;~let currentUser = null;", "AU-10"),
+    (".js", "const wrap = x => {~  let token = 1;~};~let accessToken = null;~let currentUser = null;", "AU-10"),
     (".js", "auth(); waiting.forEach(cb => cb());~retry();", "AU-11 AU-12"),
     (".js", "function login() { return new Promise((resolve) => { list.push(resolve); }); }", "AU-13 AU-14"),
     (".ts", "setTimeout(@go()@, 1);~const f = new Function(@a@);~console.log(f);~  debugger;", "LT-02 LT-03 LT-05 LT-06"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import jobs as J, reuse, score
@@ -77,29 +77,71 @@ STATE = "attempts int, closed boolean"
 
 
 def route(deliveries: DataFrame, max_receive: int = J.MAX_RECEIVE) -> DataFrame:
-    """Attempt number and outcome of each delivery, with a counter per message as state."""
+    """Attempt number and outcome of each delivery, with a counter per message as state.
+
+    A message is closed by its first success or by ``max_receive`` failures, so
+    of each message only the first few rows of a batch are held at a time.
+    """
 
     def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         attempts, closed = state.get if state.exists else (0, False)
-        head = None
-        for chunk in chunks:  # only the first few deliveries can still count
-            head = chunk if head is None else pd.concat([head, chunk])
-            head = head.sort_values(["delivered_at", "delivery_id"]).head(max_receive)
+        head: list[tuple] = []
+        for c in chunks:
+            head += zip(c["t"].tolist(), c["delivery_id"].tolist(), c["failed"].tolist())
+            head = sorted(head)[:max_receive]
         rows = []
-        for r in head.itertuples() if head is not None else ():
+        for _, delivery, failed in head:
             if closed:
                 break
             attempts += 1
-            status = "complete" if not r.failed else "dlq" if attempts >= max_receive else "retrying"
+            status = "complete" if not failed else "dlq" if attempts >= max_receive else "retrying"
             closed = status != "retrying"
-            rows.append((r.delivery_id, key[0], attempts, status))
+            rows.append((delivery, key[0], attempts, status))
         state.update((attempts, closed))
         yield pd.DataFrame(rows, columns=["delivery_id", "message_id", "attempt", "status"])
 
-    return deliveries.groupBy("message_id").applyInPandasWithState(
+    narrow = deliveries.select("message_id", "delivery_id", "failed", micros(F.col("delivered_at")).alias("t"))
+    return narrow.groupBy("message_id").applyInPandasWithState(
         step, ROUTED, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def route_by_batch(deliveries: DataFrame, max_receive: int = J.MAX_RECEIVE, keep_days: int = 1) -> DataFrame:
+    """Like ``route`` without Python workers: each batch continues from a table of message states.
+
+    States older than ``keep_days`` before the newest delivery are dropped, as the
+    queue drops messages of that age.
+    """
+
+    def write(df: DataFrame, n: int, path: str) -> None:
+        spark = df.sparkSession
+        fresh = df.select("delivery_id", "message_id", "failed", micros(F.col("delivered_at")).alias("t"))
+        order = Window.partitionBy("message_id").orderBy("t", "delivery_id")
+        first = fresh.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= max_receive)
+        before = order.rowsBetween(Window.unboundedPreceding, -1)
+        first = first.withColumn("answered", F.coalesce(F.max(~F.col("failed")).over(before), F.lit(False)))
+        known = None
+        if n > 0:
+            known = spark.read.parquet(f"{path}-state/batch={n - 1}")
+            first = first.join(known.select("message_id", "attempts", "closed"), "message_id", "left")
+        else:
+            first = first.withColumns({"attempts": F.lit(0), "closed": F.lit(False)})
+        attempt = F.coalesce("attempts", F.lit(0)) + F.col("k")
+        live = first.filter(~F.col("answered") & ~F.coalesce("closed", F.lit(False))).withColumn(
+            "attempt", attempt.cast("int")).filter(F.col("attempt") <= max_receive)
+        status = F.when(~F.col("failed"), "complete").when(F.col("attempt") >= max_receive, "dlq").otherwise("retrying")
+        put(live.select("delivery_id", "message_id", "attempt", status.alias("status"), "t"), path, n)
+        done = spark.read.parquet(f"{path}/batch={n}").groupBy("message_id").agg(
+            F.max("attempt").alias("attempts"), F.bool_or(F.col("status") != "retrying").alias("closed"), F.max("t").alias("t"))
+        if known is not None:
+            done = done.unionByName(known).groupBy("message_id").agg(
+                F.max("attempts").alias("attempts"), F.bool_or("closed").alias("closed"), F.max("t").alias("t"))
+        oldest = done.agg((F.max("t") - keep_days * 86_400_000_000).alias("_from"))  # one row
+        put(done.crossJoin(F.broadcast(oldest)).filter(F.col("t") >= F.col("_from")).drop("_from"), f"{path}-state", n)
+
+    path = each_batch(deliveries, "routed", write)
+    return deliveries.sparkSession.read.parquet(path).drop("batch", "t")
+
+
 def latest_status(log: DataFrame) -> DataFrame:
     """Last state of each job, as a table that each batch brings up to date."""
     states = log.groupBy("job_id").agg(
@@ -109,7 +151,7 @@ def latest_status(log: DataFrame) -> DataFrame:
 
 
 # ---- reuse ---------------------------------------------------------------------
-def reuse_labels(submissions: DataFrame, ttl: int = reuse.TTL_SECONDS, hot_rows: int = 50_000) -> DataFrame:
+def reuse_labels(submissions: DataFrame, ttl: int = reuse.TTL_SECONDS, hot_rows: int = 10_000) -> DataFrame:
     """Hit or miss of each submission; the last miss of each hash is carried between batches.
 
     submissions(job_id, code_hash, created_at).  Uses the batch operator on each
@@ -168,5 +210,5 @@ def letter_counts(letters: DataFrame) -> DataFrame:
         F.count_if("resolved").alias("resolved"), F.avg("retry_count").alias("avg_retries"))
 
 
-__all__ = ["to_table", "each_batch", "review", "first_report", "route", "latest_status",
+__all__ = ["to_table", "each_batch", "review", "first_report", "route", "route_by_batch", "latest_status",
            "reuse_labels", "possible_hits", "dashboard", "letter_counts"]
