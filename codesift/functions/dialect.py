@@ -9,17 +9,19 @@ of the text and nothing else.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 SPACE = (
     r"[\s\x0b\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 )
 NOT_LINE_END = r"[^\n\r\x{2028}\x{2029}]"
 LINE_START = r"(?:^|[\n\r\x{2028}\x{2029}])"
-ANY = r"(?s:.)"
+ANY = r"[\s\S]"  # a plain class in both engines, no group to loop over
 
 _TOKEN = re.compile(r"\[\\s\\S\]|\[(?:\\.|[^\]\\])*\]|\\.|\.|\$|\^\^", re.S)
 
 
+@lru_cache(maxsize=None)
 def portable(pattern: str, ignore_case: bool = False) -> str:
     """Translate an ECMAScript pattern; ``^^`` stands for a multiline ``^``."""
 
@@ -59,6 +61,7 @@ def is_literal(pattern: str) -> str | None:
     return None
 
 
+@lru_cache(maxsize=None)
 def required_literals(pattern: str) -> list[set[str]]:
     """Literal sets that every match needs: one member of each set must occur.
 

@@ -241,10 +241,12 @@ class Scanner:
         words = f"array_sort(regexp_extract_all({TEXT}, {quoted(lt.WORD)}, 0))"
         repeated = let(words, "w", "array_distinct(array_compact(zip_with(w, slice(w, 2, size(w)), "
                                    "(a, b) -> if(a = b, a, null))))")
-        found = (f"flatten(transform(_rows, r -> transform(regexp_extract_all(r.s, {declared}, 1), "
-                 f"v -> {hit('1', 'r.n', 'v')})))")
-        unused = let(found, "d", f"array_except(array_distinct(transform(d, h -> h.detail)), {repeated})")
-        return let(unused, "u", f"if(size(u) = 0, {NO_HITS}, filter({found}, h -> array_contains(u, h.detail)))")
+        names = f"regexp_extract_all(r.s, {declared}, 1)"
+        word = any_of(f"contains(r.s, '{w}')" for w in ("const", "let", "var"))
+        found = f"flatten(transform(filter(_rows, r -> {word}), r -> transform({names}, v -> {hit('1', 'r.n', 'v')})))"
+        unused = let(f"array_except(array_distinct(transform(d, h -> h.detail)), {repeated})", "u",
+                     "filter(d, h -> array_contains(u, h.detail))")
+        return let(found, "d", f"if(size(d) = 0, d, {unused})")
 
 
 # a stretch from an opening brace to the next closing one
