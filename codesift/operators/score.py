@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
 from ..functions.expr import let, quoted
-from ..rules import BY_KEY, CATALOGUE, PENALTY, Rule
+from ..rules import CATALOGUE, PENALTY, Rule
 
 BUCKETS = ("security", "performance", "style")
 SUGGESTIONS = ("array<struct<line:double,severity:string,category:string,issue:string,"

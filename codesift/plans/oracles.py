@@ -5,13 +5,13 @@ from __future__ import annotations
 from ..functions.dialect import portable
 from ..functions.text import PROMPT_DEFAULT, PROMPT_LANGUAGE
 from ..operators import report as RP, responses as R, reuse as U, score as C
-from ..operators.scan import GATES, TRIM
+from ..operators.scan import GATES, LAST, TRIM
 from ..rules import CATALOGUE
 from ..rules import auth as au, pattern as pt, semantic as sm
 from .oracle_views import (CODE_FILES, DELIVERIES, DLQ, FILES, JOBS, LANGS, LINES, RESPONSES, REVIEW_JOBS,
                            SUBMISSIONS, language, lit)
 from .queries import FRAMES, rule_name
-from .rule_oracle import LAST, LOOPS, all_findings_sql, base, frame, re_, rule_sql
+from .rule_oracle import LOOPS, all_findings_sql, base, frame, re_, rule_sql
 
 ALL_FOUND = f"""found AS (
   SELECT *, CASE WHEN stage IN (1, 2, 6) THEN CASE WHEN by_line THEN line ELSE {LAST} END ELSE number END AS k1,

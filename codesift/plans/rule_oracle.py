@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions.dialect import portable
-from ..operators.scan import BRACE_MARK, LAST, TRIM, branch_pattern
+from ..operators.scan import BRACE_MARK, TRIM, branch_pattern
 from ..rules import BY_KEY, CATALOGUE, Rule, Test
 from ..rules import asynchronous as ay, auth as au, java as jv, lint as lt, pattern as pt, semantic as sm
 from .oracle_views import CODE_FILES, LANGS, LINES, lit
@@ -250,4 +250,4 @@ def all_findings_sql() -> str:
     return "\nUNION ALL\n".join(parts)
 
 
-__all__ = ["rule_sql", "all_findings_sql", "LAST", "LOOPS", "base", "frame", "head", "re_"]
+__all__ = ["rule_sql", "all_findings_sql", "LOOPS", "base", "frame", "head", "re_"]
