@@ -7,12 +7,15 @@ the intervals whose common prefix is a repeated substring.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 
 from . import shipped
-from .words import Chunk, covered, mix
+from .words import Chunk, WordHash, chunks, covered, mix
 
 shipped(__name__)
 
@@ -28,8 +31,8 @@ class Limits:
     min_words: int = 50
     max_window_percent: int = 50
     min_repeat: int = 8
-    max_covered_percent: int = 30
-    max_longest: int = 100
+    max_covered_percent: int = 50
+    max_longest: int = 50
 
 
 @dataclass
@@ -102,7 +105,6 @@ def maximal_repeats(chunk: Chunk, s: Suffixes, least: int) -> list[tuple[int, in
     Such a prefix of at least ``least`` words occurs at order[low..high], cannot be made longer to the right
     (the interval is that of its length), nor to the left (the words before differ).
     """
-    n = len(s.lcp)
     before = np.where(s.order > np.repeat(chunk.begin, chunk.n)[s.order], chunk.h[s.order - 1], s.order.astype(np.uint64))
     differs = np.concatenate([[0], np.cumsum(np.concatenate([[0], before[1:] != before[:-1]]))])
     starts_text = s.order == np.repeat(chunk.begin, chunk.n)[s.order]
@@ -125,7 +127,6 @@ def maximal_repeats(chunk: Chunk, s: Suffixes, least: int) -> list[tuple[int, in
                     found.append((low, k - 1, length))
             if value and (not stack or stack[-1][0] < value):
                 stack.append([value, low])
-    assert n >= 0
     return found
 
 
@@ -137,3 +138,101 @@ def repeat_cover(chunk: Chunk, s: Suffixes, least: int) -> np.ndarray:
     """
     at = np.flatnonzero(s.longest >= least)
     return covered(len(chunk.h), at, s.longest[at])
+
+
+# ---- decisions -------------------------------------------------------------------
+NUMBERS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_repeats", "n_covered", "longest_repeat")
+DECISIONS = f"doc_id long, {', '.join(f'{n} long' for n in NUMBERS)}, base_failed boolean, kept boolean"
+
+WORD_START, SYMBOL = np.ones(256, np.int8), np.zeros(256, np.int8)
+WORD_START[[32, *range(9, 14), *range(0x80, 0xC0)]] = 0  # white space and the later bytes of a character
+SYMBOL[list(b"#*$%&|<>")] = 1
+
+
+def repeated_lines(text: bytes | None) -> int:
+    """Lines with a word that are equal to an earlier line."""
+    lines = [x for x in (text or b"").split(b"\n") if x and not x.isspace()]
+    return len(lines) - len(set(lines))
+
+
+def measure(chunk: Chunk, limits: Limits) -> dict[str, np.ndarray]:
+    """Figures and decisions of each document of a chunk."""
+    s = suffixes(chunk)
+    texts = [t or b"" for t in chunk.texts]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    end = np.cumsum([len(t) for t in texts])
+    begin = np.concatenate([[0], end[:-1]])
+
+    def of_bytes(kind: np.ndarray) -> np.ndarray:
+        total = np.concatenate([[0], np.cumsum(kind[data], dtype=np.int64)])
+        return total[end] - total[begin]
+
+    longest, repeats = np.zeros(len(chunk.n), np.int64), np.zeros(len(chunk.n), np.int64)
+    full = chunk.n > 0
+    if full.any():
+        longest[full] = np.maximum.reduceat(s.longest, chunk.begin[full])
+        doc = chunk.doc
+        found = [doc[s.order[low]] for low, _, _ in maximal_repeats(chunk, s, limits.min_repeat)]
+        repeats += np.bincount(found, minlength=len(chunk.n)).astype(np.int64) if found else 0
+    out = dict(zip(NUMBERS, (
+        chunk.n, of_bytes(WORD_START), of_bytes(SYMBOL), np.array([repeated_lines(t) for t in texts], np.int64),
+        chunk.sums(covered(len(chunk.h), np.flatnonzero(s.longest >= 3), 3)), repeats,
+        chunk.sums(repeat_cover(chunk, s, limits.min_repeat)), longest)))
+    out["base_failed"] = (chunk.n < limits.min_words) | (100 * out["n_repeat_words"] > limits.max_window_percent * chunk.n)
+    out["kept"] = ~(out["base_failed"] | (100 * out["n_covered"] > limits.max_covered_percent * chunk.n)
+                    | (longest > limits.max_longest))
+    return out
+
+
+def decisions(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """docs(doc_id, text) -> one row per document with its figures and the verdict; other columns are not read.
+
+    Null and empty texts have no words and fail the base rule.  Repeated rows are judged each; a null doc_id is
+    carried through.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = WordHash()
+        for batch in batches:
+            ids = batch.column("doc_id").cast(pa.int64())
+            for c in chunks(batch, cache):
+                out = measure(c, limits)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(c.rows)), *map(pa.array, out.values())],
+                                                 names=["doc_id", *out])
+
+    return docs.select("doc_id", "text").mapInArrow(run, DECISIONS)
+
+
+def passing(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """The rows of docs, with all their columns, whose text is kept; one narrow pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = WordHash()
+        for batch in batches:
+            keep = [measure(c, limits)["kept"] for c in chunks(batch, cache)]
+            yield batch.filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def repeats(docs: DataFrame, least: int = Limits.min_repeat) -> DataFrame:
+    """docs(doc_id, text) -> a row per occurrence of a maximal repeated substring: doc_id, repeat, start, length.
+
+    start and length count words; repeat numbers the substrings of a document.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = WordHash()
+        for batch in batches:
+            ids = batch.column("doc_id").to_pylist()
+            for c in chunks(batch, cache):
+                s, doc, rows = suffixes(c), c.doc, []
+                for number, (low, high, length) in enumerate(maximal_repeats(c, s, least)):
+                    for at in sorted(s.order[low:high + 1].tolist()):
+                        d = doc[at]
+                        rows.append((ids[c.rows[d]], number, at - int(c.begin[d]), length))
+                columns = list(zip(*rows)) or [[], [], [], []]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns],
+                                                 names=["doc_id", "repeat", "start", "length"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, repeat long, start long, length long")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash
+from . import minhash, quality
 from .store import Workspace, documents
 
 
@@ -13,5 +13,9 @@ def op1_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_shingles", "component_id", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_duplicates,)}
+def op2_suffix_array_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.decisions(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_duplicates, op2_suffix_array_quality)}
 ORACLES: dict[str, str] = {}
