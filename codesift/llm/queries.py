@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, quality
+from . import minhash, mixing, quality, sharding
 from .store import Workspace, documents
 
 
@@ -17,5 +17,14 @@ def op2_suffix_array_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.decisions(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_duplicates, op2_suffix_array_quality)}
+def op3_systematic_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(documents(spark, sf_dir), Workspace(spark, "op3"))
+
+
+def op10_hypergeometric_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(documents(spark, sf_dir), Workspace(spark, "op10"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_duplicates, op2_suffix_array_quality, op3_systematic_mixing,
+                                   op10_hypergeometric_sharding)}
 ORACLES: dict[str, str] = {}
