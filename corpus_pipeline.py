@@ -1,13 +1,81 @@
-"""A training-data pipeline over documents: stages that each write Parquet for the next one."""
+"""A training-data pipeline over documents: stages that each write Parquet for the next one.
+
+Each stage takes (spark, docs, sf_dir).  All but the last return the columns of docs, whatever they are; rows are
+told apart by a hash of all their columns, so repeated ids, null ids and extra columns do no harm.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from codesift.llm import minhash, mixing, quality, sharding, templates
+from codesift.llm.store import Workspace, documents
+
+KEY = "_row_key_of_the_pipeline"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn(KEY, F.xxhash64(*docs.columns))
+
+
+def apply_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return quality.passing(docs)
+
+
+def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays: that with the smallest doc_id, once.
+
+    A document without a doc_id stays if no document with one is in its group.
+    """
+    rows = keyed(docs)
+    kept = minhash.near_duplicates(rows, Workspace(spark, "dedup"), KEY).filter("kept").select("key").distinct()
+    left = rows.join(kept, F.col(KEY) == F.col("key"), "left_semi")
+    first = Window.partitionBy(KEY).orderBy("doc_id")  # equal rows
+    return left.withColumn("_first_of_rows", F.row_number().over(first)).filter("_first_of_rows = 1").select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    rows = keyed(docs)
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    leaks = templates.leaks(rows.select(F.col(KEY).alias("doc_id"), "text"), benchmark, Workspace(spark, "decontaminate"))
+    bad = leaks.select(F.col("doc_id").alias("key")).distinct()
+    return rows.join(bad, F.col(KEY) == F.col("key"), "left_anti").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: not at all, once or twice."""
+    rows = keyed(docs)
+    taken = mixing.mixed(rows, Workspace(spark, "mix"), (KEY,)).groupBy(F.col(KEY).alias("key")).agg(
+        F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
+    # equal rows share their copies: the first of them carries all
+    place = F.row_number().over(Window.partitionBy(KEY).orderBy("doc_id"))
+    left = rows.join(taken.filter("copies > 0"), F.col(KEY) == F.col("key")).withColumn("_first_of_rows", place)
+    left = left.filter("_first_of_rows = 1").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return left.select(*docs.columns)
+
+
+def deal_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The shard and slot of every row."""
+    return sharding.sharded(docs, Workspace(spark, "shard"))
+
+
+STAGES = [
+    ("quality rules", apply_quality),
+    ("near-duplicates", remove_near_duplicates),
+    ("benchmark decontamination", decontaminate),
+    ("mixing", mix_sources),
+    ("sharding", deal_shards),
+]
 
-STAGES: list = []
+#: suffix arrays, near-duplicates and hypergeometric draws are not expressed in SQL; tests/llm has brute force
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents, each written as Parquet and read again."""
+    work, docs = Workspace(spark, "pipeline"), documents(spark, sf_dir)
+    for number, (_, stage) in enumerate(STAGES):
+        docs = work.put(stage(spark, docs, sf_dir), f"stage{number}")
     return docs
