@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, mixing, quality, sharding, templates
+from . import debruijn, minhash, mixing, quality, sharding, templates
 from .store import Workspace, documents
 
 
@@ -21,6 +21,10 @@ def op3_systematic_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(documents(spark, sf_dir), Workspace(spark, "op3"))
 
 
+def op8_debruijn_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.without_repeats(documents(spark, sf_dir), Workspace(spark, "op8"))
+
+
 def op9_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return templates.leaks(documents(spark, sf_dir), benchmark, Workspace(spark, "op9"))
@@ -30,6 +34,7 @@ def op10_hypergeometric_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(documents(spark, sf_dir), Workspace(spark, "op10"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_duplicates, op2_suffix_array_quality, op3_systematic_mixing, op9_template_decontamination,
+QUERIES = {f.__name__: f for f in (op1_minhash_near_duplicates, op2_suffix_array_quality, op3_systematic_mixing,
+                                   op8_debruijn_substring_dedup, op9_template_decontamination,
                                    op10_hypergeometric_sharding)}
 ORACLES: dict[str, str] = {}
