@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import debruijn, minhash, mixing, quality, sharding, templates
+from . import debruijn, minhash, mixing, quality, rotation, sharding, templates, warc
 from .store import Workspace, documents
 
 
@@ -21,6 +21,16 @@ def op3_systematic_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(documents(spark, sf_dir), Workspace(spark, "op3"))
 
 
+def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    work = Workspace(spark, "op5")
+    archives = warc.write(spark.read.parquet(f"{sf_dir}/pages.parquet"), f"{work.root}/warc", work)
+    return warc.read(spark, archives).drop("url", "valid")
+
+
+def op7_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rotation.digests(rotation.rotated(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
 def op8_debruijn_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn.without_repeats(documents(spark, sf_dir), Workspace(spark, "op8"))
 
@@ -34,7 +44,7 @@ def op10_hypergeometric_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(documents(spark, sf_dir), Workspace(spark, "op10"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_duplicates, op2_suffix_array_quality, op3_systematic_mixing,
-                                   op8_debruijn_substring_dedup, op9_template_decontamination,
-                                   op10_hypergeometric_sharding)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (
+    op1_minhash_near_duplicates, op2_suffix_array_quality, op3_systematic_mixing, op5_warc_round_trip,
+    op7_perspective_rotation, op8_debruijn_substring_dedup, op9_template_decontamination, op10_hypergeometric_sharding)}
+ORACLES: dict[str, str] = {"op7_perspective_rotation": rotation.ORACLE}
