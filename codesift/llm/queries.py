@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import debruijn, minhash, mixing, quality, rotation, sharding, templates, warc
+from . import debruijn, minhash, mixing, quality, rotation, sharding, templates, tokens, warc
 from .store import Workspace, documents
 
 
@@ -27,6 +27,10 @@ def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, archives).drop("url", "valid")
 
 
+def op6_edit_aware_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.counted(documents(spark, sf_dir))
+
+
 def op7_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotation.digests(rotation.rotated(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
 
@@ -45,6 +49,6 @@ def op10_hypergeometric_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_minhash_near_duplicates, op2_suffix_array_quality, op3_systematic_mixing, op5_warc_round_trip,
+    op1_minhash_near_duplicates, op2_suffix_array_quality, op3_systematic_mixing, op5_warc_round_trip, op6_edit_aware_token_counts,
     op7_perspective_rotation, op8_debruijn_substring_dedup, op9_template_decontamination, op10_hypergeometric_sharding)}
 ORACLES: dict[str, str] = {"op7_perspective_rotation": rotation.ORACLE}
