@@ -23,6 +23,7 @@ shipped(__name__)
 
 SHINGLE = 5
 PERCENT = 75
+BLOCK_SHINGLES, BLOCK_MEMBERS = 1 << 21, 2048  # of a bucket, held by a task at a time
 BANDS, ROWS = 32, 4  # a pair at the limit shares no band with probability (1 - 0.75**4)**32 = 5e-6
 
 
@@ -85,7 +86,7 @@ def band_keys(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np
 
 
 # ---- the operator ----------------------------------------------------------------
-SKETCH = "doc_id long, n_shingles long, set_id binary, bands array<long>"
+SKETCH = "doc_id long, key long, n_shingles long, set_id binary, bands array<long>"
 SETS = "set_id binary, shingles array<long>"
 
 
@@ -98,7 +99,7 @@ def _set_ids(shingles: np.ndarray, end: np.ndarray) -> list[bytes | None]:
     return out
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, key: str | None) -> DataFrame:
     """Per document: size and name of its shingle set and its band keys, in one pass over the whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,11 +111,12 @@ def sketches(docs: DataFrame) -> DataFrame:
                 keys = band_keys(signatures(s, end)).view(np.int64)
                 offsets = np.concatenate([[0], np.cumsum((size > 0) * BANDS)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(pa.array(c.rows)).cast(pa.int64()), pa.array(size, pa.int64()),
+                    [*[batch.column(x).take(pa.array(c.rows)) for x in ("doc_id", "key")], pa.array(size, pa.int64()),
                      pa.array(_set_ids(s, end), pa.binary()), pa.ListArray.from_arrays(offsets, keys.ravel())],
-                    names=["doc_id", "n_shingles", "set_id", "bands"])
+                    names=["doc_id", "key", "n_shingles", "set_id", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SKETCH)
+    named = F.col(key) if key else F.lit(None)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), named.cast("long").alias("key"), "text").mapInArrow(run, SKETCH)
 
 
 def _full_sets(docs: DataFrame) -> DataFrame:
@@ -140,18 +142,20 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         100 * F.col("common") >= PERCENT * F.col("either")).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, work: Workspace) -> DataFrame:
-    """docs(doc_id, text) -> per document doc_id, n_shingles, component_id, kept, set_id.
+def near_duplicates(docs: DataFrame, work: Workspace, key: str | None = None) -> DataFrame:
+    """docs(doc_id, text) -> per document doc_id, key, n_shingles, component_id, kept.
 
+    ``key`` names a column to carry along, null if there is none.
     Documents with equal sets are one node.  Nodes that share a band are candidates.  A few rounds pair each node
-    with a likely hub of its buckets and contract what is confirmed; then every pair that shares a bucket and
-    still lies in different components is confirmed or refuted, so the rounds save pairs and lose none.
+    with a likely hub of its buckets and contract what is confirmed; then whatever shares a bucket and still
+    lies in different components is compared, block against block inside tasks that emit links only, so the rounds
+    save work and lose no link.
 
     Null and empty texts have the empty set and link with nothing; a document without words is its own component.
     A document whose doc_id is null takes part, but only other ids name a component; where there is none the
     component is null.  Repeated rows are equal documents.  kept is doc_id = component_id, nulls being equal.
     """
-    all_docs = work.put(sketches(docs), "sketches")
+    all_docs = work.put(sketches(docs, key), "sketches")
     nodes = all_docs.filter("n_shingles > 0").groupBy("set_id").agg(
         F.min("doc_id").alias("doc_id"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands"))
     nodes = work.put(nodes, "nodes")
@@ -187,31 +191,61 @@ def near_duplicates(docs: DataFrame, work: Workspace) -> DataFrame:
             F.col("set_id").alias("a"), F.col("lead.one").alias("b")).distinct()
         label = _joined(work.put(confirmed(pairs, sets), f"links{turn}"), label, work, f"round{turn}")
         labelled = _labelled(member, label, work, f"labelled{turn}")
-    # what is left: all pairs of a bucket in different components
-    mixed = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-    open_ = work.put(labelled.join(mixed.select("band"), "band", "left_semi"), "open")
-    left = open_.select("band", *[F.col(c).alias(f"{c}_a") for c in ("set_id", "label", "n")])
-    right = open_.select("band", *[F.col(c).alias(f"{c}_b") for c in ("set_id", "label", "n")])
-    near = (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))  # a smaller ratio cannot reach the limit
-    pairs = left.join(right, "band").filter(
-        (F.col("set_id_a") < F.col("set_id_b")) & (F.col("label_a") != F.col("label_b")) & near).select(
-        F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b")).distinct()
+    # what is left: the members of a bucket that lie in different components, whole buckets or blocks of them
+    mixed = labelled.groupBy("band").agg(
+        F.min("label").alias("low"), F.max("label").alias("high"),
+        F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS)).alias("blocks"))
+    open_ = labelled.join(mixed.filter("low <> high").select("band", "blocks"), "band").select(
+        "band", "set_id", "label", "blocks", F.pmod(F.xxhash64("set_id"), "blocks").alias("block"))
+    open_ = work.put(open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))), "open")
+    short = sets.select("set_id", F.transform("shingles", lambda x: F.shiftright(x, 32).cast("int")).alias("half"))
+    pairs = open_.join(short, "set_id").select(
+        "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "set_id", "label", "half").groupBy(
+        "band", "i", "j").applyInArrow(_links_inside, "a binary, b binary").distinct()
     label = _joined(work.put(confirmed(pairs, sets), "links3"), label, work, "round3")
 
     named = nodes.select("set_id", "doc_id").join(label.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn(
         "label", F.coalesce("label", "set_id"))
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     component = named.join(smallest, "label").select("set_id", "component_id")
-    result = all_docs.select("doc_id", "n_shingles", "set_id").join(component, "set_id", "left").withColumn(
+    result = all_docs.select("doc_id", "key", "n_shingles", "set_id").join(component, "set_id", "left").withColumn(
         "component_id", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    result = result.select("doc_id", "n_shingles", "component_id",
-                           F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "set_id")
+    result = result.select("doc_id", "key", "n_shingles", "component_id",
+                           F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
     result = work.put(result, "result")
     work.drop("sketches", "nodes", "members", "sets", "weighed", "open", *[f"links{i}" for i in range(4)],
               *[f"labelled{i}" for i in range(3)])
     return result
 
 
+def _links_inside(group: pa.Table) -> pa.Table:
+    """Pairs of a bucket in different components whose sets, by the upper half of each hash, reach the limit.
+
+    Halves may agree by chance, which can only add a pair; the full sets decide afterwards.
+    """
+    label = np.unique(np.array(group.column("label").to_pylist(), object), return_inverse=True)[1]
+    half = group.column("half").combine_chunks()
+    size = half.value_lengths().to_numpy(zero_copy_only=False)
+    element, owner = half.flatten().to_numpy(), np.repeat(np.arange(len(size)), size)
+    number = np.unique(element, return_inverse=True)[1]
+    by = np.argsort(number, kind="stable")
+    first = np.concatenate([[0], np.cumsum(np.bincount(number))])
+    posted, end = owner[by], np.cumsum(size)
+    rest = np.flatnonzero(label != np.bincount(label).argmax())  # of two components one is not the largest
+    a, b = [], []
+    for i in rest.tolist():
+        mine = number[end[i] - size[i]:end[i]]
+        count = first[mine + 1] - first[mine]
+        at = np.repeat(first[mine] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+        common = np.bincount(posted[at], minlength=len(size))
+        for j in np.flatnonzero((100 * common >= PERCENT * (size[i] + size - common)) & (label != label[i])).tolist():
+            a.append(i)
+            b.append(j)
+    names = group.column("set_id").to_pylist()
+    pairs = [sorted((names[i], names[j])) for i, j in zip(a, b)]
+    return pa.table({"a": pa.array([x for x, _ in pairs], pa.binary()), "b": pa.array([y for _, y in pairs], pa.binary())})
+
+
 def _labelled(member: DataFrame, label: DataFrame, work: Workspace, name: str) -> DataFrame:
     joined = member.join(label.withColumnRenamed("node", "set_id"), "set_id", "left")
     return work.put(joined.select("band", "set_id", "n", F.coalesce("label", "set_id").alias("label")), name)
