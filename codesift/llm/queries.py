@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import debruijn, minhash, mixing, quality, rotation, sharding, templates, tokens, warc
+from . import debruijn, extract, minhash, mixing, quality, rotation, sharding, templates, tokens, warc
 from .store import Workspace, documents
 
 
@@ -21,6 +21,10 @@ def op3_systematic_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(documents(spark, sf_dir), Workspace(spark, "op3"))
 
 
+def op4_boosted_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.main_texts(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = Workspace(spark, "op5")
     archives = warc.write(spark.read.parquet(f"{sf_dir}/pages.parquet"), f"{work.root}/warc", work)
@@ -49,6 +53,6 @@ def op10_hypergeometric_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_minhash_near_duplicates, op2_suffix_array_quality, op3_systematic_mixing, op5_warc_round_trip, op6_edit_aware_token_counts,
-    op7_perspective_rotation, op8_debruijn_substring_dedup, op9_template_decontamination, op10_hypergeometric_sharding)}
+    op1_minhash_near_duplicates, op2_suffix_array_quality, op3_systematic_mixing,
+    op4_boosted_html_extraction, op5_warc_round_trip, op6_edit_aware_token_counts, op7_perspective_rotation, op8_debruijn_substring_dedup, op9_template_decontamination, op10_hypergeometric_sharding)}
 ORACLES: dict[str, str] = {"op7_perspective_rotation": rotation.ORACLE}
