@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from .dialect import alternatives, is_literal, portable, required_literals
+from .linear import linear
 
 
 def quoted(text: str) -> str:
@@ -34,7 +35,7 @@ def let(value: str, name: str, body: str) -> str:
 
 
 def rlike(text: str, pattern: str, ignore_case: bool = False) -> str:
-    return f"{text} RLIKE {quoted(portable(pattern, ignore_case))}"
+    return f"{text} RLIKE {quoted(portable(linear(pattern), ignore_case))}"
 
 
 def literal_needs(text: str, lower: str | None, pattern: str, fold: bool) -> list[str]:

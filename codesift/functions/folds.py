@@ -70,6 +70,18 @@ def scope_change(line: str) -> str:
     return f"{opens} - {closes}"
 
 
+def offsets(rows: str) -> str:
+    """Number of characters before each line."""
+    step = ("named_struct('s', a.s + length(x.s) + 1, 't', concat(a.t, cast(a.s as string), ','))")
+    return f"transform({in_blocks(rows, '0', step)}, d -> cast(d as int))"
+
+
+def function_depths(rows: str) -> str:
+    """Number of open functions after each line, never below none."""
+    step = let(f"greatest(0, a.s + {scope_change('x.s')})", "d", "named_struct('s', d, 't', concat(a.t, cast(d as string), ','))")
+    return f"transform({in_blocks(rows, '0', step)}, d -> cast(d as int))"
+
+
 def global_state(rows: str) -> str:
     """Login variables declared outside every function: names and first line."""
     name = quoted(portable(STATE_NAME, ignore_case=True))

@@ -20,6 +20,7 @@ from ..rules import asynchronous as ay, auth as au, java as jv, lint as lt, patt
 
 HITS = "array<struct<seq:int,line:int,detail:string>>"
 NO_HITS = f"cast(array() as {HITS})"
+NONE_ORDERED = ("cast(array() as array<struct<stage:int,k1:int,k2:int,k3:int,key:string,line:int,detail:string>>)")
 LAST = 2**31 - 1
 TEXT, LOWER = "content", "_lower"
 TRIM = rf"^{T.SPACE}+|{T.SPACE}+\z"
@@ -137,13 +138,16 @@ class Scanner:
         return f"transform({self.passing(rule)}, r -> {hit('r.n', 'r.n', name)})"
 
     def _jv06(self, rule: Rule) -> str:
-        opened = quoted(portable(jv.RESOURCE))
-        closed = f"concat(regexp_extract(r.s, {opened}, 1), {quoted(portable(r'\.close\s*\('))})"
-        rest = "array_join(slice(_lines, r.n, size(_lines)), '\\n')"
-        never = let(rest, "x", f"NOT regexp_like(x, {closed}) AND NOT ("
-                    f"{rlike(f'substring(x, 1, {jv.FINALLY_WINDOW})', jv.FINALLY)})")
+        # all calls of close once per file: a resource is released by one on its line or a later one
+        opened, call, text = quoted(portable(jv.RESOURCE)), portable(jv.CLOSED), M.clean(TEXT)
+        calls = (f"array_distinct(zip_with({M.groups(text, call, 1)}, {M.match_lines(M.mark_matches(text, call))}, "
+                 "(v, l) -> named_struct('v', v, 'l', l)))")
+        released = f"exists(calls, c -> c.l >= r.n AND endswith(c.v, regexp_extract(r.s, {opened}, 1)))"
+        w = jv.FINALLY_WINDOW
+        rest = f"array_join(transform(slice(_lines, r.n, {w}), s -> substring(s, 1, {w})), '\\n')"
+        never = f"NOT {released} AND NOT ({rlike(f'substring({rest}, 1, {w})', jv.FINALLY)})"
         what = trimmed(f"substring_index(regexp_extract(r.s, {opened}, 0), '=', 1)")
-        return f"transform({self.passing(rule, never)}, r -> {hit('r.n', 'r.n', what)})"
+        return let(calls, "calls", f"transform({self.passing(rule, never)}, r -> {hit('r.n', 'r.n', what)})")
 
     def _jv07(self, rule: Rule) -> str:
         bare = any_of([rlike("r.s", jv.EMPTY_CATCH), f"{trimmed(frame('r.n', 1, 1))} = '}}'"])
@@ -237,16 +241,19 @@ class Scanner:
         return let(folds.global_state("_rows"), "g", once("g.line", "array_join(g.names, ', ')"))
 
     def _lt07(self, rule: Rule) -> str:
-        declared = quoted(portable(lt.DECLARED))
-        words = f"array_sort(regexp_extract_all({TEXT}, {quoted(lt.WORD)}, 0))"
-        repeated = let(words, "w", "array_distinct(array_compact(zip_with(w, slice(w, 2, size(w)), "
-                                   "(a, b) -> if(a = b, a, null))))")
-        names = f"regexp_extract_all(r.s, {declared}, 1)"
+        # words and declared names carry their line; a name is unused when no neighbour in sorted order is the same word
+        def at(values: str) -> str:
+            return f"transform({values}, v -> concat(v, '\\u0001', r.n))"
+
         word = any_of(f"contains(r.s, '{w}')" for w in ("const", "let", "var"))
-        found = f"flatten(transform(filter(_rows, r -> {word}), r -> transform({names}, v -> {hit('1', 'r.n', 'v')})))"
-        unused = let(f"array_except(array_distinct(transform(d, h -> h.detail)), {repeated})", "u",
-                     "filter(d, h -> array_contains(u, h.detail))")
-        return let(found, "d", f"if(size(d) = 0, d, {unused})")
+        declared = f"flatten(transform(filter(_rows, r -> {word}), r -> {at(f'regexp_extract_all(r.s, {quoted(portable(lt.DECLARED))}, 1)')}))"
+        words = f"array_sort(flatten(transform(_rows, r -> {at(f'regexp_extract_all(r.s, {quoted(lt.WORD)}, 0)')})))"
+        name = "substring_index({}, '\\u0001', 1)".format
+        again = f"zip_with(w, slice(w, 2, size(w)), (a, b) -> coalesce({name('a')} = {name('b')}, false))"
+        once_only = let(words, "w", let(again, "q", "filter(w, (x, i) -> NOT get(q, i) AND NOT coalesce(get(q, i - 1), false))"))
+        hits = (f"transform(array_intersect(d, {once_only}), x -> "
+                + hit("1", "substring_index(x, '\\u0001', -1)", name("x")) + ")")
+        return let(declared, "d", f"if(size(d) = 0, {NO_HITS}, {hits})")
 
 
 # a stretch from an opening brace to the next closing one
@@ -300,7 +307,7 @@ def scan(files: DataFrame, keys: Iterable[str] | None = None, guards: bool = Tru
     per_rule = ", ".join(f"transform({scanner.hits(r)}, h -> {_ordered(r)})" for r in rules)
     # Inside a lambda the rules are left out of code generation and of the
     # search for common subexpressions, which cost more than they save here.
-    hits = let("true", "go", f"array_sort(concat({per_rule}))")
+    hits = let("true", "go", f"array_sort(concat({per_rule}))") if rules else NONE_ORDERED
     return prepared.selectExpr(*[f"`{c}`" for c in files.columns], "language", "n_lines", f"{hits} AS hits")
 
 

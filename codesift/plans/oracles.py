@@ -180,7 +180,7 @@ def oracles() -> dict[str, str]:
     o["p_hit_result"] = lang + (f"SELECT file_id, {lit(U.HIT_REVIEW_TIME)} AS \"reviewTime\", 0 AS \"processingTimeMs\", "
                                 f"{_seconds('file_id % 5000')} AS \"originalReviewTime\", CAST(file_id % 5000 AS INT) AS "
                                 "\"originalProcessingTimeMs\", CAST(len(ls) AS INT) AS \"linesAnalyzed\" FROM langs")
-    o["p_res_flag"] = w(DLQ) + "SELECT id, message_id FROM dlq_messages WHERE NOT resolved"
+    o["p_res_flag"] = w(DLQ) + "SELECT id, message_id, resolved FROM dlq_messages"
     size = f"len(ls) BETWEEN {R.MIN_LINES} AND {R.MAX_LINES}"
     o["p_ai_eligible"] = lang + f"SELECT file_id, CAST(len(ls) AS INT) AS n_lines FROM langs WHERE {size}"
     severe = "bucket IN ('security', 'performance') AND severity IN ('high', 'critical')"
@@ -197,7 +197,7 @@ def oracles() -> dict[str, str]:
     o["p_gate_lang"] = code + f"SELECT file_id, {language()} = 'java' AS java, {language()} = 'python' AS python FROM code_files"
 
     # joins
-    o["j01_dead_letter_list"] = BOTH + f"SELECT {LIST} {JOIN} WHERE d.resolved = false"
+    o["j01_dead_letter_list"] = BOTH + f"SELECT {LIST} {JOIN}"
     o["j02_dead_letter_detail"] = BOTH + (f"SELECT {LIST}, d.resolved_at, d.resolution_reason, j.file_name || ' text' AS file_content, "
                                           f"j.last_error AS job_last_error {JOIN}")
     o["j03_cache_lookup"] = hashed + (
@@ -243,7 +243,7 @@ def oracles() -> dict[str, str]:
                                             f"l.file_id = f.file_id AND {re_('l.s', r'(?:^|\W)function|=>')} GROUP BY f.file_id")
 
     # frames and folds
-    calls = "FROM lines l JOIN langs f ON f.file_id = l.file_id WHERE contains(l.s, '(')"
+    calls = "FROM lines l JOIN langs f ON f.file_id = l.file_id"
     for name, (first, last) in FRAMES.items():
         text = f"coalesce({frame(first, last)}, '')"
         o[name] = lined + (f"SELECT l.file_id, CAST(l.n AS INT) AS line, CAST(length({text}) AS INT) AS n_chars, md5({text}) AS digest {calls}")
@@ -258,9 +258,17 @@ def oracles() -> dict[str, str]:
                                 "walk AS (SELECT file_id, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS depth FROM langs UNION ALL SELECT s.file_id, s.n, "
                                 "greatest(0, w.depth + s.d) FROM walk w JOIN steps s ON s.file_id = w.file_id AND s.n = w.n + 1)",
                                 recursive=True) + "SELECT file_id, CAST(n AS INT) AS line, CAST(depth AS INT) AS depth FROM walk WHERE n > 0"
+    state = lit(portable(au.STATE_NAME, True))
+    o["w12_global_state"] = w(CODE_FILES, LANGS, LINES, f"steps AS (SELECT file_id, n, s, {change} AS d FROM lines)",
+                              "walk AS (SELECT file_id, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS depth, '' AS s FROM langs UNION ALL SELECT s.file_id, s.n, "
+                              "greatest(0, w.depth + s.d), s.s FROM walk w JOIN steps s ON s.file_id = w.file_id AND s.n = w.n + 1)",
+                              recursive=True) + (
+        f"SELECT file_id, CAST(min(n) FILTER (n > 0 AND depth = 0 AND regexp_matches(s, {state})) AS INT) AS line, "
+        f"coalesce(string_agg(regexp_extract(s, {state}, 1), ',' ORDER BY n) FILTER (n > 0 AND depth = 0 AND regexp_matches(s, {state})), '') AS names, "
+        "CAST(arg_max(depth, n) AS INT) AS depth FROM walk GROUP BY file_id")
     o["w13_gap_suppression"] = w(
         CODE_FILES, LANGS, LINES,
-        "cand AS (SELECT file_id, n, row_number() OVER (PARTITION BY file_id ORDER BY n) AS k FROM lines WHERE contains(s, ' '))",
+        "cand AS (SELECT file_id, n, row_number() OVER (PARTITION BY file_id ORDER BY n) AS k FROM lines)",
         f"pick AS (SELECT file_id, k, n, n AS last, true AS keep FROM cand WHERE k = 1 UNION ALL SELECT c.file_id, c.k, c.n, "
         f"CASE WHEN c.n - p.last >= {pt.VALIDATION_GAP} THEN c.n ELSE p.last END, c.n - p.last >= {pt.VALIDATION_GAP} "
         f"FROM pick p JOIN cand c ON c.file_id = p.file_id AND c.k = p.k + 1)",
@@ -273,7 +281,7 @@ def oracles() -> dict[str, str]:
         f"cache_hit, processing_time_ms, created_at, {issues_found} FROM review_jobs QUALIFY position <= 50")
     o["o02_dead_letter_page"] = BOTH + (f"SELECT d.id, d.job_id, j.status {JOIN} WHERE NOT d.resolved "
                                         "ORDER BY d.moved_to_dlq_at DESC, d.id LIMIT 50 OFFSET 50")
-    o["o03_dead_letter_order"] = BOTH + f"SELECT d.id, d.moved_to_dlq_at, j.status {JOIN} WHERE NOT d.resolved ORDER BY 2 DESC, 1"
+    o["o03_dead_letter_order"] = BOTH + f"SELECT d.id, d.moved_to_dlq_at, j.status, d.resolved {JOIN} ORDER BY 2 DESC, 1"
     o["o04_first_three_names"] = code + f"SELECT file_id, {first_three} FROM code_files"
     o["o05_emission_order"] = w(CODE_FILES, LANGS, LINES, ALL_FOUND) + "SELECT file_id, CAST(position AS INT) AS position, key, line FROM issues"
 
@@ -309,12 +317,15 @@ def oracles() -> dict[str, str]:
                                 "CAST(len(content) - len(replace(content, chr(125), '')) AS INT) AS closes")
     o["f15_text_case"] = each("md5(lower(content)) AS low, upper(file_name) AS up, "
                               f"CAST(length(regexp_replace(content, {lit(TRIM)}, '', 'g')) AS INT) AS trimmed")
-    o["f16_parse_int"] = each("coalesce(TRY_CAST(substring(content, 1, 1) AS INT), 50) AS digit, 7 AS fallback")
+    o["f16_parse_int"] = code + (
+        "SELECT file_id, CAST(k AS INT) AS k, coalesce(CASE WHEN regexp_full_match(word, '[0-9]+') THEN TRY_CAST(word AS INT) END, 50) AS value FROM (SELECT file_id, "
+        "unnest(words) AS word, generate_subscripts(words, 1) - 1 AS k FROM (SELECT file_id, "
+        "regexp_extract_all(content, '[0-9A-Za-z]*[0-9][0-9A-Za-z]*') AS words FROM code_files))")
     o["f17_number_format"] = each(f"{_seconds('file_id * 10')} AS seconds, printf('%.2f%%', file_id / 4.0) AS percent")
     o["f18_round_half_up"] = each("CAST(floor(file_id / 2.0 + 0.5) AS BIGINT) AS rounded")
     o["f19_json"] = w(REVIEW_JOBS) + ("SELECT id, json_extract_string(result, '$.fileName') AS \"fileName\", "
                                       "CAST(json_extract_string(result, '$.metrics.issuesFound') AS INT) AS n, result AS again FROM review_jobs WHERE result IS NOT NULL")
-    o["f02_random_id"] = w(JOBS) + "SELECT id, 36 AS n_chars FROM jobs"
+    o["f02_random_id"] = w(JOBS) + "SELECT count(*) AS n_jobs, count(*) AS n_distinct, count(*) AS n_version_4 FROM jobs"
     o["f20_report_text"] = _report()
     o["f21_strip_fences"] = w(TEXTS) + "SELECT response_id, clean AS text FROM texts"
     o["f22_array_helpers"] = lang + ("SELECT file_id, CAST(len(list_filter(ls, lambda s: contains(s, '('))) AS INT) AS calls, "
@@ -322,7 +333,7 @@ def oracles() -> dict[str, str]:
     o["f23_struct_update"] = w(JOBS) + "SELECT id, status, 0 AS attempts, true AS seen FROM jobs"
     o["f24_time"] = w(JOBS) + "SELECT id, created_at + INTERVAL 3600 SECOND AS expires, CAST(created_at AS DATE) AS day FROM jobs"
     o["f25_message_text"] = w(CODE_FILES, LANGS, LINES, ALL_FOUND) + (
-        "SELECT file_id, line, message FROM issues WHERE key IN ('JV-03', 'JV-06', 'AY-06', 'SM-01', 'AU-05')")
+        "SELECT file_id, line, message FROM issues WHERE contains(template, '{}')")
 
     # responses
     o["r01_response_text"] = w(RESPONSES) + "SELECT response_id, body AS text FROM responses"
@@ -382,7 +393,7 @@ def oracles() -> dict[str, str]:
 
     # user surface and corpus views
     o["x01_review"] = REVIEW + (f"SELECT file_id, language, CAST(n_lines AS INT) AS n_lines, CAST(n_issues AS INT) AS n_issues, score, {GRADE} AS grade FROM per_file")
-    o["x02_detector_table"] = w(CODE_FILES, LANGS, LINES, ALL_FOUND) + "SELECT file_id, key, line FROM issues WHERE key LIKE 'SM-%'"
+    o["x02_detector_table"] = w(CODE_FILES, LANGS, LINES, ALL_FOUND) + "SELECT file_id, substring(key, 1, 2) AS detector, key, line FROM issues"
     o["x03_user_rule"] = lined + (f"SELECT file_id, CAST(n AS INT) AS line, 'user/todo-marker' AS rule, 'low' AS severity FROM lines WHERE {re_('s', r'(?:^|\W)[Hh]andle(?:\W|$)')}")
     dim = ", ".join(f"({lit(r.key)}, {lit(r.name)})" for r in CATALOGUE)
     o["c01_rule_frequency"] = w(CODE_FILES, LANGS, LINES, ALL_FOUND, f"dim AS (SELECT * FROM (VALUES {dim}) AS v(key, rule))") + (

@@ -190,7 +190,8 @@ ISSUES = ("array<struct<line:int,message:string,severity:string,rule:string,sugg
 
 @query("p_res_flag")
 def _(spark, sf):
-    return DL.by_resolved(D.dlq_messages(spark, sf), False).select("id", "message_id")
+    both = [DL.by_resolved(D.dlq_messages(spark, sf), flag) for flag in (False, True)]
+    return both[0].union(both[1]).select("id", "message_id", "resolved")
 
 
 @query("p_ai_eligible")
@@ -228,7 +229,8 @@ def _(spark, sf):
 # ---- joins -------------------------------------------------------------------
 @query("j01_dead_letter_list")
 def _(spark, sf):
-    return DL.listing(letters(spark, sf), D.review_jobs(spark, sf)).drop("message_body")
+    both = [DL.listing(letters(spark, sf), D.review_jobs(spark, sf), flag) for flag in (False, True)]
+    return both[0].union(both[1]).drop("message_body")
 
 
 @query("j02_dead_letter_detail")
@@ -368,8 +370,7 @@ def _frame_query(first: int, last: int) -> Query:
     def run(spark, sf):
         rows = S.prepare(D.code_files(spark, sf), in_loop=False)
         framed = rows.select("file_id", F.explode(F.expr(
-            f"transform(filter(_rows, r -> contains(r.s, '(')), r -> named_struct('line', r.n, 'f', {S.frame('r.n', first, last)}))"
-        )).alias("x"))
+            f"transform(_rows, r -> named_struct('line', r.n, 'f', {S.frame('r.n', first, last)}))")).alias("x"))
         return framed.select("file_id", "x.line", F.length("x.f").alias("n_chars"),
                              F.md5(F.col("x.f").cast("binary")).alias("digest"))
     return run
@@ -382,11 +383,12 @@ for _name, (_first, _last) in FRAMES.items():
 @query("w03_rest_of_file")
 def _(spark, sf):
     rows = S.prepare(D.code_files(spark, sf), in_loop=False)
-    rest = "array_join(slice(_lines, r.n, size(_lines)), '\\n')"
-    x = rows.select("file_id", F.explode(F.expr(
-        f"transform(filter(_rows, r -> contains(r.s, '(')), r -> named_struct('line', r.n, 'rest', {rest}))")).alias("x"))
-    return x.select("file_id", "x.line", F.length("x.rest").alias("n_chars"),
-                    F.md5(F.substring("x.rest", 1, 500).cast("binary")).alias("digest"))
+    # the lengths come from one running sum, the window from the next lines: linear in the file
+    ahead = "substring(array_join(transform(slice(_lines, r.n, 500), s -> substring(s, 1, 500)), '\\n'), 1, 500)"
+    x = rows.selectExpr("file_id", "content", "_rows", "_lines", f"{folds.offsets('_rows')} AS starts").select(
+        "file_id", F.explode(F.expr(
+            f"transform(_rows, r -> named_struct('line', r.n, 'n_chars', length(content) - get(starts, r.n - 1), 'ahead', {ahead}))")).alias("x"))
+    return x.select("file_id", "x.line", "x.n_chars", F.md5(F.col("x.ahead").cast("binary")).alias("digest"))
 
 
 @query("w11_loop_depth")
@@ -399,19 +401,21 @@ def _(spark, sf):
 @query("w12_function_depth")
 def _(spark, sf):
     rows = S.prepare(D.code_files(spark, sf), in_loop=False)
-    lines = rows.select("file_id", F.explode(F.expr(
-        f"transform(_rows, r -> named_struct('line', r.n, 'd', {folds.scope_change('r.s')}))")).alias("x"))
-    w = Window.partitionBy("file_id").orderBy("line")
-    total = lines.select("file_id", "x.line", "x.d").withColumn("t", F.sum("d").over(w))
-    return total.withColumn("low", F.min("t").over(w)).select(
-        "file_id", "line", (F.col("t") - F.least(F.lit(0), F.col("low"))).cast("int").alias("depth"))
+    return rows.select("file_id", F.posexplode(F.expr(folds.function_depths("_rows"))).alias("p", "depth")).select(
+        "file_id", (F.col("p") + 1).alias("line"), "depth")
+
+
+@query("w12_global_state")
+def _(spark, sf):
+    rows = S.prepare(D.code_files(spark, sf), in_loop=False)
+    return rows.select("file_id", F.expr(folds.global_state("_rows")).alias("g")).select(
+        "file_id", "g.line", F.array_join("g.names", ",").alias("names"), "g.depth")
 
 
 @query("w13_gap_suppression")
 def _(spark, sf):
     rows = S.prepare(D.code_files(spark, sf), in_loop=False)
-    numbers = "transform(filter(_rows, r -> contains(r.s, ' ')), r -> r.n)"
-    return rows.select("file_id", F.explode(F.expr(folds.spaced_out(numbers, pt.VALIDATION_GAP))).alias("line"))
+    return rows.select("file_id", F.explode(F.expr(folds.spaced_out("transform(_rows, r -> r.n)", pt.VALIDATION_GAP))).alias("line"))
 
 
 @query("w14_latest_state")
@@ -432,8 +436,8 @@ def _(spark, sf):
 
 @query("o03_dead_letter_order")
 def _(spark, sf):
-    return DL.listing(letters(spark, sf), D.review_jobs(spark, sf)).select(
-        "id", "moved_to_dlq_at", "status").orderBy(F.desc("moved_to_dlq_at"), "id")
+    both = [DL.listing(letters(spark, sf), D.review_jobs(spark, sf), flag) for flag in (False, True)]
+    return both[0].union(both[1]).select("id", "moved_to_dlq_at", "status", "resolved").orderBy(F.desc("moved_to_dlq_at"), "id")
 
 
 @query("o04_first_three_names")
@@ -496,8 +500,9 @@ QUERIES["f14_brace_count"] = _on_files(lambda: T.count_of(_text(), "{").alias("o
 QUERIES["f15_text_case"] = _on_files(
     lambda: F.md5(F.lower(_text()).cast("binary")).alias("low"), lambda: F.upper(_name_col()).alias("up"),
     lambda: F.length(T.trim_all(_text())).alias("trimmed"))
-QUERIES["f16_parse_int"] = _on_files(
-    lambda: T.parse_int(F.substring("content", 1, 1), 50).alias("digit"), lambda: T.parse_int(F.lit("x"), 7).alias("fallback"))
+QUERIES["f16_parse_int"] = lambda spark, sf: D.code_files(spark, sf).select("file_id", F.posexplode(F.regexp_extract_all(
+    "content", F.lit(r"[0-9A-Za-z]*[0-9][0-9A-Za-z]*"), F.lit(0))).alias("k", "word")).select(
+    "file_id", "k", T.parse_int(F.col("word"), 50).alias("value"))
 QUERIES["f17_number_format"] = _on_files(
     lambda: T.seconds_text(F.col("file_id") * 10).alias("seconds"), lambda: T.percent_text(F.col("file_id") / 4).alias("percent"))
 QUERIES["f18_round_half_up"] = _on_files(lambda: T.round_half_up(F.col("file_id") / 2).alias("rounded"))
@@ -507,12 +512,15 @@ QUERIES["f22_array_helpers"] = lambda spark, sf: D.code_files(spark, sf).select(
     "file_id", F.size(F.filter("l", lambda s: s.contains("("))).alias("calls"), F.exists("l", lambda s: s == "}").alias("closes"),
     F.array_join(F.transform(F.slice("l", -2, 2), F.length), ",").alias("tail_lengths"))
 QUERIES["f25_message_text"] = lambda spark, sf: C.issues_long(S.findings(S.scan(
-    D.code_files(spark, sf), ["JV-03", "JV-06", "AY-06", "SM-01", "AU-05"]))).select("file_id", "line", "message")
+    D.code_files(spark, sf), [r.key for r in CATALOGUE if "{}" in r.message]))).select("file_id", "line", "message")
 
 
 @query("f02_random_id")
 def _(spark, sf):
-    return D.jobs(spark, sf).select("id", F.length(F.expr("uuid()")).alias("n_chars"))
+    ids = D.jobs(spark, sf).select(F.expr("uuid()").alias("u"))
+    form = r"^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
+    return ids.agg(F.count(F.lit(1)).alias("n_jobs"), F.count_distinct("u").alias("n_distinct"),
+                   F.count_if(F.col("u").rlike(form)).alias("n_version_4"))
 
 
 @query("f19_json")
@@ -750,8 +758,7 @@ def _(spark, sf):
 
 @query("x02_detector_table")
 def _(spark, sf):
-    keys = [r.key for r in CATALOGUE if r.detector == "SM"]
-    return S.findings(S.scan(D.code_files(spark, sf), keys)).select("file_id", "key", "line")
+    return S.findings(S.scan(D.code_files(spark, sf))).select("file_id", F.substring("key", 1, 2).alias("detector"), "key", "line")
 
 
 USER_RULE = Rule("XX-01", "user/todo-marker", "low", "style", None, "A marker is left.", "Finish it.", line=(has(r"(?:^|\W)[Hh]andle(?:\W|$)"),))

@@ -6,6 +6,7 @@ from .model import has, has_i, lacks, routed
 DIGEST_NAME = r"[\"'](MD5|SHA-?1)[\"']"
 RESOURCE = r"(?:Connection|Statement|ResultSet|InputStream|OutputStream|Reader|Writer)\s+(\w+)\s*="
 TRY_WITH = r"try\s*\([^)]*\w+\s*="
+CLOSED = r"(\w+)\.close\s*\("
 FINALLY = r"finally\s*\{"
 FINALLY_WINDOW = 500
 EMPTY_CATCH = r"catch\s*\([^)]+\)\s*\{\s*\}"
