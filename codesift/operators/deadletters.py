@@ -27,10 +27,18 @@ def listing(letters: DataFrame, jobs: DataFrame, resolved: bool = False) -> Data
     return _joined(by_resolved(letters, resolved), jobs, LIST_COLUMNS, {})
 
 
-def page(letters: DataFrame, jobs: DataFrame, resolved: bool = False, limit: int = PAGE_SIZE, offset: int = 0) -> DataFrame:
-    """One page of the list, newest first; only the rows of the page are joined."""
-    top = by_resolved(letters, resolved).orderBy(F.desc("moved_to_dlq_at"), "id").offset(offset).limit(limit)
-    return _joined(top, jobs, LIST_COLUMNS, {})
+def page(letters: DataFrame, jobs: DataFrame, resolved: bool = False, limit: int = PAGE_SIZE, after: tuple | None = None) -> DataFrame:
+    """One page of the list, newest first; only the rows of the page are joined.
+
+    ``after`` is (moved_to_dlq_at, id) of the last row of the page before, so a deep page costs what the first one
+    does: no rows are counted off.
+    """
+    rows = by_resolved(letters, resolved)
+    if after is not None:
+        at, number = F.lit(after[0]), F.lit(after[1])
+        moved = F.col("moved_to_dlq_at")
+        rows = rows.filter((moved < at) | ((moved == at) & (F.col("id") > number)))
+    return _joined(rows.orderBy(F.desc("moved_to_dlq_at"), "id").limit(limit), jobs, LIST_COLUMNS, {})
 
 
 def detail(letters: DataFrame, jobs: DataFrame, letter_id=None) -> DataFrame:
@@ -68,7 +76,7 @@ def mark_dead(jobs: DataFrame, incoming: DataFrame) -> DataFrame:
                   "job_id", ["moved_to_dlq_at", "id"])
     return update_by_key(jobs, last.select(
         F.col("job_id").alias("id"), F.lit("dlq").alias("status"), F.col("message_id").alias("dlq_message_id"),
-        F.col("moved_to_dlq_at").alias("dlq_moved_at"), "last_error"), "id")
+        F.col("moved_to_dlq_at").alias("dlq_moved_at"), "last_error"), "id", ["dlq_moved_at"])
 
 
 def retry(letters: DataFrame, requests: DataFrame) -> DataFrame:
@@ -85,7 +93,7 @@ def retried_jobs(jobs: DataFrame, letters: DataFrame, requests: DataFrame) -> Da
     ids = letters.join(requests.select("id"), "id", "left_semi").select(F.col("job_id").alias("id")).distinct()
     return update_by_key(jobs, ids.select(
         "id", F.lit("retrying").alias("status"), F.lit(0).alias("attempts"),
-        F.lit(None).cast("string").alias("last_error")), "id")
+        F.lit(None).cast("string").alias("last_error")), "id", ["attempts"])
 
 
 def retry_messages(letters: DataFrame, requests: DataFrame) -> DataFrame:
@@ -99,7 +107,7 @@ def resolve(letters: DataFrame, requests: DataFrame) -> DataFrame:
     last = newest(requests, "id", ["resolved_at"])
     reason = F.coalesce(F.col("reason"), F.lit(RESOLUTION))
     return update_by_key(letters, last.select(
-        "id", F.lit(True).alias("resolved"), "resolved_at", reason.alias("resolution_reason")), "id")
+        "id", F.lit(True).alias("resolved"), "resolved_at", reason.alias("resolution_reason")), "id", ["resolved_at"])
 
 
 def retained(rows: DataFrame, ts: str, days: int) -> DataFrame:

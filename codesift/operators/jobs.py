@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import text as T
+from .asof import micros, nearest
+from .reuse import miss_times
 from .tables import newest, update_by_key
 
 # fixed values: limits of the service
 HISTORY_LIMIT = 50
 MAX_RECEIVE = 3
+KEEP_DAYS = 1
 VISIBILITY_SECONDS = 30
 OVERDUE_SECONDS = 30
 TERMINAL = ("complete", "failed", "dlq")
@@ -66,25 +69,63 @@ def rollup(jobs: DataFrame) -> DataFrame:
 # ---- state changes: each takes the job table and a frame of changes ----------
 def start(jobs: DataFrame, starts: DataFrame) -> DataFrame:
     """starts(id, attempts): the jobs are being worked on."""
-    return update_by_key(jobs, starts.select("id", F.lit("processing").alias("status"), "attempts"), "id")
+    return update_by_key(jobs, starts.select("id", F.lit("processing").alias("status"), "attempts"), "id", ["attempts"])
 
 
 def finish(jobs: DataFrame, ends: DataFrame) -> DataFrame:
     """ends(id, result, completed_at, processing_time_ms, attempts)."""
     return update_by_key(jobs, ends.select(
         "id", F.lit("complete").alias("status"), "result", "completed_at", "processing_time_ms", "attempts",
-        F.lit(None).cast("string").alias("last_error"), F.lit(None).cast("string").alias("dlq_message_id")), "id")
+        F.lit(None).cast("string").alias("last_error"), F.lit(None).cast("string").alias("dlq_message_id")), "id",
+        ["completed_at", "attempts"])
 
 
 def fail(jobs: DataFrame, failures: DataFrame) -> DataFrame:
     """failures(id, attempts, last_error): the queue will deliver the job again."""
-    return update_by_key(jobs, failures.select("id", F.lit("retrying").alias("status"), "attempts", "last_error"), "id")
+    return update_by_key(jobs, failures.select("id", F.lit("retrying").alias("status"), "attempts", "last_error"), "id",
+                         ["attempts"])
+
+
+def changed(jobs: DataFrame, log: DataFrame) -> DataFrame:
+    """Job table after a log of starts, failures and ends, delivered at least once and in any order.
+
+    log(id, kind, at, attempts, last_error, result, processing_time_ms) with kind start, fail or finish.  Each
+    column is taken from the last entry of a kind that writes it; at one instant a start precedes a failure, a
+    failure an end.  One aggregate with map-side combine and one join.
+    """
+    kinds = F.array(*[F.lit(k) for k in ("start", "fail", "finish")])
+    at = F.struct("at", F.array_position(kinds, F.col("kind")).alias("k"), "attempts", "last_error", "result", "processing_time_ms")
+    wrote = F.col("kind") != "start"
+    last = log.groupBy("id").agg(
+        F.max(at).alias("n"), F.max(F.when(wrote, at)).alias("e"), F.max(F.when(F.col("kind") == "finish", at)).alias("f"))
+    status = F.element_at(F.array(F.lit("processing"), F.lit("retrying"), F.lit("complete")), F.col("n.k").cast("int"))
+    new = {"status": status, "attempts": F.col("n.attempts")}
+    out = jobs.join(last, "id", "left")
+    error = F.when(F.col("e").isNotNull(), F.when(F.col("e.k") == 2, F.col("e.last_error"))).otherwise(F.col("last_error"))
+    done = {"result": F.col("f.result"), "completed_at": F.col("f.at"), "processing_time_ms": F.col("f.processing_time_ms"),
+            "dlq_message_id": F.lit(None).cast("string")}
+    columns = []
+    for c in jobs.columns:
+        if c in new:
+            columns.append(F.when(F.col("n").isNotNull(), new[c]).otherwise(F.col(c)).alias(c))
+        elif c == "last_error":
+            columns.append(error.alias(c))
+        elif c in done:
+            columns.append(F.when(F.col("f").isNotNull(), done[c]).otherwise(F.col(c)).alias(c))
+        else:
+            columns.append(F.col(c))
+    return out.select(*columns)
 
 
 def insert_hits(jobs: DataFrame, hits: DataFrame) -> DataFrame:
-    """Append jobs that were answered from an earlier result."""
+    """Append jobs that were answered from an earlier result.
+
+    hits(id, user_id, file_name, code_hash, result, created_at, ...): result is the document of the earlier
+    answer, already marked as reused; such a job is complete from the beginning.  A column of the hits that the
+    job table lacks is added to it.
+    """
     rows = hits.select("*", F.lit("complete").alias("status"), F.lit(True).alias("cache_hit"),
-                       F.lit(0).alias("processing_time_ms"))
+                       F.lit(0).alias("processing_time_ms"), F.col("created_at").alias("completed_at"))
     return jobs.unionByName(rows, allowMissingColumns=True)
 
 
@@ -94,19 +135,61 @@ def latest_state(log: DataFrame, key: str = "job_id", order=("ts", "event_id"))
 
 
 # ---- deliveries --------------------------------------------------------------
-def route_deliveries(deliveries: DataFrame, max_receive: int = MAX_RECEIVE) -> DataFrame:
+ROUTED = ["delivery_id", "message_id", "attempt", "status"]
+
+
+def lives(deliveries: DataFrame, keep_days: int = KEEP_DAYS) -> DataFrame:
+    """deliveries(message_id, t, ..., and optionally last) plus ``life``: when the life of the message began.
+
+    The queue keeps a message for ``keep_days`` from its first delivery.  A delivery at or after that end begins a
+    new life of the id, with a count of its own; that is the same rule as a result that lives from its first
+    computation.  ``last`` is the beginning of the life known before these rows.  Messages seen within one life,
+    nearly all, need only their first time.
+    """
+    keep = keep_days * 86_400_000_000
+    if "last" not in deliveries.columns:
+        deliveries = deliveries.withColumn("last", F.lit(None).cast("long"))
+    span = deliveries.groupBy("message_id").agg(F.min("t").alias("_lo"), F.max("t").alias("_hi"))
+    begin = F.when(F.col("_hi") < F.col("last") + keep, F.col("last")).when(
+        (F.col("last").isNull() | (F.col("_lo") >= F.col("last") + keep)) & (F.col("_hi") < F.col("_lo") + keep), F.col("_lo"))
+    joined = deliveries.join(span, "message_id").withColumn("life", begin).drop("_lo", "_hi")
+    longer = joined.filter("life is null").drop("life")
+    times = longer.select(F.col("message_id").alias("code_hash"), "t", "last")
+    starts = miss_times(times, keep_days * 86_400).union(times.filter("last is not null").select("code_hash", "last")).distinct()
+    starts = starts.select(F.col("code_hash").alias("message_id"), F.col("t").alias("_begin"))
+    found = nearest(longer, starts, ["message_id"], "t", "_begin", forward=False)
+    # a row from before all known lives belongs to the known one
+    found = found.withColumn("life", F.coalesce("matched", "last")).drop("matched")
+    return joined.filter("life is not null").unionByName(found)
+
+
+def route_deliveries(deliveries: DataFrame, max_receive: int = MAX_RECEIVE, keep_days: int = KEEP_DAYS) -> DataFrame:
     """Attempt number and outcome of each delivery of a message.
 
-    The queue hands a message out until it succeeds or has failed
-    ``max_receive`` times, so nothing after those deliveries can exist; the
-    rank limit is applied by Spark before the shuffle.
+    A message is closed by its first success or by ``max_receive`` failures; deliveries after that are kept with
+    status ``ignored`` and no attempt number.  Only the first few deliveries of a life can be attempts, so Spark
+    cuts each message to them before the shuffle.
     """
-    order = Window.partitionBy("message_id").orderBy("delivered_at", "delivery_id")
-    tried = deliveries.withColumn("attempt", F.row_number().over(order)).filter(F.col("attempt") <= max_receive)
-    before = Window.partitionBy("message_id").orderBy("attempt").rowsBetween(Window.unboundedPreceding, -1)
-    open_ = F.coalesce(F.max((~F.col("failed")).cast("int")).over(before), F.lit(0)) == 0
-    return tried.withColumn("_open", open_).filter("_open").drop("_open").withColumn(
-        "status", F.when(~F.col("failed"), "complete").when(F.col("attempt") >= max_receive, "dlq").otherwise("retrying"))
+    timed = deliveries.withColumn("t", micros(F.col("delivered_at")))
+    narrow = lives(timed.select("message_id", "delivery_id", "failed", "t"), keep_days)
+    first = attempts_of(narrow, max_receive)
+    return deliveries.join(first.select("delivery_id", "attempt", "status"), "delivery_id", "left").withColumn(
+        "status", F.coalesce("status", F.lit("ignored")))
+
+
+def attempts_of(narrow: DataFrame, max_receive: int) -> DataFrame:
+    """Attempts among deliveries(message_id, life, t, delivery_id, failed, and optionally attempts, closed before)."""
+    for name, kind in (("attempts", "int"), ("closed", "boolean")):
+        if name not in narrow.columns:
+            narrow = narrow.withColumn(name, F.lit(None).cast(kind))
+    order = Window.partitionBy("message_id", "life").orderBy("t", "delivery_id")
+    first = narrow.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= max_receive)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    first = first.withColumn("answered", F.coalesce(F.max(~F.col("failed")).over(before), F.lit(False)))
+    attempt = (F.coalesce("attempts", F.lit(0)) + F.col("k")).cast("int")
+    live = first.filter(~F.col("answered") & ~F.coalesce("closed", F.lit(False))).withColumn("attempt", attempt)
+    status = F.when(~F.col("failed"), "complete").when(F.col("attempt") >= max_receive, "dlq").otherwise("retrying")
+    return live.filter(F.col("attempt") <= max_receive).withColumn("status", status)
 
 
 def stuck(log: DataFrame, seconds: int, as_of: str | None = None) -> DataFrame:

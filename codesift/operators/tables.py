@@ -26,14 +26,16 @@ def oldest(rows: DataFrame, key: str | Sequence[str], order: Sequence[str]) -> D
     return picked.select(*[F.col(c) if c in keys else F.col(f"_r.{c}").alias(c) for c in rows.columns])
 
 
-def update_by_key(target: DataFrame, changes: DataFrame, key: str, keep_null: bool = True) -> DataFrame:
-    """Rows of ``target`` with the columns of ``changes`` (one row per key) written over them.
+def update_by_key(target: DataFrame, changes: DataFrame, key: str, order: Sequence[str], keep_null: bool = True) -> DataFrame:
+    """Rows of ``target`` with the columns of ``changes`` written over them.
 
-    With ``keep_null`` a null in the change is written; otherwise it leaves the
+    Changes may come more than once: the last one of a key in the given order counts (other columns decide ties),
+    so the target never gains a row.  With ``keep_null`` a null in the change is written; otherwise it leaves the
     old value in place.
     """
     columns = [c for c in changes.columns if c != key]
-    new = changes.select(key, *[F.col(c).alias(f"_new_{c}") for c in columns], F.lit(True).alias("_changed"))
+    last = newest(changes, key, [*order, *[c for c in columns if c not in order]])
+    new = last.select(key, *[F.col(c).alias(f"_new_{c}") for c in columns], F.lit(True).alias("_changed"))
     joined = target.join(new, key, "left")
 
     def value(c: str):

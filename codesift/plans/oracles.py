@@ -87,11 +87,12 @@ LOG = ("log AS (SELECT event_id - event_id % 4 AS job_id, event_id, CASE event_t
        "FROM events)")
 LAST_STATE = "QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, event_id DESC) = 1"
 
-ROUTED = (w(DELIVERIES, "ranked AS (SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY delivered_at, delivery_id) AS attempt "
-            "FROM deliveries)")
-          + "SELECT r.delivery_id, r.message_id, CAST(r.attempt AS INT) AS attempt, CASE WHEN NOT failed THEN 'complete' "
-            "WHEN attempt >= 3 THEN 'dlq' ELSE 'retrying' END AS status FROM ranked r WHERE attempt <= 3 AND NOT EXISTS "
-            "(SELECT 1 FROM ranked p WHERE p.message_id = r.message_id AND p.attempt < r.attempt AND NOT p.failed)")
+ROUTED = (w(DELIVERIES, "ranked AS (SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY delivered_at, delivery_id) AS k FROM deliveries)",
+            "live AS (SELECT * FROM ranked r WHERE k <= 3 AND NOT EXISTS "
+            "(SELECT 1 FROM ranked p WHERE p.message_id = r.message_id AND p.k < r.k AND NOT p.failed))")
+          + "SELECT d.delivery_id, d.message_id, CAST(l.k AS INT) AS attempt, CASE WHEN l.k IS NULL THEN 'ignored' "
+            "WHEN NOT l.failed THEN 'complete' WHEN l.k >= 3 THEN 'dlq' ELSE 'retrying' END AS status "
+            "FROM deliveries d LEFT JOIN live l ON l.delivery_id = d.delivery_id")
 
 SHOWN = "id, status, attempts, last_error, processing_time_ms, dlq_message_id"
 
@@ -352,12 +353,21 @@ def oracles() -> dict[str, str]:
     o["t03_retry_routing_batch"] = ROUTED
     o["t04_latest_status"] = ("SELECT event_id - event_id % 4 AS job_id, event_type AS status, ts FROM events "
                               "QUALIFY row_number() OVER (PARTITION BY event_id - event_id % 4 ORDER BY ts DESC, event_id DESC) = 1")
-    o["t06_possible_hits"] = (
-        f"WITH e AS (SELECT event_id AS job_id, CAST(event_id % (SELECT count(*) FROM documents) AS VARCHAR) AS code_hash, ts, event_type FROM events) "
-        f"SELECT job_id, code_hash FROM e WHERE EXISTS (SELECT 1 FROM e c WHERE c.event_type = 'purchase' AND c.code_hash = e.code_hash "
-        f"AND e.ts >= c.ts AND e.ts < c.ts + {TTL})")
+    o["t06_possible_hits"] = w(FILES) + (
+        f"SELECT job_id, code_hash FROM (SELECT e.event_id AS job_id, sha256(f.content) AS code_hash, e.ts FROM events e JOIN files f "
+        f"ON f.file_id = e.event_id % (SELECT count(*) FROM documents)) s WHERE EXISTS (SELECT 1 FROM events c JOIN files g "
+        f"ON g.file_id = c.event_id % (SELECT count(*) FROM documents) WHERE c.event_type = 'purchase' AND sha256(g.content) = s.code_hash "
+        f"AND s.ts >= c.ts AND s.ts < c.ts + {TTL})")
     o["t07_retention"] = w(DLQ) + ("SELECT moved_to_dlq_at < (SELECT max(moved_to_dlq_at) FROM dlq_messages) - INTERVAL 14 DAY AS expired, "
                                    "count(*) AS n FROM dlq_messages GROUP BY 1")
+    o["t02_job_half"] = w(LETTERS) + ("SELECT job_id, message_id, last_error, moved_to_dlq_at FROM letters "
+                                      "QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY moved_to_dlq_at DESC, id DESC) = 1")
+    old = "moved_to_dlq_at < (SELECT max(moved_to_dlq_at) FROM dlq_messages) - INTERVAL 14 DAY"
+    o["t07_retention_stream"] = w(DLQ) + f"SELECT count(*) FILTER (NOT {old}) AS kept, count(*) FILTER ({old}) AS dropped FROM dlq_messages"
+    missed = ("late AS (SELECT job_id, event_id, status FROM (SELECT *, lead(ts) OVER (PARTITION BY job_id ORDER BY ts, event_id) AS next FROM log) "
+              "WHERE status NOT IN ('complete', 'failed', 'dlq') AND next > ts + INTERVAL 30 SECOND)")
+    o["t08_deadline_stream"] = w(LOG, missed) + "SELECT job_id, event_id, status FROM late"
+    o["t09_overdue_stream"] = w(LOG, missed) + "SELECT true AS late, count(*) AS n FROM late"
     o["t08_visible_again"] = w(LOG, f"s AS (SELECT job_id, event_id, ts FROM log WHERE status = 'processing' {LAST_STATE})",
                                "e AS (SELECT job_id, max(ts) AS ended_at FROM log WHERE status IN ('complete', 'failed', 'dlq', 'retrying') GROUP BY 1)") + (
         "SELECT s.job_id, s.event_id, s.ts, e.ended_at FROM s LEFT JOIN e ON e.job_id = s.job_id "
@@ -386,9 +396,26 @@ def oracles() -> dict[str, str]:
     o["m05_resolve"] = w(LETTERS) + (
         "SELECT id, resolved OR retry_count > 1 AS resolved, CASE WHEN retry_count > 1 THEN moved_to_dlq_at END AS resolved_at, "
         "CASE WHEN retry_count > 1 THEN CASE WHEN id % 2 = 0 THEN 'fixed' ELSE 'Manual resolution' END END AS resolution_reason FROM letters")
-    o["m06_hit_insert"] = w(FILES, SUBMISSIONS, HASHED, LABELS, JOBS, recursive=True) + (
-        "SELECT id, user_id, status, cache_hit, processing_time_ms FROM jobs UNION ALL "
-        "SELECT -1 - job_id, user_id, 'complete', true, 0 FROM labelled WHERE hit")
+    o["m06_hit_insert"] = w(FILES, SUBMISSIONS, HASHED, LABELS, REVIEW_JOBS, recursive=True) + (
+        "SELECT id, user_id, file_name, NULL AS code_hash, status, cache_hit, processing_time_ms, completed_at, "
+        "json_extract_string(result, '$.fileName') AS result_file, NULL AS review_time, NULL AS original_ms FROM review_jobs UNION ALL "
+        "SELECT -1 - h.job_id, h.user_id, h.file_name, h.code_hash, 'complete', true, 0, h.created_at, e.file_name, "
+        f"{lit(U.HIT_REVIEW_TIME)}, CAST(e.file_id % 5000 AS VARCHAR) FROM labelled l JOIN hashed h ON h.job_id = l.job_id "
+        "JOIN (SELECT sha256(content) AS code_hash, max(file_id) AS file_id, arg_max(file_name, file_id) AS file_name FROM files GROUP BY 1) e "
+        "ON e.code_hash = h.code_hash WHERE l.hit")
+    o["m07_mixed_changes"] = w(
+        REVIEW_JOBS,
+        "log AS (SELECT event_id - event_id % 4 AS id, event_id % 3 AS k, ts, event_id FROM events)",
+        "n AS (SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY id ORDER BY ts DESC) = 1)",
+        "e AS (SELECT * FROM log WHERE k > 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY ts DESC) = 1)",
+        "f AS (SELECT * FROM log WHERE k = 2 QUALIFY row_number() OVER (PARTITION BY id ORDER BY ts DESC) = 1)") + (
+        "SELECT j.id, CASE n.k WHEN 0 THEN 'processing' WHEN 1 THEN 'retrying' WHEN 2 THEN 'complete' ELSE j.status END AS status, "
+        "CASE WHEN n.id IS NULL THEN j.attempts ELSE CAST(n.event_id % 5 AS INT) END AS attempts, "
+        "CASE WHEN e.id IS NULL THEN j.last_error WHEN e.k = 1 THEN 'e' || e.event_id END AS last_error, "
+        "CASE WHEN f.id IS NULL THEN j.processing_time_ms ELSE CAST(f.event_id % 900 AS INT) END AS processing_time_ms, "
+        "CASE WHEN f.id IS NULL THEN j.dlq_message_id END AS dlq_message_id, CASE WHEN f.id IS NULL THEN j.result ELSE 'r' || f.event_id END AS result, "
+        "CASE WHEN f.id IS NULL THEN j.completed_at ELSE f.ts END AS completed_at "
+        "FROM review_jobs j LEFT JOIN n ON n.id = j.id LEFT JOIN e ON e.id = j.id LEFT JOIN f ON f.id = j.id")
     o["m07_failed_attempt"] = _changed("status = 'processing'", status="'retrying'", attempts="2", last_error="'boom'")
 
     # user surface and corpus views

@@ -11,7 +11,7 @@ from ..functions.expr import quoted
 from ..functions.dialect import portable
 from ..operators import corpus, deadletters as DL, jobs as J, report, responses as R, reuse as U, score as C
 from ..operators import scan as S
-from ..operators.tables import insert_if_absent, update_by_key
+from ..operators.tables import insert_if_absent, newest, update_by_key
 from ..rules import BY_KEY, CATALOGUE, Rule, has
 from ..rules import pattern as pt, semantic as sm
 from ..session import scratch, store
@@ -51,9 +51,9 @@ def hashed(spark: SparkSession, sf: str) -> DataFrame:
     return U.with_hash(D.submissions(spark, sf))
 
 
-def labelled(spark: SparkSession, sf: str) -> DataFrame:
+def labelled(spark: SparkSession, sf: str, *more: str) -> DataFrame:
     return U.label(hashed(spark, sf).select(
-        "job_id", "user_id", "code_hash", "created_at", F.octet_length("content").alias("n_bytes")))
+        "job_id", "user_id", "code_hash", "created_at", F.octet_length("content").alias("n_bytes"), *more))
 
 
 def letters(spark: SparkSession, sf: str) -> DataFrame:
@@ -267,7 +267,8 @@ def _(spark, sf):
 def _(spark, sf):
     jobs = D.review_jobs(spark, sf)
     changes = D.dlq_messages(spark, sf).select("id", F.lit("dlq").alias("status"), F.col("receive_count").alias("attempts"))
-    return update_by_key(jobs, changes, "id").select("id", "status", "attempts")
+    changes = changes.union(changes.withColumn("attempts", F.col("attempts") - 1))  # delivered twice
+    return update_by_key(jobs, changes, "id", ["attempts"]).select("id", "status", "attempts")
 
 
 QUERIES["j07_forward_search"] = QUERIES[rule_name("AY-06")]
@@ -431,7 +432,10 @@ def _(spark, sf):
 
 @query("o02_dead_letter_page")
 def _(spark, sf):
-    return DL.page(letters(spark, sf), D.review_jobs(spark, sf), limit=50, offset=50).select("id", "job_id", "status")
+    first = DL.by_resolved(letters(spark, sf), False).orderBy(F.desc("moved_to_dlq_at"), "id").limit(50)
+    last = first.agg(F.min_by(F.struct("moved_to_dlq_at", "id"), F.struct("moved_to_dlq_at", -F.col("id"))).alias("r")).first()["r"]
+    return DL.page(letters(spark, sf), D.review_jobs(spark, sf), limit=50, after=tuple(last) if last else None).select(
+        "id", "job_id", "status")
 
 
 @query("o03_dead_letter_order")
@@ -623,7 +627,7 @@ def _(spark, sf):
 
 @query("t03_retry_routing_batch")
 def _(spark, sf):
-    return J.route_deliveries(D.deliveries(spark, sf)).select("delivery_id", "message_id", "attempt", "status")
+    return J.route_deliveries(D.deliveries(spark, sf)).select(*J.ROUTED)
 
 
 @query("t04_latest_status")
@@ -645,12 +649,51 @@ def _(spark, sf):
 @query("t06_possible_hits")
 def _(spark, sf):
     n = D.table(spark, sf, "documents").count()
+    f = D.files(spark, sf).select("file_id", T.content_hash(F.col("content")).alias("code_hash"))
+
     def side(ts):
-        return _stream_events(spark, sf).select(
-            F.col("event_id").alias("job_id"), (F.col("event_id") % n).cast("string").alias("code_hash"),
+        e = _stream_events(spark, sf).select(
+            F.col("event_id").alias("job_id"), (F.col("event_id") % n).alias("file_id"),
             F.col("ts").cast("timestamp").alias(ts), "event_type")
+        return e.join(f, "file_id")
     done = side("completed_at").filter(F.col("event_type") == "purchase").select("code_hash", "completed_at")
-    return ST.to_table(ST.possible_hits(side("created_at").drop("event_type"), done).select("job_id", "code_hash"), "possible")
+    return ST.to_table(ST.possible_hits(side("created_at").drop("event_type", "file_id"), done).select("job_id", "code_hash"), "possible")
+
+
+@query("t02_job_half")
+def _(spark, sf):
+    raw = _stream_events(spark, sf)
+    e = D.dlq_of(raw).withColumn("last_error", F.concat(F.lit("error "), (F.col("id") % 7).cast("string")))
+    return ST.dead_jobs(e).select("job_id", "message_id", "last_error", "moved_to_dlq_at")
+
+
+@query("t07_retention_stream")
+def _(spark, sf):
+    kept, counts = ST.retention(D.dlq_of(_stream_events(spark, sf)), 14)
+    n = kept.agg(F.count(F.lit(1)).alias("kept"))
+    return n.crossJoin(counts.agg(F.sum("dropped").alias("dropped")))  # one row each
+
+
+def _deadline_log(spark, sf):
+    status = F.element_at(F.create_map(*[F.lit(x) for kv in {
+        "signup": "queued", "view": "processing", "purchase": "complete", "error": "retrying", "click": "dlq"}.items()
+        for x in kv]), F.col("event_type"))
+    n = F.col("event_id")
+    return _stream_events(spark, sf).select((n - n % 4).alias("job_id"), "event_id", status.alias("status"), "ts")
+
+
+@query("t08_deadline_stream")
+def _(spark, sf):
+    # the last state of a job is open or not as the watermark falls; what was late is certain
+    missed = ST.to_table(ST.deadlines(_deadline_log(spark, sf), J.VISIBILITY_SECONDS), "missed")
+    return missed.filter("outcome = 'late'").select("job_id", "event_id", "status")
+
+
+@query("t09_overdue_stream")
+def _(spark, sf):
+    # overdue now: not final for longer than the limit, of the jobs the watermark has passed
+    missed = ST.to_table(ST.deadlines(_deadline_log(spark, sf), J.OVERDUE_SECONDS), "overdue")
+    return missed.groupBy((F.col("outcome") == "late").alias("late")).agg(F.count(F.lit(1)).alias("n")).filter("late")
 
 
 @query("t07_retention")
@@ -685,12 +728,17 @@ def _of_status(spark, sf, status):
     return D.review_jobs(spark, sf).filter(F.col("status") == status)
 
 
+def _twice(changes: DataFrame) -> DataFrame:
+    """Delivery is at least once: every change comes again."""
+    return changes.union(changes)
+
+
 SHOWN = ["id", "status", "attempts", "last_error", "processing_time_ms", "dlq_message_id"]
 
 
 @query("m01_start")
 def _(spark, sf):
-    starts = _of_status(spark, sf, "queued").select("id", F.lit(1).alias("attempts"))
+    starts = _twice(_of_status(spark, sf, "queued").select("id", F.lit(1).alias("attempts")))
     return J.start(D.review_jobs(spark, sf), starts).select(*SHOWN)
 
 
@@ -698,7 +746,7 @@ def _(spark, sf):
 def _(spark, sf):
     ends = _of_status(spark, sf, "dlq").select("id", F.lit("{}").alias("result"), F.col("created_at").alias("completed_at"),
                                                F.lit(7).alias("processing_time_ms"), F.lit(2).alias("attempts"))
-    return J.finish(D.review_jobs(spark, sf), ends).select(*SHOWN, "result", "completed_at")
+    return J.finish(D.review_jobs(spark, sf), _twice(ends)).select(*SHOWN, "result", "completed_at")
 
 
 @query("m03_capture")
@@ -740,14 +788,34 @@ def _(spark, sf):
 
 @query("m06_hit_insert")
 def _(spark, sf):
-    hits = labelled(spark, sf).filter("hit").select((-1 - F.col("job_id")).alias("id"), "user_id", "created_at")
-    return J.insert_hits(D.jobs(spark, sf), hits).select("id", "user_id", "status", "cache_hit", "processing_time_ms")
+    sent = labelled(spark, sf, "file_id", "file_name").filter("hit")
+    # the earlier result: one per content, that of the first file with it
+    base = S.prepare(U.with_hash(D.files(spark, sf)), in_loop=False).withColumn("ms", F.col("file_id") % 5000)
+    found = C.with_result(base.withColumn("issues", F.array().cast(ISSUES)), processing_ms="ms")
+    found = found.select("code_hash", "file_id", F.to_json(U.hit_result(F.col("result"))).alias("result"))
+    earlier = newest(found, "code_hash", ["file_id"]).drop("file_id")
+    hits = sent.join(earlier, "code_hash").select(
+        (-1 - F.col("job_id")).alias("id"), "user_id", "file_name", "code_hash", "result", "created_at")
+    return J.insert_hits(D.review_jobs(spark, sf), hits).select(
+        "id", "user_id", "file_name", "code_hash", "status", "cache_hit", "processing_time_ms", "completed_at",
+        *[F.get_json_object("result", f"$.{f}").alias(n) for f, n in (
+            ("fileName", "result_file"), ("metrics.reviewTime", "review_time"), ("metrics.originalProcessingTimeMs", "original_ms"))])
 
 
 @query("m07_failed_attempt")
 def _(spark, sf):
     f = _of_status(spark, sf, "processing").select("id", F.lit(2).alias("attempts"), F.lit("boom").alias("last_error"))
-    return J.fail(D.review_jobs(spark, sf), f).select(*SHOWN)
+    return J.fail(D.review_jobs(spark, sf), _twice(f)).select(*SHOWN)
+
+
+@query("m07_mixed_changes")
+def _(spark, sf):
+    e = D.table(spark, sf, "events")
+    kind = F.element_at(F.array(F.lit("start"), F.lit("fail"), F.lit("finish")), (F.col("event_id") % 3 + 1).cast("int"))
+    log = e.select((F.col("event_id") - F.col("event_id") % 4).alias("id"), kind.alias("kind"), F.col("ts").alias("at"),
+                   (F.col("event_id") % 5).cast("int").alias("attempts"), F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("last_error"),
+                   F.concat(F.lit("r"), F.col("event_id").cast("string")).alias("result"), (F.col("event_id") % 900).cast("int").alias("processing_time_ms"))
+    return J.changed(D.review_jobs(spark, sf), _twice(log)).select(*SHOWN, "result", "completed_at")
 
 
 # ---- user surface ----------------------------------------------------------------------

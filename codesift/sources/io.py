@@ -12,7 +12,6 @@ SUBMISSION = T.StructType([
 MESSAGE = T.StructType([
     T.StructField("jobId", T.StringType()), T.StructField("codeHash", T.StringType()),
     T.StructField("fileName", T.StringType()), T.StructField("fileContent", T.StringType())])
-MAX_BODY_BYTES = 10 * 1024 * 1024
 
 
 def read_submissions(spark: SparkSession, path: str) -> DataFrame:
@@ -27,20 +26,23 @@ def write_submissions(df: DataFrame, path: str) -> None:
               F.col("user_id").cast("int").alias("userId")).write.mode("append").json(path)
 
 
-def checked(submissions: DataFrame) -> DataFrame:
-    """Adds ``reject``: why a submission is refused, null when it is fine."""
-    size = F.octet_length("content")
-    return submissions.withColumn("reject", F.when(
-        F.col("content").isNull() | (F.col("content") == ""), "File content required").when(
-        size > MAX_BODY_BYTES, "too large"))
+def checked(submissions: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Adds ``reject``: why a submission is refused, null when it is fine.
+
+    A table has no limit of size; a service in front of it may pass its own as ``max_bytes``.
+    """
+    reject = F.when(F.col("content").isNull() | (F.col("content") == ""), "File content required")
+    if max_bytes is not None:
+        reject = reject.when(F.octet_length("content") > max_bytes, "too large")
+    return submissions.withColumn("reject", reject)
 
 
-def accepted(submissions: DataFrame) -> DataFrame:
-    return checked(submissions).filter("reject IS NULL").drop("reject")
+def accepted(submissions: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    return checked(submissions, max_bytes).filter("reject IS NULL").drop("reject")
 
 
-def rejected(submissions: DataFrame) -> DataFrame:
-    return checked(submissions).filter("reject IS NOT NULL")
+def rejected(submissions: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    return checked(submissions, max_bytes).filter("reject IS NOT NULL")
 
 
 def append_jobs(df: DataFrame, path: str) -> None:

@@ -5,30 +5,33 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import jobs as J, reuse, score
 from ..operators.asof import micros
 from ..operators.scan import scan
-from ..operators.tables import insert_if_absent, newest
+from ..operators.tables import newest, oldest
 from ..session import scratch
 
 
 # ---- running a stream to its end ---------------------------------------------
-def to_table(stream: DataFrame, purpose: str) -> DataFrame:
+# Every function takes a folder for its output and its progress.  A call with the folder of an earlier one goes on
+# where that one stopped; without a folder a new one is made.
+def to_table(stream: DataFrame, purpose: str, path: str | None = None) -> DataFrame:
     """Process what is there, append it to a table in the shared folder, read it."""
     spark = stream.sparkSession
-    path = scratch(spark, purpose)
+    path = path or scratch(spark, purpose)
     query = (stream.writeStream.format("parquet").outputMode("append").option("path", f"{path}/rows")
              .option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start())
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
-def each_batch(stream: DataFrame, purpose: str, write: Callable[[DataFrame, int, str], None], mode: str = "append") -> str:
+def each_batch(stream: DataFrame, purpose: str, write: Callable[[DataFrame, int, str], None], mode: str = "append",
+               path: str | None = None) -> str:
     """Process what is there batch by batch; returns the folder the batches wrote to."""
-    path = scratch(stream.sparkSession, purpose)
+    path = path or scratch(stream.sparkSession, purpose)
     query = (stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/progress")
              .foreachBatch(lambda df, n: write(df, n, f"{path}/rows")).trigger(availableNow=True).start())
     query.awaitTermination()
@@ -40,12 +43,59 @@ def put(df: DataFrame, path: str, batch: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
-def earlier(spark: SparkSession, path: str, batch: int, like: DataFrame) -> DataFrame:
-    """Rows of all batches before this one."""
-    if batch == 0:
-        return like.limit(0)
-    schema = T.StructType([*like.schema.fields, T.StructField("batch", T.IntegerType())])
-    return spark.read.schema(schema).parquet(path).filter(F.col("batch") < batch).drop("batch")
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a table that no batch needs any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+class Buckets:
+    """A keyed table that batches bring up to date, in buckets by a hash of the key.
+
+    A batch rewrites only the buckets that its keys fall into, under its own number, and leaves the others where
+    they are; the newest version of each bucket is listed in a small index per batch.  A repeated batch starts
+    from the index of the batch before it, so it gives the same table again.  Versions that neither this batch nor
+    the one before needs are deleted.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema, buckets: int = 64):
+        self.spark, self.path, self.schema, self.buckets = spark, path, schema, buckets
+
+    def number(self, key: str):
+        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
+
+    def index(self, batch: int) -> dict[int, int]:
+        """Bucket to the batch that wrote it; at most ``buckets`` rows."""
+        if batch < 0:
+            return {}
+        rows = self.spark.read.parquet(f"{self.path}-index/batch={batch}").collect()
+        return {r["bucket"]: r["version"] for r in rows}
+
+    def read(self, index: dict[int, int], only: set[int] | None = None) -> DataFrame:
+        paths = [f"{self.path}-bucket/version={v}/bucket={b}" for b, v in sorted(index.items()) if only is None or b in only]
+        reader = self.spark.read.schema(self.schema)
+        return reader.parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+    def write(self, batch: int, keys: DataFrame, key: str, update: Callable[[DataFrame], DataFrame]) -> None:
+        """Replace the buckets of these keys by update(their rows)."""
+        before = self.index(batch - 1)
+        touched = {r[0] for r in keys.select(self.number(key)).distinct().collect()}  # at most ``buckets``
+        new = update(self.read(before, touched)).withColumn("bucket", self.number(key))
+        new.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}-bucket/version={batch}")
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}-bucket/version={batch}")
+        files = root.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(root)
+        found = {int(f.getPath().getName()[7:]) for f in files if f.getPath().getName().startswith("bucket=")}
+        after = {b: v for b, v in before.items() if b not in touched} | {b: batch for b in found}
+        put(self.spark.createDataFrame(sorted(after.items()), "bucket int, version int").coalesce(1), f"{self.path}-index", batch)
+        needed = set(before.items()) | set(after.items())
+        for b, v in self.index(batch - 2).items() if batch > 1 else ():
+            if (b, v) not in needed:
+                drop(self.spark, f"{self.path}-bucket/version={v}/bucket={b}")
+
+    def last(self) -> DataFrame:
+        """The table after the newest batch."""
+        newest_index = self.spark.read.parquet(f"{self.path}-index").agg(F.max("batch")).first()[0]
+        return self.read(self.index(newest_index))
 
 
 # ---- review ------------------------------------------------------------------
@@ -56,128 +106,188 @@ def review(files: DataFrame) -> DataFrame:
 
 
 # ---- dead letters --------------------------------------------------------------
-def first_report(letters: DataFrame) -> DataFrame:
+def first_report(letters: DataFrame, path: str | None = None, keep_days: int | None = None) -> DataFrame:
     """Idempotent capture: one row per message, the first report wins.
 
-    The anti-join against the rows written by earlier batches covers repeats
-    at any distance, and a replayed batch replaces its own rows.
+    Known messages lie in buckets by message, so a batch reads only the buckets its messages fall into and repeats
+    are found at any distance; with ``keep_days`` keys older than that before the newest report are forgotten, as
+    the queue forgets the messages.  A replayed batch replaces its own rows.
     """
+    spark, known_schema = letters.sparkSession, "message_id string, seen long"
+
+    def write(df: DataFrame, n: int, at: str) -> None:
+        known = Buckets(spark, f"{at}-known", known_schema)
+        first = oldest(df, "message_id", ["moved_to_dlq_at", "id"])
+        touched = {r[0] for r in first.select(known.number("message_id")).distinct().collect()}
+        fresh = first.join(known.read(known.index(n - 1), touched).select("message_id"), "message_id", "left_anti")
+        put(fresh.select(*df.columns), at, n)
+        new = spark.read.schema(df.schema).parquet(f"{at}/batch={n}").select("message_id", micros(F.col("moved_to_dlq_at")).alias("seen"))
+
+        def update(rows: DataFrame) -> DataFrame:
+            both = rows.unionByName(new)
+            if keep_days is None:
+                return both
+            limit = new.agg(F.max("seen")).first()[0]
+            return both if limit is None else both.filter(F.col("seen") >= limit - keep_days * 86_400_000_000)
+        known.write(n, first, "message_id", update)
 
-    def write(df: DataFrame, n: int, path: str) -> None:
-        done = earlier(df.sparkSession, path, n, df)
-        put(insert_if_absent(done, df, "message_id", ["moved_to_dlq_at", "id"]), path, n)
+    rows = each_batch(letters, "first-report", write, path=path)
+    return spark.read.schema(_with_batch(letters)).parquet(rows).drop("batch")
+
+
+def _with_batch(df: DataFrame) -> T.StructType:
+    return T.StructType([*df.schema.fields, T.StructField("batch", T.IntegerType())])
+
+
+def dead_jobs(letters: DataFrame, path: str | None = None) -> DataFrame:
+    """The job half of the capture: job_id, message_id, last_error, moved_to_dlq_at of the last report of each job.
+
+    Kept as a bucketed table that each batch brings up to date; a replayed or repeated report changes nothing.
+    """
+    columns, order = ["job_id", "message_id", "last_error", "moved_to_dlq_at", "id"], ["moved_to_dlq_at", "id"]
+    narrow = letters.select(*columns)
+    spark = letters.sparkSession
 
-    path = each_batch(letters, "first-report", write)
-    return letters.sparkSession.read.parquet(path).drop("batch")
+    def write(df: DataFrame, n: int, at: str) -> None:
+        Buckets(spark, at, narrow.schema).write(n, df, "job_id", lambda old: newest(old.unionByName(df), "job_id", order))
+
+    return Buckets(spark, each_batch(narrow, "dead-jobs", write, path=path), narrow.schema).last()
 
 
 # ---- retry routing -------------------------------------------------------------
 ROUTED = "delivery_id long, message_id string, attempt int, status string"
-STATE = "attempts int, closed boolean"
+STATE = "attempts int, closed boolean, first long"
+DAY = 86_400_000_000
 
 
-def route(deliveries: DataFrame, max_receive: int = J.MAX_RECEIVE) -> DataFrame:
+def route(deliveries: DataFrame, max_receive: int = J.MAX_RECEIVE, keep_days: int = J.KEEP_DAYS) -> DataFrame:
     """Attempt number and outcome of each delivery, with a counter per message as state.
 
-    A message is closed by its first success or by ``max_receive`` failures, so
-    of each message only the first few rows of a batch are held at a time.
+    The state expires by event time, ``keep_days`` after the first delivery of the message; deliveries that come
+    later than the watermark, of the same length, are counted by the engine (numRowsDroppedByWatermark).
     """
+    keep = keep_days * DAY
 
     def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        attempts, closed = state.get if state.exists else (0, False)
-        head: list[tuple] = []
+        if state.hasTimedOut:
+            state.remove()
+            return
+        attempts, closed, first = state.get if state.exists else (0, False, None)
+        seen: list[tuple] = []  # the narrow rows of one message in one batch
         for c in chunks:
-            head += zip(c["t"].tolist(), c["delivery_id"].tolist(), c["failed"].tolist())
-            head = sorted(head)[:max_receive]
+            seen += zip(c["t"].tolist(), c["delivery_id"].tolist(), c["failed"].tolist())
         rows = []
-        for _, delivery, failed in head:
+        for t, delivery, failed in sorted(seen):
+            if first is None or t - first >= keep:
+                attempts, closed, first = 0, False, t
             if closed:
-                break
+                rows.append((delivery, key[0], None, "ignored"))
+                continue
             attempts += 1
             status = "complete" if not failed else "dlq" if attempts >= max_receive else "retrying"
             closed = status != "retrying"
             rows.append((delivery, key[0], attempts, status))
-        state.update((attempts, closed))
-        yield pd.DataFrame(rows, columns=["delivery_id", "message_id", "attempt", "status"])
+        state.update((attempts, closed, first))
+        state.setTimeoutTimestamp(max((first + keep) // 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"delivery_id": [r[0] for r in rows], "message_id": [r[1] for r in rows],
+                            "attempt": pd.array([r[2] for r in rows], "Int32"), "status": [r[3] for r in rows]})
 
-    narrow = deliveries.select("message_id", "delivery_id", "failed", micros(F.col("delivered_at")).alias("t"))
+    narrow = deliveries.select("message_id", "delivery_id", "failed", micros(F.col("delivered_at")).alias("t"),
+                               F.col("delivered_at").cast("timestamp").alias("at")).withWatermark("at", f"{keep_days} days")
     return narrow.groupBy("message_id").applyInPandasWithState(
-        step, ROUTED, STATE, "append", GroupStateTimeout.NoTimeout)
+        step, ROUTED, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def route_by_batch(deliveries: DataFrame, max_receive: int = J.MAX_RECEIVE, keep_days: int = 1) -> DataFrame:
+def route_by_batch(deliveries: DataFrame, max_receive: int = J.MAX_RECEIVE, keep_days: int = J.KEEP_DAYS,
+                   path: str | None = None) -> DataFrame:
     """Like ``route`` without Python workers: each batch continues from a table of message states.
 
-    States older than ``keep_days`` before the newest delivery are dropped, as the
-    queue drops messages of that age.
+    A state whose life ended more than ``keep_days`` before the newest delivery is dropped; a later delivery of
+    that message begins a new life in any case.
     """
+    spark, keep = deliveries.sparkSession, keep_days * DAY
+    state_schema = "message_id string, attempts int, closed boolean, last long"
 
-    def write(df: DataFrame, n: int, path: str) -> None:
-        spark = df.sparkSession
+    def write(df: DataFrame, n: int, at: str) -> None:
+        known = (spark.read.schema(state_schema).parquet(f"{at}-state/batch={n - 1}") if n > 0
+                 else spark.createDataFrame([], state_schema))
         fresh = df.select("delivery_id", "message_id", "failed", micros(F.col("delivered_at")).alias("t"))
-        order = Window.partitionBy("message_id").orderBy("t", "delivery_id")
-        first = fresh.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= max_receive)
-        before = order.rowsBetween(Window.unboundedPreceding, -1)
-        first = first.withColumn("answered", F.coalesce(F.max(~F.col("failed")).over(before), F.lit(False)))
-        known = None
-        if n > 0:
-            known = spark.read.parquet(f"{path}-state/batch={n - 1}")
-            first = first.join(known.select("message_id", "attempts", "closed"), "message_id", "left")
-        else:
-            first = first.withColumns({"attempts": F.lit(0), "closed": F.lit(False)})
-        attempt = F.coalesce("attempts", F.lit(0)) + F.col("k")
-        live = first.filter(~F.col("answered") & ~F.coalesce("closed", F.lit(False))).withColumn(
-            "attempt", attempt.cast("int")).filter(F.col("attempt") <= max_receive)
-        status = F.when(~F.col("failed"), "complete").when(F.col("attempt") >= max_receive, "dlq").otherwise("retrying")
-        put(live.select("delivery_id", "message_id", "attempt", status.alias("status"), "t"), path, n)
-        done = spark.read.parquet(f"{path}/batch={n}").groupBy("message_id").agg(
-            F.max("attempt").alias("attempts"), F.bool_or(F.col("status") != "retrying").alias("closed"), F.max("t").alias("t"))
-        if known is not None:
-            done = done.unionByName(known).groupBy("message_id").agg(
-                F.max("attempts").alias("attempts"), F.bool_or("closed").alias("closed"), F.max("t").alias("t"))
-        oldest = done.agg((F.max("t") - keep_days * 86_400_000_000).alias("_from"))  # one row
-        put(done.crossJoin(F.broadcast(oldest)).filter(F.col("t") >= F.col("_from")).drop("_from"), f"{path}-state", n)
-
-    path = each_batch(deliveries, "routed", write)
-    return deliveries.sparkSession.read.parquet(path).drop("batch", "t")
-
-
-def latest_status(log: DataFrame) -> DataFrame:
-    """Last state of each job, as a table that each batch brings up to date."""
-    states = log.groupBy("job_id").agg(
-        F.max_by(F.struct("status", "ts"), F.struct("ts", "event_id")).alias("r")).select("job_id", "r.status", "r.ts")
-    path = each_batch(states, "latest", lambda df, n, p: put(df, p, n), "update")
-    return newest(log.sparkSession.read.parquet(path), "job_id", ["batch"]).drop("batch")
+        placed = J.lives(fresh.join(known, "message_id", "left"), keep_days)
+        same = F.col("life") == F.col("last")
+        placed = placed.withColumns({"attempts": F.when(same, F.col("attempts")), "closed": F.when(same, F.col("closed"))})
+        tried = J.attempts_of(placed, max_receive).select("delivery_id", "attempt", "status")
+        routed = placed.join(tried, "delivery_id", "left").withColumn("status", F.coalesce("status", F.lit("ignored")))
+        put(routed.select("delivery_id", "message_id", "attempt", "status", "life"), at, n)
+        done = spark.read.parquet(f"{at}/batch={n}").groupBy("message_id", F.col("life").alias("last")).agg(
+            F.max("attempt").alias("attempts"), F.bool_or(F.col("status").isin("complete", "dlq")).alias("closed"))
+        done = done.unionByName(known).groupBy("message_id", "last").agg(F.max("attempts").alias("attempts"), F.bool_or("closed").alias("closed"))
+        done = done.groupBy("message_id").agg(F.max_by(F.struct("attempts", "closed", "last"), "last").alias("r")).select("message_id", "r.*")
+        newest_t = fresh.agg((F.max("t") - 2 * keep).alias("_from"))  # one row
+        kept = done.crossJoin(F.broadcast(newest_t)).filter(F.col("_from").isNull() | (F.col("last") >= F.col("_from"))).drop("_from")
+        put(kept.select("message_id", F.coalesce("attempts", F.lit(0)).alias("attempts"), F.coalesce("closed", F.lit(False)).alias("closed"), "last"),
+            f"{at}-state", n)
+        if n > 1:
+            drop(spark, f"{at}-state/batch={n - 2}")
+
+    rows = each_batch(deliveries, "routed", write, path=path)
+    return spark.read.schema(f"{ROUTED}, life long, batch int").parquet(rows).drop("batch", "life")
+
+
+def latest_status(log: DataFrame, path: str | None = None) -> DataFrame:
+    """Last state of each job, as a bucketed table that each batch brings up to date."""
+    narrow = log.select("job_id", "status", "ts", "event_id")
+    spark, order = log.sparkSession, ["ts", "event_id"]
+
+    def write(df: DataFrame, n: int, at: str) -> None:
+        Buckets(spark, at, narrow.schema).write(n, df, "job_id", lambda old: newest(old.unionByName(df), "job_id", order))
+
+    return Buckets(spark, each_batch(narrow, "latest", write, path=path), narrow.schema).last().drop("event_id")
 
 
 # ---- reuse ---------------------------------------------------------------------
-def reuse_labels(submissions: DataFrame, ttl: int = reuse.TTL_SECONDS, hot_rows: int = 10_000) -> DataFrame:
+def reuse_labels(submissions: DataFrame, ttl: int = reuse.TTL_SECONDS, hot_rows: int = 10_000, path: str | None = None,
+                 late_seconds: int = 0) -> DataFrame:
     """Hit or miss of each submission; the last miss of each hash is carried between batches.
 
-    submissions(job_id, code_hash, created_at).  Uses the batch operator on each
-    batch, so a hash with very many submissions does not fill one state group.
-    Batches must follow each other in time.
+    submissions(job_id, code_hash, created_at).  Uses the batch operator on each batch, so a hash with very many
+    submissions does not fill one state group.  Rows older than the newest row of the batches before (less
+    ``late_seconds``) cannot be labelled any more: they are set apart with hit null.  A last miss that is older
+    than one time to live before the oldest admissible row is forgotten.
     """
+    spark = submissions.sparkSession
 
-    def write(df: DataFrame, n: int, path: str) -> None:
-        spark = df.sparkSession
+    def write(df: DataFrame, n: int, at: str) -> None:
         narrow = df.select("job_id", "code_hash", micros(F.col("created_at")).alias("t"))
-        instants = narrow.groupBy("code_hash", "t").agg(F.min("job_id").alias("job_id"))
-        if n == 0:
-            times = instants.select("code_hash", "t")
-        else:
-            last = spark.read.parquet(f"{path}-state/batch={n - 1}")
-            times = instants.select("code_hash", "t").join(last, "code_hash", "left")
-        misses = reuse.miss_times(times, ttl, hot_rows)
+        put(narrow, f"{at}-narrow", n)  # read and hashed once
+        narrow = spark.read.parquet(f"{at}-narrow/batch={n}")
+        last = (spark.read.parquet(f"{at}-state/batch={n - 1}") if n > 0
+                else spark.createDataFrame([], "code_hash string, last long"))
+        clock = spark.read.parquet(f"{at}-clock/batch={n - 1}").first()["newest"] if n > 0 else None
+        oldest_t = None if clock is None else clock - late_seconds * 1_000_000
+        late = narrow.filter(F.lit(False)) if oldest_t is None else narrow.filter(F.col("t") < oldest_t)
+        narrow = narrow if oldest_t is None else narrow.filter(F.col("t") >= oldest_t)
+        put(narrow.groupBy("code_hash", "t").agg(F.min("job_id").alias("job_id")), f"{at}-instants", n)
+        instants = spark.read.parquet(f"{at}-instants/batch={n}")
+        times = instants.select("code_hash", "t").join(last, "code_hash", "left")
+        put(reuse.miss_times(times, ttl, hot_rows), f"{at}-misses", n)
+        misses = spark.read.schema("code_hash string, t long").parquet(f"{at}-misses/batch={n}")
         missed = instants.join(misses, ["code_hash", "t"], "left_semi").select("job_id", F.lit(True).alias("_miss"))
-        put(narrow.join(missed, "job_id", "left").select("job_id", "code_hash", F.col("_miss").isNull().alias("hit")), path, n)
-        state = misses.groupBy("code_hash").agg(F.max("t").alias("last"))
-        if n > 0:
-            state = state.unionByName(last).groupBy("code_hash").agg(F.max("last").alias("last"))
-        put(state, f"{path}-state", n)
-
-    path = each_batch(submissions, "reuse", write)
-    return submissions.sparkSession.read.parquet(path).drop("batch")
+        labelled = narrow.join(missed, "job_id", "left").select("job_id", "code_hash", F.col("_miss").isNull().alias("hit"))
+        put(labelled.unionByName(late.select("job_id", "code_hash", F.lit(None).cast("boolean").alias("hit"))), at, n)
+        now = narrow.agg(F.max("t")).first()[0]
+        newest_t = max((x for x in (clock, now) if x is not None), default=None)
+        state = misses.groupBy("code_hash").agg(F.max("t").alias("last")).unionByName(last).groupBy("code_hash").agg(F.max("last").alias("last"))
+        if newest_t is not None:
+            state = state.filter(F.col("last") > newest_t - (late_seconds + ttl) * 1_000_000)
+        put(state, f"{at}-state", n)
+        put(spark.createDataFrame([(newest_t,)], "newest long").coalesce(1), f"{at}-clock", n)
+        for part in ("narrow", "instants", "misses"):
+            drop(spark, f"{at}-{part}/batch={n}")
+        if n > 1:
+            drop(spark, f"{at}-state/batch={n - 2}")
+
+    rows = each_batch(submissions, "reuse", write, path=path)
+    return spark.read.parquet(rows).drop("batch")
 
 
 def possible_hits(submissions: DataFrame, completions: DataFrame, ttl: int = reuse.TTL_SECONDS, salts: int = 8) -> DataFrame:
@@ -196,10 +306,10 @@ def possible_hits(submissions: DataFrame, completions: DataFrame, ttl: int = reu
 
 
 # ---- dashboards ----------------------------------------------------------------
-def dashboard(stream: DataFrame, aggregate: Callable[[DataFrame], DataFrame], purpose: str) -> DataFrame:
+def dashboard(stream: DataFrame, aggregate: Callable[[DataFrame], DataFrame], purpose: str, path: str | None = None) -> DataFrame:
     """A global aggregate that every batch replaces; the last one is returned."""
-    path = each_batch(aggregate(stream), purpose, lambda df, n, p: put(df, p, n), "complete")
-    rows = stream.sparkSession.read.parquet(path)
+    at = each_batch(aggregate(stream), purpose, lambda df, n, p: put(df, p, n), "complete", path)
+    rows = stream.sparkSession.read.parquet(at)
     return rows.join(F.broadcast(rows.agg(F.max("batch").alias("batch"))), "batch").drop("batch")
 
 
@@ -210,5 +320,69 @@ def letter_counts(letters: DataFrame) -> DataFrame:
         F.count_if("resolved").alias("resolved"), F.avg("retry_count").alias("avg_retries"))
 
 
-__all__ = ["to_table", "each_batch", "review", "first_report", "route", "route_by_batch", "latest_status",
-           "reuse_labels", "possible_hits", "dashboard", "letter_counts"]
+# ---- deadlines -----------------------------------------------------------------
+DEADLINE = "job_id long, event_id long, status string, ts long, outcome string"
+OPEN = "event_id long, status string, ts long"
+
+
+def deadlines(log: DataFrame, seconds: int, delay: str = "1 hour") -> DataFrame:
+    """Jobs that stay in a state that is not final for longer than ``seconds``: an event-time timeout per job.
+
+    log(job_id, event_id, status, ts).  A row per missed deadline: ``late`` when the next state came after it,
+    ``open`` when the watermark passed it with no further state.
+    """
+    wait = seconds * 1_000_000
+
+    def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        out: list[tuple] = []
+        if state.hasTimedOut:
+            out.append((key[0], *state.get, "open"))
+            state.remove()
+        else:
+            now = tuple(state.get) if state.exists else None
+            rows: list[tuple] = []
+            for c in chunks:
+                rows += zip(c["t"].tolist(), c["event_id"].tolist(), c["status"].tolist())
+            for t, event, status in sorted(rows):
+                if now is not None and t - now[2] > wait:
+                    out.append((key[0], *now, "late"))
+                now = None if status in J.TERMINAL else (event, status, t)
+            if now is None:
+                if state.exists:
+                    state.remove()
+            else:
+                state.update(now)
+                state.setTimeoutTimestamp(max((now[2] + wait) // 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["job_id", "event_id", "status", "ts", "outcome"])
+
+    narrow = log.select("job_id", "event_id", "status", micros(F.col("ts")).alias("t"), F.col("ts").cast("timestamp").alias("at"))
+    return narrow.withWatermark("at", delay).groupBy("job_id").applyInPandasWithState(
+        step, DEADLINE, OPEN, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def retention(letters: DataFrame, days: int, path: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows within ``days`` of the newest one seen, and per batch how many were kept and how many dropped.
+
+    letters(..., moved_to_dlq_at).  Every batch drops what has grown too old, from its own rows and from those
+    kept before, and says how many those were.
+    """
+    spark, schema = letters.sparkSession, letters.schema
+
+    def write(df: DataFrame, n: int, at: str) -> None:
+        old = spark.read.schema(schema).parquet(f"{at}/batch={n - 1}") if n > 0 else spark.createDataFrame([], schema)
+        rows = old.unionByName(df).withColumn("_t", micros(F.col("moved_to_dlq_at")))
+        newest_t = rows.agg(F.max("_t").alias("_now"))  # one row
+        marked = rows.crossJoin(F.broadcast(newest_t)).withColumn("_old", F.col("_t") < F.col("_now") - days * DAY)
+        put(marked.filter(~F.col("_old")).select(*df.columns), at, n)
+        put(marked.agg(F.count_if(~F.col("_old")).alias("kept"), F.count_if("_old").alias("dropped")), f"{at}-counts", n)
+        if n > 1:
+            drop(spark, f"{at}/batch={n - 2}")
+
+    at = each_batch(letters, "retained", write, path=path)
+    counts = spark.read.parquet(f"{at}-counts")
+    last = counts.agg(F.max("batch")).first()[0]
+    return spark.read.schema(schema).parquet(f"{at}/batch={last}"), counts
+
+
+__all__ = ["to_table", "each_batch", "review", "first_report", "dead_jobs", "route", "route_by_batch", "latest_status",
+           "reuse_labels", "possible_hits", "dashboard", "letter_counts", "deadlines", "retention", "Buckets"]

@@ -19,8 +19,8 @@ def rows(df, *order):
 def test_update_writes_nulls(spark):
     t = spark.createDataFrame([(1, "a", 5), (2, "b", 6)], "id int, s string, n int")
     c = spark.createDataFrame([(1, None)], "id int, s string")
-    assert rows(update_by_key(t, c, "id")) == [(1, None, 5), (2, "b", 6)]
-    assert rows(update_by_key(t, c, "id", keep_null=False)) == [(1, "a", 5), (2, "b", 6)]
+    assert rows(update_by_key(t, c, "id", ["s"])) == [(1, None, 5), (2, "b", 6)]
+    assert rows(update_by_key(t, c, "id", ["s"], keep_null=False)) == [(1, "a", 5), (2, "b", 6)]
 
 
 def test_insert_if_absent_is_idempotent(spark):
@@ -42,7 +42,53 @@ def test_routing_of_deliveries(spark):
     df = spark.createDataFrame([(i, m, f, at(s)) for i, m, f, s in d],
                                "delivery_id long, message_id string, failed boolean, delivered_at timestamp_ntz")
     got = rows(J.route_deliveries(df).select("delivery_id", "attempt", "status"))
-    assert got == [(1, 1, "retrying"), (2, 2, "retrying"), (3, 3, "dlq"), (5, 1, "retrying"), (6, 2, "complete"), (8, 1, "complete")]
+    assert got == [(1, 1, "retrying"), (2, 2, "retrying"), (3, 3, "dlq"), (4, None, "ignored"), (5, 1, "retrying"), (6, 2, "complete"),
+                   (7, None, "ignored"), (8, 1, "complete")]
+
+
+def test_repeated_changes_leave_one_row_per_job(spark):
+    jobs = spark.createDataFrame([(i, "queued", 0, None, None, None, None, "m") for i in range(4)],
+                                 "id int, status string, attempts int, last_error string, result string, completed_at timestamp_ntz, "
+                                 "processing_time_ms int, dlq_message_id string")
+    starts = spark.createDataFrame([(1, 1), (1, 2), (1, 1)], "id int, attempts int")
+    assert rows(J.start(jobs, starts).select("id", "status", "attempts")) == [
+        (0, "queued", 0), (1, "processing", 2), (2, "queued", 0), (3, "queued", 0)]
+    fails = spark.createDataFrame([(2, 1, "a"), (2, 1, "b")], "id int, attempts int, last_error string")
+    assert J.fail(jobs, fails).count() == 4
+    ends = spark.createDataFrame([(3, "r1", at(1), 5, 1), (3, "r2", at(2), 6, 1), (3, "r2", at(2), 6, 1)],
+                                 "id int, result string, completed_at timestamp_ntz, processing_time_ms int, attempts int")
+    assert rows(J.finish(jobs, ends).select("id", "result"))[3] == (3, "r2")
+    log = [(1, "start", at(1), 1, None, None, None), (1, "fail", at(2), 1, "boom", None, None), (1, "start", at(3), 2, None, None, None),
+           (1, "finish", at(4), 2, None, "r", 9), (2, "fail", at(2), 1, "x", None, None), (2, "start", at(2), 1, None, None, None)]
+    log = spark.createDataFrame(log + log, "id int, kind string, at timestamp_ntz, attempts int, last_error string, result string, processing_time_ms int")
+    got = rows(J.changed(jobs, log).select("id", "status", "attempts", "last_error", "result", "processing_time_ms", "dlq_message_id"))
+    assert got == [(0, "queued", 0, None, None, None, "m"), (1, "complete", 2, None, "r", 9, None),
+                   (2, "retrying", 1, "x", None, None, "m"), (3, "queued", 0, None, None, None, "m")]
+
+
+def test_pages_follow_each_other(spark):
+    letters = spark.range(120).select(
+        "id", (F.col("id") % 7).alias("job_id"), F.lit("m").alias("message_id"), F.lit(False).alias("resolved"),
+        F.timestamp_seconds((F.col("id") % 10).cast("long")).cast("timestamp_ntz").alias("moved_to_dlq_at"))
+    jobs = spark.range(7).select("id", F.lit("f").alias("file_name"), F.lit("dlq").alias("status"), F.lit(1).alias("attempts"))
+    want = [(r.moved_to_dlq_at, r.id) for r in letters.orderBy(F.desc("moved_to_dlq_at"), "id").collect()]
+    got, after = [], None
+    while True:
+        page = sorted(((r.moved_to_dlq_at, r.id) for r in DL.page(letters, jobs, limit=50, after=after).collect()),
+                      key=lambda x: (-x[0].timestamp(), x[1]))
+        if not page:
+            break
+        got += page
+        after = page[-1]
+    assert got == want
+
+
+def test_a_life_of_a_message_ends_after_a_day(spark):
+    day = 86_400
+    d = [(1, "a", True, 0), (2, "a", True, day - 1), (3, "a", True, day), (4, "a", False, 2 * day - 1), (5, "a", True, 2 * day), (6, "b", True, 5 * day)]
+    df = spark.createDataFrame([(i, m, f, at(s)) for i, m, f, s in d], "delivery_id long, message_id string, failed boolean, delivered_at timestamp_ntz")
+    assert rows(J.route_deliveries(df).select("delivery_id", "attempt", "status")) == [
+        (1, 1, "retrying"), (2, 2, "retrying"), (3, 1, "retrying"), (4, 2, "complete"), (5, 1, "retrying"), (6, 1, "retrying")]
 
 
 def test_history_is_cut_before_the_shuffle(spark):
@@ -76,7 +122,7 @@ def test_dead_letter_life(spark):
     full = letters.select("*", F.lit(None).cast("timestamp_ntz").alias("resolved_at"), F.lit(None).cast("string").alias("resolution_reason"))
     done = DL.resolve(full, spark.createDataFrame([(12, at(6), None)], "id long, resolved_at timestamp_ntz, reason string"))
     assert rows(done.select("id", "resolved", "resolution_reason")) == [(10, False, None), (12, True, "Manual resolution")]
-    listed = DL.page(letters, jobs, limit=1, offset=0)
+    listed = DL.page(letters, jobs, limit=1)
     assert listed.columns[:2] == ["id", "job_id"] and listed.first().id == 12 and listed.first().status is None
 
 

@@ -41,6 +41,62 @@ def test_routing(spark, tmp_path):
     assert as_set(ST.route_by_batch(stream), COLUMNS) == want
 
 
+def test_routers_agree_over_days_and_go_on_where_they_stopped(spark, tmp_path):
+    """Three batches two days apart; the last comes after a stop."""
+    rnd = random.Random(8)
+    rows = [(100 * b + i, f"m{rnd.randint(0, 12)}", rnd.random() < 0.8, T0 + timedelta(days=2 * b, hours=rnd.randint(0, 30)))
+            for b in range(3) for i in range(40)]
+    rows.sort(key=lambda r: r[3])
+    path, _ = folder(spark, tmp_path, rows[:80], DELIVERY, 2)
+
+    def stream():
+        return spark.readStream.schema(DELIVERY).option("maxFilesPerTrigger", 1).parquet(path)
+    where = {n: str(tmp_path / n) for n in ("state", "batch", "jobs", "first")}
+
+    def reports():
+        return stream().select(F.col("delivery_id").alias("id"), "message_id", F.col("message_id").alias("job_id"), F.lit("e").alias("last_error"),
+                               F.col("delivered_at").alias("moved_to_dlq_at"))
+
+    def run():
+        return (as_set(ST.to_table(ST.route(stream()), "routed", where["state"]), COLUMNS),
+                as_set(ST.route_by_batch(stream(), path=where["batch"]), COLUMNS),
+                as_set(ST.dead_jobs(reports(), where["jobs"]), ["job_id", "id"]), as_set(ST.first_report(reports(), where["first"]), ["message_id", "id"]))
+    first = run()
+    spark.createDataFrame(rows[80:], DELIVERY).coalesce(1).write.mode("append").parquet(path)
+    second = run()
+    batch = spark.read.parquet(path)
+    want = as_set(J.route_deliveries(batch), COLUMNS)
+    assert second[0] == second[1] == want and len(want) == 120 and first[0] < second[0]
+    last, earliest = {}, {}
+    for i, m, _, t in rows:
+        last[m] = max(last.get(m, (t, i)), (t, i))
+        earliest[m] = min(earliest.get(m, (t, i)), (t, i))
+    assert second[2] == {(m, i) for m, (_, i) in last.items()}
+    assert second[3] == {(m, i) for m, (_, i) in earliest.items()}
+    states = spark.read.parquet(f"{where['batch']}/rows-state/batch=2")
+    assert states.count() <= 13
+
+
+def test_late_rows_are_set_apart_and_old_misses_forgotten(spark, tmp_path):
+    rows = [(1, "a", T0), (2, "a", T0 + timedelta(minutes=5)), (3, "b", T0 + timedelta(hours=5)), (4, "a", T0 + timedelta(hours=1)), (5, "b", T0 + timedelta(hours=5, minutes=1))]
+    path, stream = folder(spark, tmp_path, rows, "job_id long, code_hash string, created_at timestamp_ntz", 5)
+    where = str(tmp_path / "reuse")
+    got = as_set(ST.reuse_labels(stream, path=where), ["job_id", "hit"])
+    assert got == {(1, False), (2, True), (3, False), (4, None), (5, True)}
+    assert as_set(spark.read.parquet(f"{where}/rows-state/batch=4"), ["code_hash"]) == {("b",)}
+
+
+def test_deadlines_and_retention(spark, tmp_path):
+    rows = [(1, 1, "queued", T0), (1, 2, "processing", T0 + timedelta(seconds=40)), (1, 3, "complete", T0 + timedelta(seconds=50)),
+            (2, 4, "queued", T0 + timedelta(seconds=55)), (3, 5, "queued", T0 + timedelta(hours=9)), (3, 6, "complete", T0 + timedelta(hours=9, seconds=1))]
+    schema = "job_id long, event_id long, status string, ts timestamp_ntz"
+    _, stream = folder(spark, tmp_path, rows, schema, 3)
+    got = as_set(ST.to_table(ST.deadlines(stream, 30), "missed"), ["job_id", "event_id", "outcome"])
+    assert got == {(1, 1, "late"), (2, 4, "open")}
+    kept, counts = ST.retention(stream.withColumnRenamed("ts", "moved_to_dlq_at"), 0)
+    assert kept.count() == 1 and counts.agg(F.sum("dropped")).first()[0] == 5
+
+
 @pytest.mark.parametrize("hot_rows", [10_000, 40])
 def test_reuse(spark, tmp_path, hot_rows):
     rnd = random.Random(5)
