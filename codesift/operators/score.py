@@ -71,7 +71,7 @@ def grade_of(score: Column) -> Column:
     grade = F.lit(LOWEST_GRADE)
     for letter, least in reversed(GRADES):
         grade = F.when(score >= least, letter).otherwise(grade)
-    return grade
+    return F.when(score.isNotNull(), grade)
 
 
 def in_bucket(issues: Column, bucket: str) -> Column:
@@ -85,10 +85,13 @@ def severe(issues: Column) -> Column:
 
 
 def scored(reviewed: DataFrame) -> DataFrame:
-    """Adds counts per bucket, score and grade; narrow when only these are selected."""
+    """Adds counts per bucket, score and grade; narrow when only these are selected.
+
+    A file without text was not reviewed: it has neither score nor grade.
+    """
     return reviewed.withColumns({
         **{f"n_{b}": F.size(in_bucket(F.col("issues"), b)) for b in BUCKETS},
-        "n_issues": F.size("issues"), "score": score_of(F.col("issues")),
+        "n_issues": F.size("issues"), "score": F.when(F.col("n_lines").isNotNull(), score_of(F.col("issues"))),
     }).withColumn("grade", grade_of(F.col("score")))
 
 

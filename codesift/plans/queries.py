@@ -51,9 +51,14 @@ def hashed(spark: SparkSession, sf: str) -> DataFrame:
     return U.with_hash(D.submissions(spark, sf))
 
 
+def hashed_once(spark: SparkSession, sf: str, *more: str) -> DataFrame:
+    """Submissions without their texts, written: each file is hashed a single time, no text meets a shuffle."""
+    of = U.with_hash(D.files(spark, sf)).select("file_id", "file_name", "code_hash", F.octet_length("content").alias("n_bytes"))
+    return store(D.submissions(spark, sf, of).select("job_id", "code_hash", "created_at", *more), "hashed")
+
+
 def labelled(spark: SparkSession, sf: str, *more: str) -> DataFrame:
-    return U.label(hashed(spark, sf).select(
-        "job_id", "user_id", "code_hash", "created_at", F.octet_length("content").alias("n_bytes"), *more))
+    return U.label(hashed_once(spark, sf, "user_id", "n_bytes", *more))
 
 
 def letters(spark: SparkSession, sf: str) -> DataFrame:
@@ -241,16 +246,19 @@ def _(spark, sf):
 
 @query("j03_cache_lookup")
 def _(spark, sf):
-    h = hashed(spark, sf).select("job_id", "code_hash", "created_at")
+    h = hashed_once(spark, sf)
     cache = h.filter(F.col("job_id") % 3 == 0).select("code_hash", F.col("created_at").alias("cached_at"))
     return U.live_entry(h, cache).select("job_id", "cached_at")
 
 
 @query("j04_review_once_per_hash")
 def _(spark, sf):
-    h = U.with_hash(D.submissions(spark, sf, D.code_files(spark, sf)))
-    first = U.first_submissions(h)
-    once = h.join(first.select("job_id"), "job_id", "left_semi").select("code_hash", "file_name", "content")
+    files = D.code_files(spark, sf)
+    of = U.with_hash(files).select("file_id", "code_hash")
+    h = store(D.submissions(spark, sf, of).select("job_id", "file_id", "code_hash", "created_at"), "hashed")
+    first = h.groupBy("code_hash").agg(F.min(F.struct("created_at", "job_id", "file_id")).alias("f")).select("code_hash", "f.file_id")
+    # texts of the chosen files only; the hash was computed above
+    once = files.join(first, "file_id")
     results = store(C.scored(C.with_issues(S.scan(once))).select(
         "code_hash", F.col("file_name").alias("result_name"), "score", "grade"), "results")
     return h.select("job_id", "code_hash").join(results, "code_hash").select("job_id", "result_name", "score", "grade")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -33,13 +35,14 @@ def scratch(spark: SparkSession, purpose: str) -> str:
     """A new folder below the one the cluster shares between its machines.
 
     The folder comes from ``spark.checkpoint.dir``.  Only a local session may
-    fall back to a folder of its own.
+    fall back to a folder of its own, which goes when the process ends.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="codesift-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 

@@ -12,13 +12,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores for a source with fewer splits than there are cores.
+    """Deal out a source that would keep all but a few cores idle, such as one file with one row group.
 
-    The scan does much work per row.  A source of many files or row groups is
-    left as it is, so a large table is never shuffled for this.
+    The scan does much work per row.  A table with a split for at least every eighth core is read as it lies: its
+    texts are never shuffled to fill the rest.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() * 8 <= cores else df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,15 +50,17 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def submissions(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
-    """Every event submits a file; many events submit the same one."""
+    """Every event submits a file; many events submit the same one.
+
+    ``of`` are the files, or what is needed of them: hashes computed there are computed once per file.
+    """
     of = files(spark, sf_dir) if of is None else of
     events = table(spark, sf_dir, "events")
     count = table(spark, sf_dir, "documents").agg(F.count("*").alias("n"))
     picked = events.crossJoin(F.broadcast(count)).select(  # one row on the right
         F.col("event_id").alias("job_id"), "user_id", (F.col("event_id") % F.col("n")).alias("file_id"),
         F.col("ts").alias("created_at"))
-    return picked.join(of, "file_id").select(
-        "job_id", "user_id", "file_id", "file_name", "content", "created_at")
+    return picked.join(of, "file_id").select("job_id", "user_id", *of.columns, "created_at")
 
 
 STATUS_BY_EVENT = {"signup": "queued", "view": "processing", "purchase": "complete", "error": "retrying"}

@@ -83,9 +83,14 @@ def write_results(results: DataFrame, path: str, key: str = "job_id") -> None:
 
 
 def write_cache(entries: DataFrame, path: str) -> None:
-    """Append (code_hash, result, cached_at), laid out by the first two digits of the hash."""
-    entries.withColumn("prefix", F.substring("code_hash", 1, 2)).repartition("prefix").write.mode(
-        "append").partitionBy("prefix").parquet(path)
+    """Append (code_hash, result, cached_at), laid out by the first two digits of the hash.
+
+    Each of the 256 folders is written by as many tasks as the session's shuffle has to spare.
+    """
+    parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salt = F.pmod(F.xxhash64("code_hash"), F.lit(max(1, parts // 256)))
+    entries.withColumns({"prefix": F.substring("code_hash", 1, 2), "_salt": salt}).repartition("prefix", "_salt").drop(
+        "_salt").write.mode("append").partitionBy("prefix").parquet(path)
 
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
@@ -95,10 +100,9 @@ def read_cache(spark: SparkSession, path: str) -> DataFrame:
 def write_reports(reports: DataFrame, path: str) -> None:
     """One row per report, ordered by key inside each file so that a look-up skips row groups.
 
-    Partitioned by hash: a range would first sample, and so compute, every report.
+    Sorted in the task that made the reports: their texts are not shuffled.
     """
-    key = reports.columns[0]
-    reports.repartition(key).sortWithinPartitions(key).write.mode("append").parquet(path)
+    reports.sortWithinPartitions(reports.columns[0]).write.mode("append").parquet(path)
 
 
 def export_report(spark: SparkSession, path: str, key: str, value, target: str) -> None:
