@@ -267,9 +267,16 @@ def train(htmls: list[str], seed: int = SEED) -> Boosted:
 
 
 def sampled(pages: DataFrame, most: int = SAMPLE_PAGES) -> list[str]:
-    """A bounded sample that does not depend on the order of the rows: the pages with the smallest hashes."""
-    rows = pages.filter("html is not null").select("html", F.xxhash64(F.lit(SEED), "page_id", "url").alias("h"))
-    return [x["html"] for x in rows.orderBy("h", F.length("html"), "html").limit(most).collect()]
+    """A bounded sample that does not depend on the order of the rows: the pages with the smallest hashes.
+
+    The bound of the hashes is found first, from ids and URLs alone, so tasks send no more pages than that.
+    """
+    rows = pages.filter("html is not null").withColumn("h", F.xxhash64(F.lit(SEED), "page_id", "url"))
+    bound = rows.select("h").orderBy("h").limit(most).agg(F.max("h")).first()[0]
+    if bound is None:
+        return []
+    few = rows.filter(F.col("h") <= bound).select("html", "h")
+    return [x["html"] for x in few.orderBy("h", F.length("html"), "html").limit(most).collect()]
 
 
 def main_texts(pages: DataFrame, model: Boosted | None = None) -> DataFrame:
