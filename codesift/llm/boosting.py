@@ -28,8 +28,10 @@ class Boosted:
         return out
 
 
-def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, trees: int = 60, depth: int = 4, rate: float = 0.2, least: float = 5.0) -> Boosted:
-    """Newton steps on the logistic loss; splits by the gain over all bins of all features."""
+def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, trees: int = 100, depth: int = 5, rate: float = 0.2, least: float = 3.0,
+        rows: float = 0.5, columns: float = 0.4, seed: int = 1) -> Boosted:
+    """Newton steps on the logistic loss; splits by the gain over all bins of some features, on some rows for each tree."""
+    rng = np.random.default_rng(seed)
     n, width = x.shape
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(width)]
     binned = np.stack([np.searchsorted(c, x[:, j], side="left") for j, c in enumerate(cuts)], axis=1)
@@ -37,18 +39,21 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, trees: int = 60, depth
     base = float(np.log(mean / (1 - mean)))
     score = np.full(n, base)
     all_f, all_c, all_l = [], [], []
-    inner, size = (1 << depth) - 1, width * BINS
-    columns = np.arange(width) * BINS
+    inner, used = (1 << depth) - 1, max(1, int(width * columns))
+    offset = np.arange(used) * BINS
     for _ in range(trees):
-        p = 1 / (1 + np.exp(-score))
-        g, h = weight * (p - y), weight * np.maximum(p * (1 - p), 1e-6)
+        own, some = np.sort(rng.permutation(width)[:used]), np.flatnonzero(rng.random(n) < rows)
+        p = 1 / (1 + np.exp(-score[some]))
+        g, h = weight[some] * (p - y[some]), weight[some] * np.maximum(p * (1 - p), 1e-6)
+        part, values = binned[np.ix_(some, own)], x[some]
         feature, cut = np.zeros(inner, np.int64), np.full(inner, np.inf)
-        node = np.zeros(n, np.int64)
+        node = np.zeros(len(some), np.int64)
+        each_g, each_h = np.repeat(g, used), np.repeat(h, used)
         for level in range(depth):
             first, many = (1 << level) - 1, 1 << level
-            at = ((node - first) * size)[:, None] + columns + binned
-            gs = np.bincount(at.ravel(), np.repeat(g, width), many * size).reshape(many, width, BINS)
-            hs = np.bincount(at.ravel(), np.repeat(h, width), many * size).reshape(many, width, BINS)
+            at = (((node - first) * (used * BINS))[:, None] + offset + part).ravel()
+            gs = np.bincount(at, each_g, many * used * BINS).reshape(many, used, BINS)
+            hs = np.bincount(at, each_h, many * used * BINS).reshape(many, used, BINS)
             gl, hl = gs.cumsum(2), hs.cumsum(2)
             gt, ht = gl[:, :, -1:], hl[:, :, -1:]
             gr, hr = gt - gl, ht - hl
@@ -58,12 +63,13 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, trees: int = 60, depth
             best = flat.argmax(1)
             for k in range(many):
                 j, b = divmod(int(best[k]), BINS)
-                if flat[k, best[k]] > 1e-9 and b < len(cuts[j]):
-                    feature[first + k], cut[first + k] = j, cuts[j][b]
-            node = 2 * node + 1 + (x[np.arange(n), feature[node]] > cut[node])
+                if flat[k, best[k]] > 1e-9 and b < len(cuts[own[j]]):
+                    feature[first + k], cut[first + k] = own[j], cuts[own[j]][b]
+            node = 2 * node + 1 + (values[np.arange(len(some)), feature[node]] > cut[node])
         slot = node - inner
         leaf = -rate * np.bincount(slot, g, 1 << depth) / (np.bincount(slot, h, 1 << depth) + 1)
-        score += leaf[slot]
+        tree = Boosted(0.0, feature[None], cut[None], leaf[None])
+        score += tree.logit(x)
         all_f.append(feature)
         all_c.append(cut)
         all_l.append(leaf)

@@ -22,7 +22,7 @@ shipped(__name__)
 
 # production parameters
 SAMPLE_PAGES = 300  # pages the model is trained on, at most
-DRESSED = 3  # times each of them is dressed anew
+DRESSED = 5  # times each of them is dressed anew
 SEED = 4
 PAGES_AT_ONCE = 256
 
@@ -188,19 +188,45 @@ def dressed(r: random.Random, paragraphs: list[str], other: list[str]) -> str:
     def yes(tag: str, inner: str) -> str:
         return f'<{tag} {KEEP}="">{inner}</{tag}>'
 
+    def inline(p: str) -> str:
+        """Some words of a paragraph in bold or in a link."""
+        if r.random() > 0.2:
+            return p
+        w = p.split()
+        i = r.randrange(len(w)) if w else 0
+        return " ".join(w[:i] + [yes(r.choice(["b", "em", "span", "a", "strong"]), " ".join(w[i:i + r.randint(1, 6)]))] + w[i + 6:])
+
+    def cut(p: str) -> str:
+        """Paragraphs of any length: as they are, or some of their words."""
+        w = p.split()
+        return p if r.random() < 0.5 else " ".join(w[:r.randint(1, 30)])
+
     body = []
     for i, p in enumerate(paragraphs):
-        p = escaping.escape(p)
-        if r.random() < 0.08:
-            p = yes(r.choice(["b", "em", "span", "a", "strong"]), p)
-        kind = "h1" if i == 0 else r.choices(["p", "h2", "li", "blockquote", "div", "td", "pre"], [80, 6, 5, 3, 3, 2, 1])[0]
-        body.append(yes("ul", yes("li", p)) if kind == "li" else yes("table", yes("tr", yes("td", p))) if kind == "td" else yes(kind, p))
-        if r.random() < 0.05:
+        p = inline(escaping.escape(cut(p)))
+        kind = r.choice(["h1", "h1", "h2"]) if i == 0 else r.choices(
+            ["p", "heading", "list", "blockquote", "div", "table", "pre", "figure"], [66, 10, 9, 4, 4, 4, 1, 2])[0]
+        few = [escaping.escape(words(1, 12)) for _ in range(r.randint(1, 6))]
+        if kind == "list":
+            p = yes(r.choice(["ul", "ol"]), "".join(yes("li", x) for x in [p, *few]))
+        elif kind == "table":
+            p = yes("table", "".join(yes("tr", "".join(yes("td", x) for x in (y, *few[:2]))) for y in [p, *few[2:]]))
+        elif kind == "figure":
+            p = yes("figure", yes("figcaption", p))
+        elif kind == "heading":
+            p = yes(r.choice(["h2", "h3", "h4"]), " ".join(p.split()[:8]) if "<" not in p else p)
+        else:
+            p = yes(kind, p)
+        body.append(p)
+        if r.random() < 0.06:
             body.append(r.choice([advert, share, form, notice, side])())
     if r.random() < 0.3:
         body[0] = yes("header", body[0])
-    article = _tagged(r, True, *r.choice([("article", None), ("article", "content"), ("article", None), ("main", "content"), ("div", "content"), ("div", "content"), ("section", "content")]), "".join(body))
-    for _ in range(r.randint(0, 3)):
+    if r.random() < 0.15:
+        body.append(r.choice([comments, form, share, side])())
+    article = _tagged(r, True, *r.choice([("article", None), ("article", "content"), ("article", None), ("main", "content"), ("main", None), ("div", "content"),
+                                          ("div", "content"), ("div", None), ("section", "content")]), "".join(body))
+    for _ in range(r.choice([0, 0, 1, 1, 2, 3])):
         extra = r.choice([side, share, comments, advert])() if r.random() < 0.4 else ""
         article = _tagged(r, True, r.choice(["div", "div", "main", "section"]), r.choice([None, "content"]), article + extra)
     before = [f() for f in (notice, head, menu, advert, form, side) if r.random() < 0.5]
@@ -252,6 +278,7 @@ def train(htmls: list[str], seed: int = SEED) -> Boosted:
         blocks = page.text([bool(x) for x in label]).split("\n\n")
         if blocks and blocks[0]:
             articles.append(blocks)
+    plain = len(rows)
     articles = articles or [["A text that stands for a page."] * 5]
     other = [b for a in articles for b in a[:6]]
     for blocks in articles:
@@ -262,6 +289,8 @@ def train(htmls: list[str], seed: int = SEED) -> Boosted:
             labels.append(np.array(page.label, float))
     for x in rows:
         weights.append(np.full(len(x), 1 / np.sqrt(len(x))))
+    for i in range(plain):  # pages as they are look all alike
+        weights[i] *= 0.5
     weight = np.concatenate(weights)
     return fit(np.concatenate(rows), np.concatenate(labels), weight / weight.mean())
 

@@ -87,7 +87,7 @@ def test_boosting_learns_and_is_repeatable():
     rng = np.random.default_rng(0)
     x = rng.random((4000, 5))
     y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.3)).astype(float)
-    a, b = fit(x[:3000], y[:3000], np.ones(3000)), fit(x[:3000], y[:3000], np.ones(3000))
+    a, b = fit(x[:3000], y[:3000], np.ones(3000), columns=0.6), fit(x[:3000], y[:3000], np.ones(3000), columns=0.6)
     assert ((a.logit(x[3000:]) > 0) == y[3000:]).mean() > 0.97 and (a.logit(x) == b.logit(x)).all()
 
 
