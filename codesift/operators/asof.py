@@ -1,8 +1,9 @@
 """Nearest point in time per key, without pairing all rows of a key.
 
-Time is cut into cells.  Inside a cell a running minimum or maximum finds the
-nearest point; across cells one summary row per cell is enough.  A key with
-very many rows is spread over its cells instead of filling one task.
+Time is cut into cells and cells into blocks.  Inside a cell a running minimum
+or maximum finds the nearest point; across the cells of a block one summary row
+per cell is enough, across blocks one per block.  A key with very many rows is
+spread over its cells, and its cells over their blocks, instead of filling one task.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ def micros(ts: Column) -> Column:
 
 
 def nearest(probes: DataFrame, points: DataFrame, keys: list[str], probe_time: str, point_time: str,
-            forward: bool, cell_micros: int = 60_000_000) -> DataFrame:
+            forward: bool, cell_micros: int = 1_000_000, block_cells: int = 3600) -> DataFrame:
     """probes plus ``matched``: the nearest point time of the key, at or after (before) the probe.
 
     Both times are in microseconds; ``matched`` is null when there is none.
@@ -30,9 +31,16 @@ def nearest(probes: DataFrame, points: DataFrame, keys: list[str], probe_time: s
     near = Window.partitionBy(*keys, "_cell").orderBy(order("_t")).rangeBetween(
         Window.unboundedPreceding, Window.currentRow)
     local = union.withColumn("_local", best("_y").over(near)).filter("_row is not null")
-    beyond = Window.partitionBy(*keys).orderBy(order("_cell")).rowsBetween(Window.unboundedPreceding, -1)
-    cells = union.groupBy(*keys, "_cell").agg(best("_y").alias("_edge")).select(
-        *keys, "_cell", best("_edge").over(beyond).alias("_far"))
+
+    def beyond(*group: str, by: str):
+        return Window.partitionBy(*group).orderBy(order(by)).rowsBetween(Window.unboundedPreceding, -1)
+
+    cells = union.groupBy(*keys, "_cell").agg(best("_y").alias("_edge")).withColumn(
+        "_block", F.floor(F.col("_cell") / F.lit(block_cells)))
+    blocks = cells.groupBy(*keys, "_block").agg(best("_edge").alias("_edge")).select(
+        *keys, "_block", best("_edge").over(beyond(*keys, by="_block")).alias("_far"))
+    cells = cells.withColumn("_inside", best("_edge").over(beyond(*keys, "_block", by="_cell"))).join(
+        blocks, [*keys, "_block"], "left").select(*keys, "_cell", F.coalesce("_inside", "_far").alias("_far"))
     return local.join(cells, [*keys, "_cell"], "left").select(
         *[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in probes.columns],
         F.coalesce("_local", "_far").alias("matched"))

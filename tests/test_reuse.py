@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from codesift.operators import reuse as U
@@ -87,3 +88,16 @@ def test_statistics_and_hit_document(spark):
                                 "r struct<fileName:string,metrics:struct<reviewTime:string,processingTimeMs:int>>")
     got = [tuple(r) for r in doc.select(U.hit_result(F.col("r"))["metrics"].alias("m")).select("m.*").collect()]
     assert got == [("<0.1s", 0, "1.5s", 1500), ("<0.1s", 0, "N/A", 0)]
+
+
+@pytest.mark.parametrize("forward", [True, False])
+def test_nearest_with_one_key_in_most_rows(spark, forward):
+    rnd = random.Random(4)
+    point_rows = [("hot" if rnd.random() < 0.9 else f"k{rnd.randint(0, 5)}", rnd.randint(0, 20_000_000_000)) for _ in range(700)]
+    probe_rows = [(i, "hot" if rnd.random() < 0.9 else f"k{rnd.randint(0, 6)}", rnd.randint(0, 20_000_000_000)) for i in range(700)]
+    probes = spark.createDataFrame(probe_rows, "i long, k string, p long")
+    points = spark.createDataFrame(point_rows, "k string, c long")
+    got = {r.i: r.matched for r in nearest(probes, points, ["k"], "p", "c", forward, 1_000_000, 60).collect()}
+    for i, k, p in probe_rows:
+        near = [c for h, c in point_rows if h == k and (c >= p if forward else c <= p)]
+        assert got[i] == ((min(near) if forward else max(near)) if near else None)
