@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import shipped
 from .store import Workspace
-from .words import CACHED_WORDS, CHUNK_WORDS, binary, mix, windows
+from .words import CHUNK_WORDS, binary, mix, windows
 
 shipped(__name__)
 
@@ -36,62 +36,68 @@ UNIT_WORDS = ("mm cm m km inch inches foot feet yard yards mile miles g kg mg lb
 LITERAL, NUMBER, UNIT, NAME, NOTHING = range(5)
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(?:%|[a-z]{1,3})?")
 _OUTER = re.compile(r"^[^\w$€£+-]+|[^\w%]+$")
+_LETTER = re.compile(r"\w")
 BREAK = b"\x00"
+NUMBER_BYTES, UNIT_BYTES = ({w.encode() for w in words} for words in (NUMBER_WORDS, UNIT_WORDS))
+VOCABULARY = 1 << 19  # words remembered by a task
 
 
 class Vocabulary(dict):
     """Number of each word, with its placeholder, hash, and whether it may be a name or ends a sentence."""
 
+    CAP, ENDS = 8, 16  # flags beside the kind
+
     def __init__(self) -> None:
-        self.size = 1 << 12
-        self.kind, self.cap, self.ends = np.zeros(self.size, np.int8), np.zeros(self.size, bool), np.zeros(self.size, bool)
-        self.hash = np.zeros(self.size, np.uint64)
+        self.flags, self.hash = np.zeros(1 << 12, np.uint8), np.zeros(1 << 12, np.uint64)
 
     def __missing__(self, word: bytes) -> int:
         i = len(self)
-        if i >= self.size:
-            self.size *= 2
-            for field in ("kind", "cap", "ends", "hash"):
-                old = getattr(self, field)
-                setattr(self, field, np.concatenate([old, np.zeros_like(old)]))
-        text = word.decode("utf-8", "replace")
-        core = _OUTER.sub("", text)
-        low = core.lower()
-        self.kind[i] = (NOTHING if not re.search(r"\w", core) else NUMBER if _NUMBER.fullmatch(low) or low in NUMBER_WORDS
-                        else UNIT if low in UNIT_WORDS else LITERAL)
-        self.cap[i] = core[:1].isupper() and core[1:].islower()
-        self.ends[i] = word == BREAK or text.rstrip("\"')]}»”’*#$%&").endswith((".", "!", "?", ":"))
-        self.hash[i] = xxhash.xxh3_64_intdigest(low.encode("utf-8", "replace"))
+        if i >= len(self.flags):
+            self.flags, self.hash = (np.concatenate([x, np.zeros_like(x)]) for x in (self.flags, self.hash))
+        if word.isalpha() and word.islower():  # plain ASCII
+            self.flags[i] = NUMBER if word in NUMBER_BYTES else UNIT if word in UNIT_BYTES else LITERAL
+            self.hash[i] = xxhash.xxh3_64_intdigest(word)
+        else:
+            text = word.decode("utf-8", "replace")
+            core = _OUTER.sub("", text)
+            low = core.lower()
+            kind = (NOTHING if not _LETTER.search(core) else NUMBER if _NUMBER.fullmatch(low) or low in NUMBER_WORDS
+                    else UNIT if low in UNIT_WORDS else LITERAL)
+            cap = core[:1].isupper() and core[1:].islower()
+            ends = word == BREAK or text.rstrip("\"')]}»”’*#$%&").endswith((".", "!", "?", ":"))
+            self.flags[i] = kind + self.CAP * cap + self.ENDS * ends
+            self.hash[i] = xxhash.xxh3_64_intdigest(low.encode("utf-8", "replace"))
         self[word] = i
         return i
 
 
-def template(ids: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each template word, value of its slot (0 for literals), and whether it is a literal."""
-    kind = v.kind[ids].copy()
-    first = np.concatenate([[True], v.ends[ids[:-1]]]) if len(ids) else np.zeros(0, bool)
-    # a word of mere punctuation between a full stop and a word does not hide the beginning of the sentence
-    at = np.flatnonzero(first | (kind != NOTHING))
-    started = np.zeros(len(ids), bool)
-    started[at] = first[at]
-    for i in np.flatnonzero((kind == NOTHING) & started).tolist():
-        if i + 1 < len(ids):
-            started[i + 1] = True
-            if kind[i + 1] == NOTHING and i + 2 < len(ids):
-                started[i + 2] = True
-    kind[(kind == LITERAL) & v.cap[ids] & ~started] = NAME
-    use = kind != NOTHING
-    ids, kind = ids[use], kind[use]
+def template(ids: np.ndarray, begins: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Template words of texts one after another: hash, slot value (0 for literals), literal or not, place in ids.
+
+    ``begins`` tells the first word of each text.  A name is a capitalised word that does not begin a sentence: since
+    the last word before it nothing, be it that word, punctuation or a line end, has ended one.
+    """
+    flags = v.flags[ids]
+    kind = flags & 7
+    at = np.flatnonzero(kind != NOTHING)
+    ended = np.cumsum((flags & v.ENDS) != 0)
+    ended = np.concatenate([[0], ended])  # ended[i]: ends before place i
+    started = np.ones(len(at), bool)
+    started[1:] = ended[at[1:]] > ended[at[:-1]]
+    started |= np.concatenate([[True], np.cumsum(begins)[at[1:]] > np.cumsum(begins)[at[:-1]]])[:len(at)]
+    kind, ids = kind[at], ids[at]
+    kind[(kind == LITERAL) & ((flags[at] & v.CAP) != 0) & ~started] = NAME
     value = v.hash[ids]
     literal = kind == LITERAL
-    return np.where(literal, value, mix(kind.astype(np.uint64), 9)), np.where(literal, np.uint64(0), value | np.uint64(1)), literal
+    return np.where(literal, value, mix(kind.astype(np.uint64), 9)), np.where(literal, np.uint64(0), value | np.uint64(1)), literal, at
 
 
-def template_windows(t: np.ndarray, literal: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each window of k template words, and which have enough literals."""
-    w = windows(t, k)
+def template_windows(t: np.ndarray, literal: np.ndarray, end: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each window of k template words, and which lie in one text (that ends at ``end``) with enough literals."""
+    w = mix(windows(t, k), k)
     many = np.concatenate([[0], np.cumsum(literal)])
-    return w, many[k:] - many[:len(many) - k] >= min(LEAST_LITERALS, k)
+    n = len(w)
+    return w, (many[k:k + n] - many[:n] >= min(LEAST_LITERALS, k)) & (end[:n] >= np.arange(n) + k)
 
 
 ROW = "id long, window long, place long, length long, slots array<long>"
@@ -105,6 +111,35 @@ def windows_of(rows: DataFrame, id_column: str, lengths: list[int] | None, wante
     not emitted.
     """
 
+    def found(ids: list, parts: list[np.ndarray], v: Vocabulary, asked: np.ndarray | None, bits: np.ndarray) -> pa.RecordBatch:
+        size = np.array([len(p) for p in parts], np.int64)
+        words = np.concatenate(parts)
+        doc = np.repeat(np.arange(len(parts)), size)
+        begins = np.ones(len(doc), bool)
+        begins[1:] = doc[1:] != doc[:-1]
+        t, slots, literal, at = template(words, begins, v)
+        doc = doc[at]
+        size = np.bincount(doc, minlength=len(parts))
+        end, first = np.cumsum(size), np.cumsum(size) - size
+        out: list[list] = [[], [], [], [], []]
+        own = np.minimum(size, WINDOW)
+        for k in lengths if lengths is not None else sorted(set(own[own > 0].tolist())):
+            w, ok = template_windows(t, literal, end[doc], k)
+            if lengths is None:
+                ok &= own[doc[:len(w)]] == k
+            if asked is not None:
+                ok &= bits[w >> np.uint64(44)]
+            hits = np.flatnonzero(ok)
+            if asked is not None and len(hits):
+                place = np.minimum(np.searchsorted(asked, w[hits]), len(asked) - 1)
+                hits = hits[asked[place] == w[hits]]
+            for p in hits.tolist():
+                d = doc[p]
+                for column, value in zip(out, (ids[d], int(w[p].astype(np.int64)), p - int(first[d]), int(size[d]), slots[p:p + k].view(np.int64).tolist())):
+                    column.append(value)
+        kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())]
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=["id", "window", "place", "length", "slots"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = Vocabulary()
         asked = wanted.value if wanted is not None else None
@@ -112,47 +147,26 @@ def windows_of(rows: DataFrame, id_column: str, lengths: list[int] | None, wante
         if asked is not None:
             bits[asked >> np.uint64(44)] = True
         for batch in batches:
-            ids = batch.column(id_column).to_pylist()
-            out: list[list] = [[], [], [], [], []]
-            size = 0
-            for row, text in enumerate(binary(batch, "text")):
-                if text:
-                    words = text.replace(b"\n", b" \x00 ").split()
-                    n = len(words)
-                    t, slots, literal = template(np.fromiter(map(v.__getitem__, words), np.int64, n), v)
-                    for k in lengths if lengths is not None else [min(WINDOW, len(t))]:
-                        if not 0 < k <= len(t):
-                            continue
-                        w, ok = template_windows(t, literal, k)
-                        w = mix(w, k)
-                        if asked is not None:
-                            ok &= bits[w >> np.uint64(44)]
-                        at = np.flatnonzero(ok)
-                        if asked is not None and len(at):
-                            found = np.searchsorted(asked, w[at])
-                            at = at[(found < len(asked)) & (asked[np.minimum(found, len(asked) - 1)] == w[at])]
-                        for p in at.tolist():
-                            out[0].append(ids[row])
-                            out[1].append(int(w[p].astype(np.int64)))
-                            out[2].append(p)
-                            out[3].append(len(t))
-                            out[4].append(slots[p:p + k].view(np.int64).tolist())
-                    size += n
-                if size >= CHUNK_WORDS:
-                    yield _rows(out)
-                    out, size = [[], [], [], [], []], 0
-                    if len(v) > CACHED_WORDS:
+            names = batch.column(id_column).to_pylist()
+            ids, parts, many = [], [], 0
+            for name, text in zip(names, binary(batch, "text")):
+                if not text:
+                    continue
+                words = text.replace(b"\n", b" \x00 ").split()
+                ids.append(name)
+                parts.append(np.fromiter(map(v.__getitem__, words), np.int32, len(words)))
+                many += len(words)
+                if many >= CHUNK_WORDS:
+                    yield found(ids, parts, v, asked, bits)
+                    ids, parts, many = [], [], 0
+                    if len(v) > VOCABULARY:
                         v = Vocabulary()
-            yield _rows(out)
+            if parts:
+                yield found(ids, parts, v, asked, bits)
 
     return rows.select(F.col(id_column).cast("long").alias(id_column), "text").mapInArrow(run, ROW)
 
 
-def _rows(out: list[list]) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())]
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=["id", "window", "place", "length", "slots"])
-
-
 def leaks(docs: DataFrame, benchmark: DataFrame, work: Workspace, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """Pairs of a document and a benchmark item it contains: doc_id, item_id, n_windows, item_windows, reparameterised.
 
