@@ -53,6 +53,7 @@ def op10_hypergeometric_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_minhash_near_duplicates, op2_suffix_array_quality, op3_systematic_mixing,
-    op4_boosted_html_extraction, op5_warc_round_trip, op6_edit_aware_token_counts, op7_perspective_rotation, op8_debruijn_substring_dedup, op9_template_decontamination, op10_hypergeometric_sharding)}
+    op1_minhash_near_duplicates, op2_suffix_array_quality, op3_systematic_mixing, op4_boosted_html_extraction,
+    op5_warc_round_trip, op6_edit_aware_token_counts, op7_perspective_rotation, op8_debruijn_substring_dedup,
+    op9_template_decontamination, op10_hypergeometric_sharding)}
 ORACLES: dict[str, str] = {"op7_perspective_rotation": rotation.ORACLE}
