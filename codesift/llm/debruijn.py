@@ -112,25 +112,26 @@ def paths(pieces: DataFrame, work: Workspace) -> DataFrame:
     """pieces(piece, first, last, n), distinct -> piece, path, place: the path it lies on and how many edges before it.
 
     A piece follows another when it is the only one that begins at its node and the other the only one that ends
-    there.  The way back to the head of a path is found by doubling: as many joins as the length has digits.
+    there.  The way back to the head of a path is found by doubling: as many joins as the length has digits, each over
+    the pieces that have not found it; when a round finds no head, none is left to find.
     """
     goes_in = pieces.groupBy(F.col("last").alias("node")).agg(F.count(F.lit(1)).alias("ins"), F.min("piece").alias("before"), F.min("n").alias("n"))
     goes_out = pieces.groupBy(F.col("first").alias("node")).agg(F.count(F.lit(1)).alias("outs"), F.min("piece").alias("piece"))
     link = goes_in.join(goes_out, "node").filter("ins = 1 and outs = 1 and before <> piece").select("piece", "before", F.col("n").cast("long").alias("n"))
-    up = pieces.select("piece").join(link, "piece", "left")
-    up = work.put(up.select("piece", F.coalesce("before", "piece").alias("path"), F.coalesce("n", F.lit(0)).alias("place")), "up0")
-    turn = 0
+    back = pieces.select("piece").join(link, "piece", "left")
+    back = back.select("piece", F.coalesce("before", "piece").alias("path"), F.coalesce("n", F.lit(0)).alias("place"),
+                       F.col("before").isNull().alias("done"))
+    back = work.put(back, "back0")
+    open_, ended, turn = back.filter("not done"), back.filter("done"), 0
     while True:
-        above = up.select(F.col("piece").alias("path"), F.col("path").alias("path2"), F.col("place").alias("more"))
-        nxt = up.join(above, "path").select("piece", F.col("path2").alias("path"), (F.col("place") + F.col("more")).alias("place"),
-                                            (F.col("path") != F.col("path2")).alias("moved"))
+        above = ended.union(open_).select(F.col("piece").alias("path"), F.col("path").alias("path2"), F.col("place").alias("more"), F.col("done").alias("done2"))
         turn += 1
-        nxt = work.put(nxt, f"up{turn}")
-        work.drop(f"up{turn - 1}")
-        up = nxt.drop("moved")
-        # a ring has no head; 40 doublings are beyond any path that is not one
-        if turn == 40 or nxt.filter("moved").isEmpty():
-            return up
+        nxt = work.put(open_.drop("done").join(above, "path").select(
+            "piece", F.col("path2").alias("path"), (F.col("place") + F.col("more")).alias("place"), F.col("done2").alias("done")), f"back{turn}")
+        found = nxt.filter("done")
+        if found.isEmpty():  # what is left has no head: rings, each piece a path of its own
+            return ended.union(open_.select("piece", F.col("piece").alias("path"), F.lit(0).cast("long").alias("place"), "done")).drop("done")
+        ended, open_ = ended.union(found), nxt.filter("not done")
 
 
 def repeated_spans(docs: DataFrame, work: Workspace) -> DataFrame:
@@ -156,7 +157,8 @@ def repeated_spans(docs: DataFrame, work: Workspace) -> DataFrame:
     origin = whole.filter("doc_id = source_id").groupBy("piece").agg(F.min(place).alias("at"))
     kinds = whole.groupBy("piece").agg(*[F.any_value(c).alias(c) for c in ("first", "last", "n")])
     path = work.put(paths(kinds, work), "paths")
-    told = origin.join(path, "piece").select("piece", "path", "place", F.col("at.row").alias("source_row"), F.col("at.start").alias("source_start"))
+    # written, so that both sides of the next join are plain and a very common piece can be split over tasks
+    told = work.put(origin.join(path, "piece").select("piece", "path", "place", F.col("at.row").alias("source_row"), F.col("at.start").alias("source_start")), "told")
     whole = whole.filter("doc_id > source_id").join(told, "piece").select(
         "doc_id", "row", "start", "n", "source_id", "source_row", "source_start", "path")
     # edges of the pieces that branch
@@ -169,8 +171,8 @@ def repeated_spans(docs: DataFrame, work: Workspace) -> DataFrame:
     first = work.put(first.filter("source_id < last_id").select("edge", "source_id"), "sources")
     single = work.put(edges.join(first, "edge"), "single")
     work.drop("edges", "sources")
-    origin = single.filter("doc_id = source_id").groupBy("edge").agg(
-        F.min("start").alias("source_start"), F.min_by("row", "start").alias("source_row"))
+    origin = work.put(single.filter("doc_id = source_id").groupBy("edge").agg(
+        F.min("start").alias("source_start"), F.min_by("row", "start").alias("source_row")), "origins")
     single = single.filter("doc_id > source_id").join(origin, "edge").select(
         "doc_id", "row", "start", F.lit(1).alias("n"), "source_id", "source_row", "source_start", F.lit(None).cast("long").alias("path"))
     # neighbours in the document that are neighbours in the source as well become one span
@@ -185,7 +187,7 @@ def repeated_spans(docs: DataFrame, work: Workspace) -> DataFrame:
         F.min("start").alias("start"), (F.sum("n") + (EDGE - 1)).cast("int").alias("n_words"), F.any_value("source_id").alias("source_id"),
         F.any_value("source_row").alias("source_row"), F.min("source_start").alias("source_start"), F.min("path").alias("path"))
     spans = work.put(spans.drop("number").distinct(), "spans")
-    work.drop("whole", "paths", "single")
+    work.drop("whole", "told", "paths", "single", "origins", *[f"back{i}" for i in range(50)])
     return verified(spans, docs, work)
 
 
