@@ -29,8 +29,9 @@ def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     A document without a doc_id stays if no document with one is in its group.
     """
     rows = keyed(docs)
-    kept = minhash.near_duplicates(rows, Workspace(spark, "dedup"), KEY).filter("kept").select("key").distinct()
-    left = rows.join(kept, F.col(KEY) == F.col("key"), "left_semi")
+    kept = minhash.near_duplicates(rows, Workspace(spark, "dedup"), KEY).filter("kept").select(
+        F.col("key").alias(KEY)).distinct()
+    left = rows.join(kept, KEY, "left_semi")
     first = Window.partitionBy(KEY).orderBy("doc_id")  # equal rows
     return left.withColumn("_first_of_rows", F.row_number().over(first)).filter("_first_of_rows = 1").select(*docs.columns)
 
@@ -40,19 +41,19 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     rows = keyed(docs)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     leaks = templates.leaks(rows.select(F.col(KEY).alias("doc_id"), "text"), benchmark, Workspace(spark, "decontaminate"))
-    bad = leaks.select(F.col("doc_id").alias("key")).distinct()
-    return rows.join(bad, F.col(KEY) == F.col("key"), "left_anti").select(*docs.columns)
+    bad = leaks.select(F.col("doc_id").alias(KEY)).distinct()
+    return rows.join(bad, KEY, "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice."""
     rows = keyed(docs)
-    taken = mixing.mixed(rows, Workspace(spark, "mix"), (KEY,)).groupBy(F.col(KEY).alias("key")).agg(
-        F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
+    taken = mixing.mixed(rows, Workspace(spark, "mix"), (KEY,)).groupBy(KEY).agg(
+        F.sum("copies").alias("_copies_taken"))
     # equal rows share their copies: the first of them carries all
     place = F.row_number().over(Window.partitionBy(KEY).orderBy("doc_id"))
-    left = rows.join(taken.filter("copies > 0"), F.col(KEY) == F.col("key")).withColumn("_first_of_rows", place)
-    left = left.filter("_first_of_rows = 1").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    left = rows.join(taken.filter("_copies_taken > 0"), KEY).withColumn("_first_of_rows", place)
+    left = left.filter("_first_of_rows = 1").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies_taken"))))
     return left.select(*docs.columns)
 
 
