@@ -1,8 +1,8 @@
 """Benchmark decontamination by template windows: the same question with other numbers, names or units is found.
 
 Texts become templates: numbers, units and names are typed placeholders, every other word is its lower-case form
-without outer punctuation.  Windows of templates are joined by hash; a match counts when the placeholders of an
-aligned passage stand for the same things throughout.
+without outer punctuation.  Windows of templates are joined by hash; a window counts when its placeholders stand for
+the same things throughout the window.
 """
 
 from __future__ import annotations
@@ -171,7 +171,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, work: Workspace, broadcast_wind
     """Pairs of a document and a benchmark item it contains: doc_id, item_id, n_windows, item_windows, reparameterised.
 
     docs(doc_id, text), benchmark(item_id, text); other columns are not read.  n_windows counts the item's
-    windows found in one alignment of the two texts; reparameterised says that some slot there has another value
+    consistent windows found in one alignment of the two texts: a contradiction between slots costs the windows that hold
+    both, no others; reparameterised says that some slot there has another value
     than in the item.  Null and empty texts match nothing; items with fewer than WINDOW template words are
     matched whole.  Repeated rows of a document or an item give one pair; a null id is kept as an id.
     """
@@ -184,18 +185,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, work: Workspace, broadcast_wind
         hashes = np.array([r[0] for r in items.select("window").distinct().collect()], np.int64)
         wanted = docs.sparkSession.sparkContext.broadcast(np.sort(hashes.view(np.uint64)))
     found = windows_of(docs, "doc_id", lengths, wanted).withColumnRenamed("id", "doc_id")
-    found = work.put(found.join(items, "window"), "matches")
     pairs = F.filter(F.transform(F.arrays_zip("item_slots", "slots"), lambda x: F.struct(
         x["item_slots"].alias("i"), x["slots"].alias("d"))), lambda x: x["i"] != 0)
-    rows = found.select("doc_id", "item_id", (F.col("place") - F.col("item_place")).alias("shift"), "item_place", "item_length",
-                        F.size("item_slots").alias("k"), F.explode_outer(pairs).alias("pair"))
-    aligned = rows.groupBy("doc_id", "item_id", "shift").agg(
-        F.collect_set("pair").alias("pairs"), F.collect_set("item_place").alias("places"),
-        F.any_value(F.col("item_length") - F.col("k") + 1).alias("item_windows"))
+    found = work.put(found.join(items, "window"), "matches")
+    aligned = found.select("doc_id", "item_id", (F.col("place") - F.col("item_place")).alias("shift"), "item_place",
+                           (F.col("item_length") - F.size("item_slots") + 1).alias("item_windows"), F.array_distinct(pairs).alias("pairs"))
+    # within a window; one that is word for word the item's is always consistent
     consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda x: x["i"])))
-    aligned = aligned.filter(consistent).select(
-        "doc_id", "item_id", F.size("places").cast("long").alias("n_windows"), "item_windows",
-        F.exists("pairs", lambda x: x["i"] != x["d"]).alias("reparameterised"))
+    aligned = aligned.filter(consistent).groupBy("doc_id", "item_id", "shift").agg(
+        F.count_distinct("item_place").alias("n_windows"), F.any_value("item_windows").alias("item_windows"),
+        F.max(F.exists("pairs", lambda x: x["i"] != x["d"])).alias("reparameterised"))
     best = aligned.groupBy("doc_id", "item_id").agg(F.max(F.struct(
         "n_windows", (~F.col("reparameterised")).alias("same"), "item_windows")).alias("best"))
     return best.select("doc_id", "item_id", "best.n_windows", "best.item_windows", (~F.col("best.same")).alias("reparameterised"))

@@ -237,6 +237,20 @@ def test_decontamination(spark):
     assert leaked(spark, []) == {}
 
 
+def test_one_contradiction_costs_only_the_windows_that_hold_it(spark):
+    same = ITEMS[0][1]
+    broken = same.replace("for 9 minutes", "for 8 minutes")
+    other = broken.replace("120", "77").replace("Anna", "Bob").replace("at 9", "at 4")
+    got = leaked(spark, [(1, broken, "s"), (2, other, "s"), (3, "At 3 " + brute.prose(1, 30), "s")])
+    n = got[(1, 0)][1]
+    assert set(got) == {(1, 0), (2, 0)} and all(x == (n, n, True) for x in got.values())
+    # both occurrences in one window: that window is lost, the verbatim rest stays
+    items = spark.createDataFrame([(0, "we take 9 of the red ones and 9 of the blue ones home then we sing to all of our good friends")], "item_id long, text string")
+    docs = documents(spark, [(1, "we take 9 of the red ones and 8 of the blue ones home then we sing to all of our good friends", "s")])
+    (row,) = templates.leaks(docs, items, Workspace(spark, "t")).collect()
+    assert 8 <= row["n_windows"] < row["item_windows"]
+
+
 def test_token_counts(spark):
     counter = tokens.Counter(tokens.vocabulary(tokens.VOCABULARY))
     rows = document_rows() + [(80, "mail a.b@c.de now\nkey 0123456789abcdef0123456789abcdef\nsame line\nsame line\n\n\n10.0.0.1  x", "s")]
