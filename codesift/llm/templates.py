@@ -2,7 +2,8 @@
 
 Texts become templates: numbers, units and names are typed placeholders, every other word is its lower-case form
 without outer punctuation.  Windows of templates are joined by hash; a window counts when its placeholders stand for
-the same things throughout the window.
+the same things throughout the window.  Windows of the plain words are joined beside them, so that a verbatim copy is
+found however few literals it has and whatever its words were taken for.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ shipped(__name__)
 
 # production parameters
 WINDOW = 10
-LEAST_LITERALS = 5  # a window of placeholders alone says nothing
+LEAST_LITERALS = 5  # a window of placeholders alone says nothing; windows of plain words have no such limit
 BROADCAST_WINDOWS = 1_000_000  # up to so many benchmark windows (8 MB) reach every task; more are joined by shuffle
 
 # fixed values: words that are numbers or units
@@ -37,6 +38,7 @@ LITERAL, NUMBER, UNIT, NAME, NOTHING = range(5)
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(?:%|[a-z]{1,3})?")
 _OUTER = re.compile(r"^[^\w$€£+-]+|[^\w%]+$")
 _LETTER = re.compile(r"\w")
+TYPED, PLAIN = range(2)  # ways to read a text; windows meet only those of their own way
 BREAK = b"\x00"
 NUMBER_BYTES, UNIT_BYTES = ({w.encode() for w in words} for words in (NUMBER_WORDS, UNIT_WORDS))
 VOCABULARY = 1 << 19  # words remembered by a task
@@ -92,22 +94,29 @@ def template(ids: np.ndarray, begins: np.ndarray, v: Vocabulary) -> tuple[np.nda
     return np.where(literal, value, mix(kind.astype(np.uint64), 9)), np.where(literal, np.uint64(0), value | np.uint64(1)), literal, at
 
 
-def template_windows(t: np.ndarray, literal: np.ndarray, end: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def readings(ids: np.ndarray, begins: np.ndarray, v: Vocabulary) -> Iterator[tuple]:
+    """The ways to read texts: number, then what ``template`` returns.  Plain words are all literals, without slots."""
+    t, slots, literal, at = template(ids, begins, v)
+    yield TYPED, t, slots, literal, at
+    yield PLAIN, v.hash[ids[at]], None, np.ones(len(at), bool), at
+
+
+def template_windows(t: np.ndarray, literal: np.ndarray, end: np.ndarray, k: int, reading: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each window of k template words, and which lie in one text (that ends at ``end``) with enough literals."""
-    w = mix(windows(t, k), k)
+    w = mix(windows(t, k), k + (WINDOW + 1) * reading)
     many = np.concatenate([[0], np.cumsum(literal)])
     n = len(w)
-    return w, (many[k:k + n] - many[:n] >= min(LEAST_LITERALS, k)) & (end[:n] >= np.arange(n) + k)
+    return w, (many[k:k + n] - many[:n] >= (0 if reading == PLAIN else min(LEAST_LITERALS, k))) & (end[:n] >= np.arange(n) + k)
 
 
-ROW = "id long, window long, place long, length long, slots array<long>"
+ROW = "id long, reading int, k int, window long, place long, length long, slots array<long>"
 
 
-def windows_of(rows: DataFrame, id_column: str, lengths: list[int] | None, wanted=None) -> DataFrame:
-    """rows(id, text) -> windows with their slots: id, window, place, length (template words of the text), slots.
+def windows_of(rows: DataFrame, id_column: str, lengths: dict[int, list[int]] | None, wanted=None) -> DataFrame:
+    """rows(id, text) -> windows with their slots: id, reading, k, window, place, length (template words of the text), slots.
 
     Without ``lengths`` each text gives windows of WINDOW words, or one of all its words when it has fewer;
-    otherwise windows of all these lengths.  ``wanted`` is a broadcast sorted array of window hashes: others are
+    otherwise windows of all the lengths that a reading has there.  ``wanted`` is a broadcast sorted array of window hashes: others are
     not emitted.
     """
 
@@ -117,28 +126,30 @@ def windows_of(rows: DataFrame, id_column: str, lengths: list[int] | None, wante
         doc = np.repeat(np.arange(len(parts)), size)
         begins = np.ones(len(doc), bool)
         begins[1:] = doc[1:] != doc[:-1]
-        t, slots, literal, at = template(words, begins, v)
-        doc = doc[at]
-        size = np.bincount(doc, minlength=len(parts))
-        end, first = np.cumsum(size), np.cumsum(size) - size
-        out: list[list] = [[], [], [], [], []]
-        own = np.minimum(size, WINDOW)
-        for k in lengths if lengths is not None else sorted(set(own[own > 0].tolist())):
-            w, ok = template_windows(t, literal, end[doc], k)
-            if lengths is None:
-                ok &= own[doc[:len(w)]] == k
-            if asked is not None:
-                ok &= bits[w >> np.uint64(44)]
-            hits = np.flatnonzero(ok)
-            if asked is not None and len(hits):
-                place = np.minimum(np.searchsorted(asked, w[hits]), len(asked) - 1)
-                hits = hits[asked[place] == w[hits]]
-            for p in hits.tolist():
-                d = doc[p]
-                for column, value in zip(out, (ids[d], int(w[p].astype(np.int64)), p - int(first[d]), int(size[d]), slots[p:p + k].view(np.int64).tolist())):
-                    column.append(value)
-        kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())]
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=["id", "window", "place", "length", "slots"])
+        out: list[list] = [[], [], [], [], [], [], []]
+        for reading, t, slots, literal, at in readings(words, begins, v):
+            of = doc[at]
+            size = np.bincount(of, minlength=len(parts))
+            end, first = np.cumsum(size), np.cumsum(size) - size
+            own = np.minimum(size, WINDOW)
+            for k in lengths.get(reading, []) if lengths is not None else sorted(set(own[own > 0].tolist())):
+                w, ok = template_windows(t, literal, end[of], k, reading)
+                if lengths is None:
+                    ok &= own[of[:len(w)]] == k
+                if asked is not None:
+                    ok &= bits[w >> np.uint64(44)]
+                hits = np.flatnonzero(ok)
+                if asked is not None and len(hits):
+                    place = np.minimum(np.searchsorted(asked, w[hits]), len(asked) - 1)
+                    hits = hits[asked[place] == w[hits]]
+                for p in hits.tolist():
+                    d = of[p]
+                    for column, value in zip(out, (ids[d], reading, k, int(w[p].astype(np.int64)), p - int(first[d]), int(size[d]),
+                                                   slots[p:p + k].view(np.int64).tolist() if slots is not None else [])):
+                        column.append(value)
+        kinds = [pa.int64(), pa.int32(), pa.int32()] + [pa.int64()] * 3 + [pa.list_(pa.int64())]
+        names = ["id", "reading", "k", "window", "place", "length", "slots"]
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = Vocabulary()
@@ -171,28 +182,31 @@ def leaks(docs: DataFrame, benchmark: DataFrame, work: Workspace, broadcast_wind
     """Pairs of a document and a benchmark item it contains: doc_id, item_id, n_windows, item_windows, reparameterised.
 
     docs(doc_id, text), benchmark(item_id, text); other columns are not read.  n_windows counts the item's
-    consistent windows found in one alignment of the two texts: a contradiction between slots costs the windows that hold
+    consistent windows found in one alignment of the two texts, read in one way: a contradiction between slots costs the windows that hold
     both, no others; reparameterised says that some slot there has another value
     than in the item.  Null and empty texts match nothing; items with fewer than WINDOW template words are
-    matched whole.  Repeated rows of a document or an item give one pair; a null id is kept as an id.
+    matched whole.  A copy of the plain words, in any case, is found always; with other values a window needs
+    LEAST_LITERALS words that are literals.  Repeated rows of a document or an item give one pair; a null id is kept as an id.
     """
     items = work.put(windows_of(benchmark.filter("text is not null"), "item_id", None).select(
-        F.col("id").alias("item_id"), "window", F.col("place").alias("item_place"), F.col("length").alias("item_length"),
+        F.col("id").alias("item_id"), "reading", "k", "window", F.col("place").alias("item_place"), F.col("length").alias("item_length"),
         F.col("slots").alias("item_slots")).distinct(), "items")
-    lengths = sorted(r[0] for r in items.select(F.size("item_slots")).distinct().collect())  # at most WINDOW numbers
+    lengths: dict[int, list[int]] = {}
+    for reading, k in sorted(map(tuple, items.select("reading", "k").distinct().collect())):  # at most WINDOW numbers each
+        lengths.setdefault(reading, []).append(k)
     wanted, count = None, items.select("window").distinct().count()
     if count <= broadcast_windows:
         hashes = np.array([r[0] for r in items.select("window").distinct().collect()], np.int64)
         wanted = docs.sparkSession.sparkContext.broadcast(np.sort(hashes.view(np.uint64)))
-    found = windows_of(docs, "doc_id", lengths, wanted).withColumnRenamed("id", "doc_id")
+    found = windows_of(docs, "doc_id", lengths, wanted).drop("reading", "k").withColumnRenamed("id", "doc_id")
     pairs = F.filter(F.transform(F.arrays_zip("item_slots", "slots"), lambda x: F.struct(
         x["item_slots"].alias("i"), x["slots"].alias("d"))), lambda x: x["i"] != 0)
     found = work.put(found.join(items, "window"), "matches")
-    aligned = found.select("doc_id", "item_id", (F.col("place") - F.col("item_place")).alias("shift"), "item_place",
-                           (F.col("item_length") - F.size("item_slots") + 1).alias("item_windows"), F.array_distinct(pairs).alias("pairs"))
+    aligned = found.select("doc_id", "item_id", "reading", (F.col("place") - F.col("item_place")).alias("shift"), "item_place",
+                           (F.col("item_length") - F.col("k") + 1).alias("item_windows"), F.array_distinct(pairs).alias("pairs"))
     # within a window; one that is word for word the item's is always consistent
     consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda x: x["i"])))
-    aligned = aligned.filter(consistent).groupBy("doc_id", "item_id", "shift").agg(
+    aligned = aligned.filter(consistent).groupBy("doc_id", "item_id", "reading", "shift").agg(
         F.count_distinct("item_place").alias("n_windows"), F.any_value("item_windows").alias("item_windows"),
         F.max(F.exists("pairs", lambda x: x["i"] != x["d"])).alias("reparameterised"))
     best = aligned.groupBy("doc_id", "item_id").agg(F.max(F.struct(

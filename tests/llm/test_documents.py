@@ -251,6 +251,19 @@ def test_one_contradiction_costs_only_the_windows_that_hold_it(spark):
     assert 8 <= row["n_windows"] < row["item_windows"]
 
 
+def found_items(spark, items, texts, bound=templates.BROADCAST_WINDOWS):
+    rows = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = documents(spark, [(d, t, "s") for d, t in enumerate(texts)])
+    return {(r["doc_id"], r["item_id"]): r["reparameterised"] for r in templates.leaks(docs, rows, Workspace(spark, "t"), bound).collect()}
+
+
+def test_items_with_few_literals_are_found_verbatim(spark):
+    items = ["What is 12 + 7 * 3 - 5?", "12 13 14", "Find 7 more", "5 km, 3 miles and 200 g"]
+    around = [f"{brute.prose(d, 20)} so {item} {brute.prose(50 + d, 20)}" for d, item in enumerate(items)]
+    texts = around + ["What is 11 + 8 * 3 - 5?", "12 13 15", "Find 8 more", "5 km, 4 miles and 200 g"]
+    assert found_items(spark, items, texts) == {(d, d): False for d in range(4)} == found_items(spark, items, texts, 0)
+
+
 def test_token_counts(spark):
     counter = tokens.Counter(tokens.vocabulary(tokens.VOCABULARY))
     rows = document_rows() + [(80, "mail a.b@c.de now\nkey 0123456789abcdef0123456789abcdef\nsame line\nsame line\n\n\n10.0.0.1  x", "s")]
