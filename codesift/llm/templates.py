@@ -38,16 +38,16 @@ LITERAL, NUMBER, UNIT, NAME, NOTHING = range(5)
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(?:%|[a-z]{1,3})?")
 _OUTER = re.compile(r"^[^\w$€£+-]+|[^\w%]+$")
 _LETTER = re.compile(r"\w")
-TYPED, PLAIN = range(2)  # ways to read a text; windows meet only those of their own way
+TYPED, PLAIN, MERGED, FREE = range(4)  # ways to read a text; windows meet only those of their own way
 BREAK = b"\x00"
 NUMBER_BYTES, UNIT_BYTES = ({w.encode() for w in words} for words in (NUMBER_WORDS, UNIT_WORDS))
 VOCABULARY = 1 << 19  # words remembered by a task
 
 
 class Vocabulary(dict):
-    """Number of each word, with its placeholder, hash, and whether it may be a name or ends a sentence."""
+    """Number of each word, with its placeholder, hash, and whether it may be a name, ends a sentence, or is a number word."""
 
-    CAP, ENDS = 8, 16  # flags beside the kind
+    CAP, ENDS, SPELLED = 8, 16, 32  # flags beside the kind
 
     def __init__(self) -> None:
         self.flags, self.hash = np.zeros(1 << 12, np.uint8), np.zeros(1 << 12, np.uint64)
@@ -57,7 +57,7 @@ class Vocabulary(dict):
         if i >= len(self.flags):
             self.flags, self.hash = (np.concatenate([x, np.zeros_like(x)]) for x in (self.flags, self.hash))
         if word.isalpha() and word.islower():  # plain ASCII
-            self.flags[i] = NUMBER if word in NUMBER_BYTES else UNIT if word in UNIT_BYTES else LITERAL
+            self.flags[i] = NUMBER + self.SPELLED if word in NUMBER_BYTES else UNIT if word in UNIT_BYTES else LITERAL
             self.hash[i] = xxhash.xxh3_64_intdigest(word)
         else:
             text = word.decode("utf-8", "replace")
@@ -67,17 +67,37 @@ class Vocabulary(dict):
                     else UNIT if low in UNIT_WORDS else LITERAL)
             cap = core[:1].isupper() and core[1:].islower()
             ends = word == BREAK or text.rstrip("\"')]}»”’*#$%&").endswith((".", "!", "?", ":"))
-            self.flags[i] = kind + self.CAP * cap + self.ENDS * ends
+            self.flags[i] = kind + self.CAP * cap + self.ENDS * ends + self.SPELLED * (low in NUMBER_WORDS)
             self.hash[i] = xxhash.xxh3_64_intdigest(low.encode("utf-8", "replace"))
         self[word] = i
         return i
 
 
-def template(ids: np.ndarray, begins: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Template words of texts one after another: hash, slot value (0 for literals), literal or not, place in ids.
+def template(kind: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Template words: hash, slot value (0 for literals), literal or not."""
+    literal = kind == LITERAL
+    return np.where(literal, value, mix(kind.astype(np.uint64), 9)), np.where(literal, np.uint64(0), value | np.uint64(1)), literal
+
+
+def merged(kind: np.ndarray, value: np.ndarray, started: np.ndarray, spelled: np.ndarray, at: np.ndarray) -> tuple:
+    """``template`` with neighbouring names of a sentence as one word, likewise a number and the number words behind it; and the places."""
+    goes_on = np.zeros(len(kind), bool)
+    goes_on[1:] = (kind[1:] == kind[:-1]) & ((kind[1:] == NAME) | spelled[1:]) & ~started[1:]
+    head = np.flatnonzero(~goes_on)
+    if len(head) < len(kind):
+        place = np.arange(len(kind)) - np.repeat(head, np.diff(np.append(head, len(kind))))
+        value = np.add.reduceat(np.where(place == 0, value, mix(value + mix(place.astype(np.uint64), 5), 7)), head)
+    return *template(kind[head], value), at[head]
+
+
+def readings(ids: np.ndarray, begins: np.ndarray, v: Vocabulary) -> Iterator[tuple]:
+    """The ways to read texts one after another: number, then hash, slot value, literal or not, and place in ids of each word.
 
-    ``begins`` tells the first word of each text.  A name is a capitalised word that does not begin a sentence: since
-    the last word before it nothing, be it that word, punctuation or a line end, has ended one.
+    ``begins`` tells the first word of each text.  TYPED: a name is a capitalised word that does not begin a sentence:
+    since the last word before it nothing, be it that word, punctuation or a line end, has ended one.  MERGED: as
+    before, with runs of names and of number words as one.  FREE: every capitalised word is a name, wherever it stands,
+    and runs are one.  So a renamed person may begin a sentence, and typing does not depend on what stands before.
+    PLAIN: words are all literals, without slots.
     """
     flags = v.flags[ids]
     kind = flags & 7
@@ -87,18 +107,13 @@ def template(ids: np.ndarray, begins: np.ndarray, v: Vocabulary) -> tuple[np.nda
     started = np.ones(len(at), bool)
     started[1:] = ended[at[1:]] > ended[at[:-1]]
     started |= np.concatenate([[True], np.cumsum(begins)[at[1:]] > np.cumsum(begins)[at[:-1]]])[:len(at)]
-    kind, ids = kind[at], ids[at]
-    kind[(kind == LITERAL) & ((flags[at] & v.CAP) != 0) & ~started] = NAME
-    value = v.hash[ids]
-    literal = kind == LITERAL
-    return np.where(literal, value, mix(kind.astype(np.uint64), 9)), np.where(literal, np.uint64(0), value | np.uint64(1)), literal, at
-
-
-def readings(ids: np.ndarray, begins: np.ndarray, v: Vocabulary) -> Iterator[tuple]:
-    """The ways to read texts: number, then what ``template`` returns.  Plain words are all literals, without slots."""
-    t, slots, literal, at = template(ids, begins, v)
-    yield TYPED, t, slots, literal, at
-    yield PLAIN, v.hash[ids[at]], None, np.ones(len(at), bool), at
+    kind, flags, value = kind[at], flags[at], v.hash[ids[at]]
+    spelled, capital = (flags & v.SPELLED) != 0, (kind == LITERAL) & ((flags & v.CAP) != 0)
+    typed = np.where(capital & ~started, np.uint8(NAME), kind)
+    yield TYPED, *template(typed, value), at
+    yield PLAIN, value, None, np.ones(len(at), bool), at
+    yield MERGED, *merged(typed, value, started, spelled, at)
+    yield FREE, *merged(np.where(capital, np.uint8(NAME), kind), value, started, spelled, at)
 
 
 def template_windows(t: np.ndarray, literal: np.ndarray, end: np.ndarray, k: int, reading: int) -> tuple[np.ndarray, np.ndarray]:

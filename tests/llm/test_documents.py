@@ -264,6 +264,19 @@ def test_items_with_few_literals_are_found_verbatim(spark):
     assert found_items(spark, items, texts) == {(d, d): False for d in range(4)} == found_items(spark, items, texts, 0)
 
 
+def test_names_at_the_start_of_sentences_and_of_several_words(spark):
+    items = ["Alice has 5 apples. Bob gives her 3 more. Carol takes 2 of them. How many are left?",
+             "How far is it from Boston to Paris by train?", "Sum over twenty of the red ones and two of the rest",
+             "Anna Smith and the green dog are here now"]
+    other = ["Dora has 6 apples. Evan gives her 4 more. Fred takes 2 of them. How many are left?",
+             "How far is it from New York to Rome by train?", "Sum over twenty five of the red ones and three of the rest",
+             "as we said anna smith and the green dog are here now"]
+    assert found_items(spark, items, other) == {(0, 0): True, (1, 1): True, (2, 2): True, (3, 3): False}
+    again = [f"{brute.prose(d, 20)} so {item} {brute.prose(50 + d, 20)}" for d, item in enumerate(items)]
+    again += [x.lower() for x in again]
+    assert found_items(spark, items, again) == {(d, d % 4): False for d in range(8)} == found_items(spark, items, again, 0)
+
+
 def test_token_counts(spark):
     counter = tokens.Counter(tokens.vocabulary(tokens.VOCABULARY))
     rows = document_rows() + [(80, "mail a.b@c.de now\nkey 0123456789abcdef0123456789abcdef\nsame line\nsame line\n\n\n10.0.0.1  x", "s")]
