@@ -36,7 +36,7 @@ def op6_edit_aware_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rotation.digests(rotation.rotated(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    return rotation.digests(rotation.rotated_dialogues(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
 
 
 def op8_debruijn_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

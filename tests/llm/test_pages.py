@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codesift.llm import extract, rotation, warc
+from codesift.llm.queries import QUERIES
 from codesift.llm.boosting import fit
 from codesift.llm.dom import Page
 from codesift.llm.store import Workspace
@@ -172,3 +173,36 @@ def test_rotation_against_duckdb(spark):
     con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", placed)
     df = rotation.digests(rotation.rotated(turns(spark).filter("conv_id is not null and turn is not null")))
     assert sorted(map(tuple, df.collect())) == sorted(con.execute(rotation.ORACLE).fetchall())
+
+
+def test_every_speaker_has_the_whole_dialogue(spark, tmp_path):
+    """Segments put together are the dialogue for all its speakers, also those silent in a segment."""
+    rows = [t for t in TURNS if t[0] is not None and t[1] is not None]
+    rows += [(7, 0, "system", "rules")] + [(7, i, "user" if i < 20 else "bob é", f"w{i} " * (i % 4)) for i in range(1, 40)]
+    rows += [(7, i, "system", f"note {i}") for i in range(40, 60)] + [(8, 3, "user", f"same {i}") for i in range(25)] + [(8, 3, "anna", "x")]
+    rows += [(9, 0, "user", "first"), (9, 5000, "anna", "last")]
+    schema = "conv_id long, turn long, role string, text string"
+    df = spark.createDataFrame(rows, schema)
+    want = {}
+    for conv in {r[0] for r in rows}:
+        said = sorted({(t, (r or "unnamed").replace("\n", " "), (x or "").replace("<|", "< |")) for c, t, r, x in rows if c == conv})
+        for who in {r for _, r, _ in said} - {"system"}:
+            text, spans = "", []
+            for _, r, x in said:
+                text += "<|im_start|>" + ("assistant" if r == who else r if r == "system" else "user name=" + r) + "\n"
+                spans += [(len(text), len(text + x + "<|im_end|>"))] if r == who else []
+                text += x + "<|im_end|>\n"
+            want[conv, who] = (len(said), text, spans)
+    for size in (7, 1024):
+        parts = {}
+        for r in sorted(rotation.rotated_dialogues(with_clashes(df), size).collect(), key=lambda r: r["segment"]):
+            n, text, spans = parts.get((r["conv_id"], r["perspective"]), (0, "", []))
+            assert r["n_turns"] <= size
+            parts[r["conv_id"], r["perspective"]] = (n + r["n_turns"], text + r["rendered"], spans + [(s["start"], s["end"]) for s in r["spans"]])
+        assert parts == want
+    lost = rotation.rotated_dialogues(turns(spark)).filter("segment is null").collect()
+    assert sorted((r["conv_id"] or 0, r["perspective"]) for r in lost) == [(0, "user"), (0, "user"), (4, "bob")]
+    # the registered query: a speaker of the first 1,024 turn numbers has the later ones too
+    df.write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r["conv_id"], r["perspective"]): r["n_turns"] for r in QUERIES["op7_perspective_rotation"](spark, str(tmp_path)).collect()}
+    assert got[5, "user"] == got[5, "assistant"] == got[9, "user"] == 2
