@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import RDD
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch
@@ -34,5 +35,13 @@ class Workspace:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def checkpointed(rdd: RDD) -> None:
+    """Let the next action write an RDD to the folder the cluster shares; a session without one gets one of ours."""
+    sc = rdd.ctx
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(scratch(SparkSession.getActiveSession(), "checkpoints"))
+    rdd.checkpoint()
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
