@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import clustering, debruijn, extract, minhash, mixing, quality, quantizer, rotation, sharding, templates, tokens, warc
+from . import clustering, debruijn, extract, minhash, mixing, pitmanyor, quality, quantizer, rotation, sharding, templates, tokens, warc
 from .store import Workspace, documents
 
 
@@ -56,6 +56,10 @@ def op11_orchard_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.clustered(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), Workspace(spark, "op11"))
 
 
+def op12_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitmanyor.scored(documents(spark, sf_dir), Workspace(spark, "op12"))
+
+
 def op13_resident_lloyd_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantizer.coded(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), Workspace(spark, "op13"))
 
@@ -63,6 +67,7 @@ def op13_resident_lloyd_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_minhash_near_duplicates, op2_suffix_array_quality, op3_systematic_mixing, op4_boosted_html_extraction,
     op5_warc_round_trip, op6_edit_aware_token_counts, op7_perspective_rotation, op8_debruijn_substring_dedup,
-    op9_template_decontamination, op10_hypergeometric_sharding, op11_orchard_clustering, op13_resident_lloyd_codes)}
+    op9_template_decontamination, op10_hypergeometric_sharding, op11_orchard_clustering,
+    op12_pitman_yor_scores, op13_resident_lloyd_codes)}
 ORACLES: dict[str, str] = {"op7_perspective_rotation": rotation.ORACLE, "op11_orchard_clustering": clustering.ORACLE,
                            "op13_resident_lloyd_codes": quantizer.ORACLE}
