@@ -4,15 +4,18 @@ import hashlib
 import math
 import pickle
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from codesift.llm import clustering, pitmanyor as P, quantizer
+from codesift.llm import clustering, pitmanyor as P, quantizer, scanned
 from codesift.llm.blocks import of_kind
+from codesift.llm.scanned import one_hash
 from codesift.llm.store import Workspace
 
 from . import brute
@@ -216,6 +219,29 @@ def test_reseating_has_the_exact_distribution():
             assert abs(seen[t] / (20 * many) - p) < 0.015
 
 
+def test_hashes_of_words_from_buffers(monkeypatch):
+    r = random.Random(3)
+    texts = [None, "", "  ", "A b\tC\x0bé\n", "one", " one", "long" * 900 + " x", "😀 ONE", "\x1f\x00 y"]
+    texts += ["".join(r.choice("aB \n\té") for _ in range(r.randint(0, 50))) for _ in range(300)]
+    want = [[one_hash(w) for w in re.findall(rb"[^\x20\x09-\x0d]+", (t or "").encode())] for t in texts]
+    for size in (1 << 21, 7, 64):
+        monkeypatch.setattr(scanned, "SLICE", size)
+        powers = scanned.Powers()
+        for column in (pa.array(texts, pa.string()), pa.array(["x y"] + texts, pa.large_string()).slice(1)):
+            h, n = scanned.hashed(column, powers)
+            assert n.tolist() == [len(w) for w in want] and h.tolist() == [x for w in want for x in w]
+    assert one_hash(b"ONE") == one_hash(b"one") != one_hash(b"on") and one_hash(b"ab") != one_hash(b"ba")
+    h, n = scanned.hashed(pa.array([], pa.string()), powers)
+    assert len(h) == len(n) == 0
+
+
+def test_a_start_has_all_customers():
+    customers = np.array([2, 3, 10, 100000, 7, 0, 1])
+    sizes, tables = P.started(customers, np.array([0.1, 50.0, 1.0, 3.0, 0.0, 1.0, 1.0]))
+    assert np.bincount(np.repeat(np.arange(7), tables), sizes, 7).tolist() == customers.tolist() and (sizes > 0).all()
+    assert tables[3] > 20 and tables[4] == 1
+
+
 def test_reseating_of_unequal_dishes_keeps_their_customers():
     rng = np.random.default_rng(5)
     customers = np.array([2, 900, 3, 2, 40000, 17, 16, 5])
@@ -248,23 +274,29 @@ def base_scores(rows):
 
 
 def unpacked(df, *kinds):
-    return [(r["kind"], pickle.loads(r["data"])) for r in of_kind(df, *kinds).collect()]
+    by = defaultdict(lambda: defaultdict(list))
+    for r in of_kind(df, *kinds).orderBy("bucket", "kind", "source").collect():
+        by[r["bucket"]][r["kind"]].append(pickle.loads(r["data"]))
+    return by.values()
 
 
 def hash_of(word):
-    import xxhash
-    return int(P.END) if word is None else xxhash.xxh3_64_intdigest(word.encode())
+    return int(P.END) if word is None else one_hash(word.encode())
 
 
 def scores_from_tables(model, rows):
     """The scores that follow from the model's written tables, one token after another."""
     pairs, words, samples = {}, {}, len(model.roots)
-    for kind, arrays in unpacked(model.pairs, P.SINGLES, P.SEATS):
-        u, w, *rest = P.paired(arrays)
-        known = [rest[0], *rest[3:]] if kind == P.SEATS else [np.ones(len(w), int)] * (1 + samples)
-        pairs |= {(int(a), int(b)): tuple(int(k[i]) for k in known) for i, (a, b) in enumerate(zip(u, w))}
-    for _, (keys, count, size, _, _, _, _, *kept) in unpacked(model.words, P.WORDS):
-        words |= {int(k): tuple(int(c[i]) for c in (count, size, *kept)) for i, k in enumerate(keys)}
+    for got in unpacked(model.pairs, P.SINGLES, P.SEATS, P.PAIR_SAMPLE):
+        u, w = P.paired(got[P.SINGLES][0])
+        pairs |= {(int(a), int(b)): (1,) * (1 + samples) for a, b in zip(u, w)}
+        u, w, tables, sizes = P.paired(got[P.SEATS][0])
+        n = [sum(x.tolist()) for x in np.split(sizes, np.cumsum(tables)[:-1])]
+        pairs |= {(int(a), int(b)): (n[i], *[int(t[0][i]) for t in got[P.PAIR_SAMPLE]]) for i, (a, b) in enumerate(zip(u, w))}
+    for got in unpacked(model.words, P.FACTS, P.WORD_SAMPLE):
+        keys, *columns = got[P.FACTS][0]
+        columns += [c for arrays in got[P.WORD_SAMPLE] for c in arrays]
+        words |= {int(k): tuple(int(c[i]) for c in columns) for i, k in enumerate(keys)}
     return [score_of(model, pairs, words, [hash_of(w) for w in token_list(t)]) for _, t, _ in rows], pairs, words
 
 
