@@ -20,13 +20,19 @@ BLOCK = frozenset("html body address article aside blockquote center dd details
 #: an element that begins ends an open one of these, unless one of the others lies between
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
         "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
+#: what may stand in a head; anything else ends it, whether or not an end tag does
+IN_HEAD = frozenset("html head title base basefont bgsound link meta style script noscript noframes template".split())
+#: elements whose own words, loose between blocks, make a block of their own
+OUTER = frozenset("#root html body".split())
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
 class Page(HTMLParser):
     """Nodes of a page in the order they begin; a parent has a smaller number than its children.
 
-    ``pieces`` holds (node, text) in page order, with text None where a block begins or ends.
+    ``pieces`` holds (node, text) in page order, with text None where a block begins or ends.  A head ends at the
+    first thing that cannot be in one.  Text and inline elements that stand in no block but the page itself, with or without
+    html and body tags, get a paragraph of their own, so they are judged like any other.
     """
 
     def __init__(self, html: str):
@@ -65,7 +71,31 @@ class Page(HTMLParser):
                 # a row ends its cell and itself
                 return self._end(ended, walls)
 
+    def _leave_head(self) -> None:
+        """End an open head, unless something in it is still open and hides what follows."""
+        if self.open["head"] and self.tag[self.stack[-1]] == "head":
+            self._pop()
+
+    def _enter(self, tag: str, names: list[str]) -> None:
+        self.parent.append(self.stack[-1])
+        self.tag.append(tag)
+        self.names.append(names)
+        self.stack.append(len(self.tag) - 1)
+        self.open[tag] += 1
+        self.unseen += tag in UNSEEN
+        if tag in BLOCK:
+            self.pieces.append((self.stack[-1], None))
+
+    def _loose(self) -> None:
+        """Words are about to stand directly in the page: they make a paragraph."""
+        if not self.unseen and self.tag[self.stack[-1]] in OUTER:
+            self._enter("p", [])
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag not in IN_HEAD:
+            self._leave_head()
+        if tag not in BLOCK and tag not in VOID and tag not in UNSEEN and tag not in IN_HEAD:
+            self._loose()
         if tag in ENDS:
             self._end(*ENDS[tag])
         if tag in BLOCK:
@@ -82,14 +112,7 @@ class Page(HTMLParser):
                 names += [t.lower() for t in _TOKEN.findall(value)]
             elif key == "hidden" or (key == "style" and value and "none" in value.replace(" ", "").partition("display:")[2][:5]):
                 names.append("hidden")
-        self.parent.append(self.stack[-1])
-        self.tag.append(tag)
-        self.names.append(names)
-        self.stack.append(len(self.tag) - 1)
-        self.open[tag] += 1
-        self.unseen += tag in UNSEEN
-        if tag in BLOCK:
-            self.pieces.append((self.stack[-1], None))
+        self._enter(tag, names)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -102,6 +125,9 @@ class Page(HTMLParser):
         self._pop()
 
     def handle_data(self, data: str) -> None:
+        if not data.isspace():
+            self._leave_head()
+            self._loose()
         if not self.unseen:
             self.pieces.append((self.stack[-1], data))
 

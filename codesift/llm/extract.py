@@ -226,13 +226,22 @@ def dressed(r: random.Random, paragraphs: list[str], other: list[str]) -> str:
         body.append(r.choice([comments, form, share, side])())
     article = _tagged(r, True, *r.choice([("article", None), ("article", "content"), ("article", None), ("main", "content"), ("main", None), ("div", "content"),
                                           ("div", "content"), ("div", None), ("section", "content")]), "".join(body))
-    for _ in range(r.choice([0, 0, 1, 1, 2, 3])):
+    loose = r.random()
+    if loose < 0.08:  # blocks that stand in the page itself
+        article = "".join(body)
+    elif loose < 0.14:  # not even blocks: words and breaks
+        article = "<br><br>\n".join(inline(escaping.escape(p)) for p in paragraphs)
+    for _ in range(0 if loose < 0.14 else r.choice([0, 0, 1, 1, 2, 3])):
         extra = r.choice([side, share, comments, advert])() if r.random() < 0.4 else ""
         article = _tagged(r, True, r.choice(["div", "div", "main", "section"]), r.choice([None, "content"]), article + extra)
     before = [f() for f in (notice, head, menu, advert, form, side) if r.random() < 0.5]
     after = [f() for f in (comments, side, advert, share, form, notice) if r.random() < 0.4] + ([foot()] if r.random() < 0.8 else [])
     r.shuffle(before)
-    return f'<html {KEEP}=""><head><title>x</title></head><body {KEEP}="">{"".join(before)}{article}{"".join(after)}</body></html>'
+    inner = "".join(before) + article + "".join(after)
+    title = r.choice(["<head><title>x</title></head>", "<head><title>x</title></head>", "<head><title>x</title>", "<title>x</title>", ""])
+    if r.random() < 0.1:  # html and body tags may be left out
+        return title + inner
+    return f'<html {KEEP}="">{title}<body {KEEP}="">{inner}{r.choice(["</body></html>", "</body></html>", ""])}'
 
 
 class Marked(Page):
@@ -243,10 +252,13 @@ class Marked(Page):
         super().__init__(html)
 
     def handle_starttag(self, tag, attrs):
-        before = len(getattr(self, "tag", []))
         super().handle_starttag(tag, [a for a in attrs if a[0] not in (KEEP, DROP)])
-        if len(self.tag) > before:
-            self.label.append(int(any(a[0] == KEEP for a in attrs)))
+        # a paragraph made for a loose inline element is what that element is
+        self.label += [int(any(a[0] == KEEP for a in attrs))] * (len(self.tag) - len(self.label))
+
+    def handle_data(self, data):
+        super().handle_data(data)
+        self.label += [self.label[self.parent[-1]]] * (len(self.tag) - len(self.label))  # loose text is the article's
 
 
 def known(page: Page) -> np.ndarray | None:

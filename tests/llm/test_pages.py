@@ -67,6 +67,74 @@ def test_extraction_on_held_out_dresses(model):
     assert hit / found > 0.85 and hit / asked > 0.85
 
 
+def other_page(r, blocks, junk):
+    """A page of another make than those the model is trained on: other names, nesting and habits of markup."""
+    def w(low, high):
+        return " ".join(r.choice(junk).split()[:r.randint(low, high)])
+
+    paragraphs = [f"<p>{b}" + r.choice(["</p>", ""]) for b in blocks[1:]]
+    main = f"<h1 class=entry-title>{blocks[0]}</h1><div class=byline>{w(2, 4)}</div><div class='entry__text'>{''.join(paragraphs)}</div>"
+    main = r.choice(["<article class=hentry>{}</article>", "<main id=maincontent><div>{}</div></main>", "<div class='postBody'>{}</div>",
+                     "<section><article itemprop=articleBody>{}</article></section>"]).format(main)
+    links = "".join(f"<li><a href=/{i}>{w(1, 3)}</a>" for i in range(r.randint(3, 12)))
+    nav = r.choice([f"<nav id=primary><ul>{links}</ul></nav>", f"<div class=mainMenu><ul>{links}</ul></div>"])
+    side = f"<aside class=rightCol><h3>{w(1, 3)}</h3><ul>{links}</ul></aside>"
+    cookie = f"<div id=cookieBar><p>{w(8, 25)}<button>ok</button></div>"
+    advert = f"<div class='ad-slot leaderboard'><span>{w(2, 9)}</span></div>"
+    comments = f"<section id=comments><h2>{w(1, 2)}</h2>" + "".join(
+        f"<div class=comment><b>{w(1, 2)}</b><p>{w(5, 40)}</div>" for _ in range(r.randint(1, 5))) + "</section>"
+    foot = f"<footer class=site-footer><p>{w(3, 12)}</footer>"
+    form = f"<form action=/s><label>{w(1, 3)}</label><input name=q></form>"
+    parts = [x for x in (cookie, nav, form, advert) if r.random() < 0.7] + [main] + [x for x in (advert, side, comments, foot) if r.random() < 0.7]
+    head = r.choice(["<!doctype html><html><head><meta charset=utf-8><title>t</title></head><body>", "<html><head><title>t</title><body>", "<title>t</title>"])
+    return head + "\n".join(parts)
+
+
+def share_found(pages, model):
+    """Words of the articles found, and words found that are the articles'."""
+    hit = found = asked = 0
+    for html, blocks in pages:
+        page = Page(html)
+        a = Counter(" ".join(blocks).split())
+        b = Counter(page.text(extract.decode(page, model.logit(extract.features(page)))).split())
+        hit += sum((a & b).values())
+        found += sum(b.values())
+        asked += sum(a.values())
+    return hit / asked, hit / found
+
+
+def test_extraction_from_pages_of_another_make(model):
+    r = random.Random(11)
+    texts = [article(400 + i)[1].replace("&", "and").split("\n\n") for i in range(80)]
+    junk = [b for t in texts for b in t[:4]]
+    cut = [t[:r.randint(3, 9)] for t in texts]
+    recall, precision = share_found([(other_page(r, t, junk), t) for t in cut], model)
+    assert recall >= 0.9 and precision >= 0.9, (recall, precision)
+
+
+def text_of(html, model):
+    page = Page(html)
+    return page.text(extract.decode(page, model.logit(extract.features(page))))
+
+
+def test_a_head_without_end_tag_hides_nothing(model):
+    html, want = article(500)
+    for head in ("<head><title>t</title><style>p{}</style>", "<head><meta charset=utf-8>", "<head>", ""):
+        changed = re.sub("<head>.*?</head>", head, html)
+        assert text_of(changed, model) == want
+    assert text_of(html.replace("</head><body>", ""), model) == want
+
+
+def test_text_outside_any_element(model):
+    blocks = article(501)[1].split("\n\n")[1:5]
+    plain = [b.replace("&", "and") for b in blocks]
+    for html in ("<br><br>".join(plain), " ".join(plain), "<html><body>" + "<br>".join(plain) + "</body></html>",
+                 "<html><body></body></html>" + " ".join(plain), "<b>" + plain[0] + "</b> " + " ".join(plain[1:])):
+        assert text_of(html, model).split() == " ".join(plain).split()
+    page = Page("one <b>two</b> three<p>four</p>five<div>six</div>")
+    assert page.text([True] * len(page.tag)) == "one two three\n\nfour\n\nfive\n\nsix"
+
+
 def test_no_contradictions(model):
     r = random.Random(4)
     page = Page(extract.dressed(r, ["x y z"] * 6, ["some other words"] * 5))
