@@ -13,7 +13,6 @@ SHARE_PERCENT = 150
 MOST = 2
 SEED = 20240
 ROWS_PER_CELL = 4096
-OFFSETS = 16
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -58,9 +57,10 @@ def mixed(docs: DataFrame, work: Workspace, carry: tuple[str, ...] = ()) -> Data
 
     Every document of a source expects target / source_size copies.  Inside a source documents stand in the
     order of their size, so that the words taken keep to the target as well as the documents do; the expected
-    copies are summed along that order from one random offset of the source (of OFFSETS drawn ones the
-    one whose words come nearest to the target), and a document is emitted once for
-    each integer the sum passes.  The order ends with a hash of id and text, so reruns agree.
+    copies are summed along that order from one random offset of the source, and a document is emitted once for
+    each integer the sum passes.  Between two integers documents of nearly one size stand for each other, so the words
+    taken are off the target by less than the size of the largest document.  The order ends with a hash of id and text,
+    so reruns agree.
 
     A null text has size 0; a null source is a source; a null doc_id is carried through; repeated rows are
     documents of their own, and which of two equal rows comes first makes no difference.  Columns of other
@@ -85,13 +85,7 @@ def mixed(docs: DataFrame, work: Workspace, carry: tuple[str, ...] = ()) -> Data
     def crossed(start: Column) -> Column:
         return F.floor(each * (F.col("place") + 1) + start) - F.floor(each * F.col("place") + start)
 
-    # one random offset for each source: of a few drawn, the one whose words come nearest to the target
-    drawn = {i: unit(F.xxhash64(F.lit(SEED + 1 + i), "source_key")) for i in range(OFFSETS)}
-    words = placed.groupBy("source_key").agg(
-        F.any_value("target").alias("target"), *[F.sum(crossed(u) * F.col("size")).alias(f"w{i}") for i, u in drawn.items()])
-    nearest = F.array_min(F.array(*[F.struct(F.abs(F.col(f"w{i}") - F.col("target")).alias("off"), F.lit(i).alias("i"),
-                                             u.alias("start")) for i, u in drawn.items()]))
-    chosen = work.put(words.select("source_key", nearest["start"].alias("start")), "offsets")
-    out = placed.join(chosen, "source_key").withColumn("copies", crossed(F.col("start")).cast("long"))
+    start = unit(F.xxhash64(F.lit(SEED + 1), "source_key"))  # the one random offset of a source
+    out = placed.withColumn("copies", crossed(start).cast("long"))
     return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"),
                       *[F.col(f"_carry_{i}").alias(c) for i, c in enumerate(carry) if c not in ("doc_id",)])
