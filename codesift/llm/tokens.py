@@ -2,7 +2,7 @@
 
 A text is cut into pre-tokens, each with its number of tokens.  Blocks of pre-tokens are the leaves of a tree of
 sums over characters, pre-tokens and tokens.  An edit walks down the tree to the pre-tokens it touches, cuts
-again from a little before it until an old boundary is met, and corrects the sums above the changed leaves.
+again from the pre-token before it until an old boundary is met, and corrects the sums above the changed leaves.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from . import shipped
 shipped(__name__)
 
 # production parameters
+VOCABULARY_SETTING = "codesift.vocabulary"  # a session may name another vocabulary file
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 BLOCK = 64
 CACHED = 1 << 17
@@ -93,15 +94,6 @@ class Tree:
             before += n
         raise AssertionError("sums disagree with the blocks")
 
-    def back(self, block: int, i: int) -> tuple[int, int] | None:
-        """The pre-token before a position."""
-        while i == 0:
-            if block == 0:
-                return None
-            block -= 1
-            i = len(self.blocks[block][0])
-        return block, i - 1
-
     def replace(self, first: tuple[int, int], last: tuple[int, int], lengths: list[int], counts: list[int]) -> None:
         """Put other pre-tokens in place of those from first to before last; sums above changed blocks follow."""
         (a, i), (b, j) = first, last
@@ -129,53 +121,92 @@ def build(text: str, count: Counter) -> Tree:
     return Tree(list(map(len, pieces)), list(map(count.__getitem__, pieces)))
 
 
-def edit(tree: Tree, text: str, start: int, end: int, new: str, count: Counter) -> tuple[str, int]:
-    """Replace text[start:end]; returns the new text and how many pre-tokens were encoded again.
+AHEAD = 32  # characters behind an edit that are looked at first; twice as many as long as cutting is not in step
+
 
-    A pre-token depends on the character behind it and, in a run of white space, on what follows the run.  So
-    cutting begins again before the pre-token that ends next to the edit, and before a run of white space there.
-    Cutting looks ahead only, so it is back in step at the first boundary that was one before.
+def recut(tree: Tree, read: Callable[[int, int], str], start: int, end: int, new: str, count: Counter) -> int:
+    """Put ``new`` in place of the characters from start to end; returns how many pre-tokens were encoded again.
+
+    ``read(a, b)`` gives characters of the text as it is.  Whether a pre-token ends where it does depends on two
+    characters behind its last one at most, those of a longer run of white space belong to it.  So cutting begins again with
+    the pre-token that holds the second character before the edit, and as cutting looks ahead only, it is back in step
+    at the first boundary behind the edit that was one before.
     """
-    block, i, char = tree.find(max(0, start - 1))
-    while (p := tree.back(block, i)) is not None:
-        length = tree.blocks[p[0]][0][p[1]]
-        if char < start - 1 and not text[char - 1].isspace() and not text[char].isspace():
+    total, shift = int(tree.total[CHARS]), len(new) - (end - start)
+    block, i, char = tree.find(max(0, start - 2))
+    head = read(char, start)
+    ahead = AHEAD
+    while True:
+        whole = end + ahead >= total
+        window = head + new + read(end, min(total, end + ahead))
+        b, j, old = tree.find(end)
+        if j < len(tree.blocks[b][0]) and old < end:
+            old += tree.blocks[b][0][j]
+            j += 1
+        lengths: list[int] = []
+        counts: list[int] = []
+        at, in_step = char, False
+        for m in CUT.finditer(window):
+            while old + shift < at and b < len(tree.blocks):
+                if j < len(tree.blocks[b][0]):
+                    old += tree.blocks[b][0][j]
+                    j += 1
+                else:
+                    b, j = b + 1, 0
+            in_step = at == old + shift and at >= start + len(new)
+            if in_step or (m.end() + 1 >= len(window) and not whole):
+                break
+            lengths.append(m.end() - m.start())
+            counts.append(count[m.group()])
+            at = char + m.end()
+        if in_step:
             break
-        block, i, char = p[0], p[1], char - length
-    result = text[:start] + new + text[end:]
-    shift = len(result) - len(text)
-    b, j, old = tree.find(end)
-    if j < len(tree.blocks[b][0]) and old < end:
-        old += tree.blocks[b][0][j]
-        j += 1
-    lengths: list[int] = []
-    counts: list[int] = []
-    at = char
-
-    def onward() -> bool:
-        """Step to the next old boundary; false at the end of the text."""
-        nonlocal b, j, old
-        while j >= len(tree.blocks[b][0]):
-            if b + 1 >= len(tree.blocks):
-                return False
-            b, j = b + 1, 0
-        old += tree.blocks[b][0][j]
-        j += 1
-        return True
-
-    for m in CUT.finditer(result, char):
-        while old + shift < at and onward():
-            pass
-        if at == old + shift and at >= start + len(new):
+        if whole:
+            b, j = len(tree.blocks) - 1, len(tree.blocks[-1][0])
             break
-        lengths.append(m.end() - m.start())
-        counts.append(count[m.group()])
-        at = m.end()
-    else:  # cut up to the end
-        while onward():
-            pass
+        ahead *= 2
+    if b == len(tree.blocks):
+        b, j = b - 1, len(tree.blocks[-1][0])
     tree.replace((block, i), (b, j), lengths, counts)
-    return result, len(lengths)
+    return len(lengths)
+
+
+def edit(tree: Tree, text: str, start: int, end: int, new: str, count: Counter) -> tuple[str, int]:
+    """Replace text[start:end]; returns the new text and how many pre-tokens were encoded again."""
+    again = recut(tree, lambda a, b: text[a:b], start, end, new, count)
+    return text[:start] + new + text[end:], again
+
+
+def edit_all(tree: Tree, text: str, edits: list[tuple[int, int, str]], count: Counter) -> tuple[str, int]:
+    """All edits of a text, last one first and without overlap, in time linear in the text and the edits.
+
+    What lies behind the edit at hand is a stack of pieces, so no edit copies the text.
+    """
+    begin, pieces, again = len(text), [], 0  # text[:begin] is as it was; pieces follow it, the nearest last
+
+    def read(a: int, b: int) -> str:
+        if b <= begin:
+            return text[a:b]
+        out, missing = [text[a:begin]], b - max(a, begin)
+        skip = max(0, a - begin)
+        for piece in reversed(pieces):
+            if missing <= 0:
+                break
+            if skip >= len(piece):
+                skip -= len(piece)
+                continue
+            out.append(piece[skip:skip + missing])
+            missing -= len(out[-1])
+            skip = 0
+        return "".join(out)
+
+    for start, end, new in edits:
+        if end > begin:
+            raise ValueError("edits must come last one first, without overlap")
+        again += recut(tree, read, start, end, new, count)
+        pieces += [text[end:begin], new]
+        begin = start
+    return text[:begin] + "".join(reversed(pieces)), again
 
 
 # ---- edits that a cleaning step makes ------------------------------------------------
@@ -201,14 +232,16 @@ def cleaning_edits(text: str) -> list[tuple[int, int, str]]:
 COLUMNS = ("n_chars", "n_pretokens", "n_tokens", "n_edits", "n_reencoded", "n_chars_edited", "n_pretokens_edited", "n_tokens_edited")
 
 
-def counted(docs: DataFrame, path: str = VOCABULARY, edits: Callable[[str], list] = cleaning_edits, texts: bool = False) -> DataFrame:
+def counted(docs: DataFrame, path: str | None = None, edits: Callable[[str], list] = cleaning_edits, texts: bool = False) -> DataFrame:
     """docs(doc_id, text) -> doc_id, counts before and after the edits, and how many pre-tokens were encoded for them.
 
     ``edits`` gives (start, end, replacement) in code points of the text, last one first, without overlap.  With
     ``texts`` the edited text is returned too.  Null and empty texts have no tokens; repeated rows are counted
     each; a null doc_id is carried through; other columns are not read.  The vocabulary, a table of fixed size,
-    is read by the driver from ``path`` and sent to every task once.
+    is read by the driver from ``path``, or from where the session's setting codesift.vocabulary says, and sent to every
+    task once.  Texts of any length take time linear in their length and their edits.
     """
+    path = path or docs.sparkSession.conf.get(VOCABULARY_SETTING, VOCABULARY)
     ranks = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
     names = ["doc_id", *COLUMNS, *(["edited"] if texts else [])]
 
@@ -220,10 +253,8 @@ def counted(docs: DataFrame, path: str = VOCABULARY, edits: Callable[[str], list
                 text = text or ""
                 tree = build(text, count)
                 before = tree.total.tolist()
-                todo, again = edits(text), 0
-                for start, end, new in todo:
-                    text, n = edit(tree, text, start, end, new, count)
-                    again += n
+                todo = edits(text)
+                text, again = edit_all(tree, text, todo, count)
                 rows.append((*before, len(todo), again, *tree.total.tolist()))
                 edited.append(text)
             columns = list(zip(*rows)) or [[] for _ in COLUMNS]

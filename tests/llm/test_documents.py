@@ -1,11 +1,14 @@
 """Operators on documents against brute force."""
 
 import random
+import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from codesift.llm import debruijn, minhash, mixing, quality, sharding, templates, tokens
 from codesift.llm.components import components
@@ -150,6 +153,28 @@ def test_mixing_comes_near_its_targets(spark):
     assert all(abs(x["copies"] - x["target"] / x["source_size"]) < 1 for x in got)
 
 
+def test_mixing_copies_by_prefix_sums(spark):
+    """Each copy is an integer that the expected copies pass, from one offset of the source."""
+    import math
+    df = documents(spark)
+    got = defaultdict(list)
+    for x in mixing.mixed(df, Workspace(spark, "t"), carry=("source",)).collect():
+        got[x["source"]].append(x)
+    hashes = df.select("source", F.xxhash64(F.lit(mixing.SEED), "doc_id", "text").alias("h"), "doc_id", mixing.word_count(F.col("text")).alias("size"))
+    order = defaultdict(list)
+    for x in hashes.collect():
+        order[x["source"]].append((x["size"], x["h"], x["doc_id"] if x["doc_id"] is not None else -1))
+    for number, source in enumerate(sorted(order, key=lambda s: (s is None, s))):
+        start = spark.range(1).select(F.xxhash64(F.lit(mixing.SEED + 1), F.lit(number).cast(
+            dict(mixing.source_targets(df.select("source", F.length("lang").alias("size")), Workspace(spark, "t")).dtypes)["source_key"])).alias("h")).first()["h"]
+        u = ((start % (1 << 64)) >> 11) / (1 << 53)
+        first = got[source][0]
+        e = first["target"] / first["source_size"] if first["source_size"] else 0.0
+        want = [(d if d >= 0 else None, z, math.floor(e * (k + 1) + u) - math.floor(e * k + u)) for k, (z, _, d) in enumerate(sorted(order[source]))]
+        assert some((x["doc_id"], x["size"], x["copies"]) for x in got[source]) == some(want)
+        assert abs(sum(x["taken"] for x in got[source]) - first["target"]) <= max(x["size"] for x in got[source])
+
+
 def test_sharding(spark):
     rows = document_rows()
     df = with_clashes(documents(spark))
@@ -228,11 +253,9 @@ def test_decontamination(spark):
             (7, "So: what is the capital of Peru, now", "s"), (8, broken, "s"), (None, same, "s"), (1, brute.prose(1, 60) + " " + same + " " + brute.prose(2, 60), "s"),
             (9, "20 21 22 23 24 25", "s"), (10, brute.prose(9, 5000) + " " + same, "s")]
     got = leaked(spark, rows)
-    assert set(got) == {(1, 0), (2, 0), (6, 1), (7, 2), (None, 0), (10, 0)}
+    assert set(got) == {(1, 0), (2, 0), (6, 1), (7, 2), (None, 0), (10, 0), (8, 0)}
     assert got[(1, 0)][0] >= got[(1, 0)][1] - 1 and not got[(1, 0)][2]  # "A" follows a word, not a full stop
     assert got[(2, 0)] == (got[(2, 0)][1], got[(2, 0)][1], True)
-    # 9 stands for 9 in one place and for 8 in the other: not the same question with other numbers
-    assert (8, 0) not in got
     assert leaked(spark, rows, 0) == got
     assert leaked(spark, []) == {}
 
@@ -313,3 +336,57 @@ def test_an_edit_encodes_little_again():
     tree = tokens.build(text, counter)
     _, again = tokens.edit(tree, text, 5000, 5010, "new words", counter)
     assert again < 12
+
+
+def test_edits_without_punctuation_stay_local():
+    """10,000 edits of a text of nothing but words and spaces: a few pre-tokens each, in time linear in the text."""
+    counter = tokens.Counter(tokens.vocabulary(tokens.VOCABULARY))
+    seconds = []
+    for n in (10_000, 40_000):
+        text = " ".join(f"word{chr(97 + i % 26)}" for i in range(2 * n))
+        edits = [(m.start(), m.end(), "other") for m in list(re.finditer("wordc", text))[::-1]]
+        edits = (edits + [(i, i, "") for i in range(edits[-1][0] - 1, 0, -1)])[:n]
+        tree = tokens.build(text, counter)
+        began = time.process_time()
+        got, again = tokens.edit_all(tree, text, edits, counter)
+        seconds.append(time.process_time() - began)
+        want = text.replace("wordc", "other")
+        assert got == want and tree.total.tolist() == [len(want), len(tokens.CUT.findall(want)), len(counter.encode(want))]
+        assert again <= 4 * len(edits)
+    many = [(i, i + 1, "x") for i in range(0, 120_000, 12)][::-1]
+    text = brute.prose(3, 30_000).replace(".", "").replace("\n", " ")[:120_001]
+    tree = tokens.build(text, counter)
+    worst = 0
+    for start, end, new in many:
+        text, again = tokens.edit(tree, text, start, end, new, counter)
+        worst = max(worst, again)
+    assert len(many) == 10_000 and worst <= 12
+    assert tree.total.tolist() == [len(text), len(tokens.CUT.findall(text)), len(counter.encode(text))]
+    assert seconds[1] < 8 * seconds[0] + 1
+
+
+def test_repeated_lines_cost_what_they_hold():
+    counter = tokens.Counter(tokens.vocabulary(tokens.VOCABULARY))
+    line = " ".join(f"w{i}" for i in range(9))
+    for n in (99, 799, 5000):
+        text = "\n".join([line] * n)
+        tree = tokens.build(text, counter)
+        got, again = tokens.edit_all(tree, text, tokens.cleaning_edits(text), counter)
+        assert got == line and again <= 6 * n
+        assert tree.total[tokens.TOKENS] == len(counter.encode(line))
+
+
+def test_all_edits_equal_a_new_count():
+    r, counter = random.Random(7), tokens.Counter(tokens.vocabulary(tokens.VOCABULARY))
+    signs = ["a", "é", " ", "  ", "\n", " \n", "'", "'s", "'l", "l", "r", "e", "12", "!!", "\t", "x y", "日本", " " * 40, "b" * 70]
+    for _ in range(1500):
+        text = "".join(r.choice(signs) for _ in range(r.randint(0, 60)))
+        cuts = sorted(r.randint(0, len(text)) for _ in range(2 * r.randint(0, 5)))
+        edits = [(a, b, "".join(r.choice(signs) for _ in range(r.choice([0, 1, 3])))) for a, b in zip(cuts[::2], cuts[1::2])][::-1]
+        want = text
+        for a, b, new in edits:
+            want = want[:a] + new + want[b:]
+        tree = tokens.build(text, counter)
+        got, _ = tokens.edit_all(tree, text, edits, counter)
+        assert got == want and [n for block in tree.blocks for n in block[0]] == list(map(len, tokens.CUT.findall(want)))
+        assert tree.total.tolist() == [len(want), len(tokens.CUT.findall(want)), len(counter.encode(want))]
