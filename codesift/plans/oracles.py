@@ -224,7 +224,7 @@ def oracles() -> dict[str, str]:
     letter_stats = "count(*) AS total_messages, count_if(NOT resolved) AS unresolved, count_if(resolved) AS resolved"
     o["a02_dead_letter_stats"] = w(DLQ) + (f"SELECT {letter_stats}, count(DISTINCT job_id) AS unique_jobs, max(moved_to_dlq_at) AS latest_message, "
                                            "round(avg(retry_count), 6) AS avg_retries FROM dlq_messages")
-    o["t10_dead_letter_dashboard"] = w(DLQ) + f"SELECT {letter_stats}, round(avg(retry_count), 6) AS avg_retries FROM dlq_messages"
+    o["t10_dead_letter_dashboard"] = o["a02_dead_letter_stats"]
     o["a03_cache_stats"] = LABELLED + ("SELECT count_if(hit) AS hits, count_if(NOT hit) AS misses, "
                                        "round(100.0 * count_if(hit) / count(*), 2) AS hit_rate FROM labelled")
     o["a04_issue_counts"] = REVIEW + "SELECT file_id, n_security, n_performance, n_style, n_issues FROM per_file"
@@ -366,8 +366,11 @@ def oracles() -> dict[str, str]:
     o["t07_retention_stream"] = w(DLQ) + f"SELECT count(*) FILTER (NOT {old}) AS kept, count(*) FILTER ({old}) AS dropped FROM dlq_messages"
     missed = ("late AS (SELECT job_id, event_id, status FROM (SELECT *, lead(ts) OVER (PARTITION BY job_id ORDER BY ts, event_id) AS next FROM log) "
               "WHERE status NOT IN ('complete', 'failed', 'dlq') AND next > ts + INTERVAL 30 SECOND)")
-    o["t08_deadline_stream"] = w(LOG, missed) + "SELECT job_id, event_id, status FROM late"
-    o["t09_overdue_stream"] = w(LOG, missed) + "SELECT true AS late, count(*) AS n FROM late"
+    still_open = ("SELECT job_id, event_id, status, ts FROM (SELECT * FROM log " + LAST_STATE + ") WHERE status NOT IN ('complete', 'failed', 'dlq') "
+                  "AND (SELECT max(ts) FROM log) > ts + INTERVAL 30 SECOND")
+    o["t08_deadline_stream"] = w(LOG, missed, f"still_open AS ({still_open})") + (
+        "SELECT job_id, event_id, status, 'late' AS outcome FROM late UNION ALL SELECT job_id, event_id, status, 'open' AS outcome FROM still_open")
+    o["t09_overdue_stream"] = w(LOG, f"still_open AS ({still_open})") + "SELECT job_id, status, ts FROM still_open"
     o["t08_visible_again"] = w(LOG, f"s AS (SELECT job_id, event_id, ts FROM log WHERE status = 'processing' {LAST_STATE})",
                                "e AS (SELECT job_id, max(ts) AS ended_at FROM log WHERE status IN ('complete', 'failed', 'dlq', 'retrying') GROUP BY 1)") + (
         "SELECT s.job_id, s.event_id, s.ts, e.ended_at FROM s LEFT JOIN e ON e.job_id = s.job_id "

@@ -692,16 +692,15 @@ def _deadline_log(spark, sf):
 
 @query("t08_deadline_stream")
 def _(spark, sf):
-    # the last state of a job is open or not as the watermark falls; what was late is certain
-    missed = ST.to_table(ST.deadlines(_deadline_log(spark, sf), J.VISIBILITY_SECONDS), "missed")
-    return missed.filter("outcome = 'late'").select("job_id", "event_id", "status")
+    missed, _ = ST.missed_deadlines(_deadline_log(spark, sf), J.VISIBILITY_SECONDS)
+    return missed.select("job_id", "event_id", "status", "outcome")
 
 
 @query("t09_overdue_stream")
 def _(spark, sf):
-    # overdue now: not final for longer than the limit, of the jobs the watermark has passed
-    missed = ST.to_table(ST.deadlines(_deadline_log(spark, sf), J.OVERDUE_SECONDS), "overdue")
-    return missed.groupBy((F.col("outcome") == "late").alias("late")).agg(F.count(F.lit(1)).alias("n")).filter("late")
+    # overdue now: not final for longer than the limit
+    missed, _ = ST.missed_deadlines(_deadline_log(spark, sf), J.OVERDUE_SECONDS)
+    return missed.filter("outcome = 'open'").select("job_id", "status", "ts")
 
 
 @query("t07_retention")
@@ -727,8 +726,7 @@ def _(spark, sf):
 
 @query("t10_dead_letter_dashboard")
 def _(spark, sf):
-    e = D.dlq_of(_stream_events(spark, sf))
-    return ST.dashboard(e, ST.letter_counts, "letters").withColumn("avg_retries", F.round("avg_retries", 6))
+    return ST.letter_dashboard(D.dlq_of(_stream_events(spark, sf))).withColumn("avg_retries", F.round("avg_retries", 6))
 
 
 # ---- table changes -------------------------------------------------------------------

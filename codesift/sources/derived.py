@@ -12,13 +12,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Deal out a source that would keep all but a few cores idle, such as one file with one row group.
+    """Deal out a source whose rows lie in fewer pieces than there are cores.
 
-    The scan does much work per row.  A table with a split for at least every eighth core is read as it lies: its
-    texts are never shuffled to fill the rest.
+    The scan does much work per row, and a row group is read by one task however many splits its file has.  So splits
+    count only as far as there are files to fill them; a source with at least as many files as cores is read as it lies.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() * 8 <= cores else df
+    cores, splits = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    few = splits < cores or splits < 4 * cores and len(df.inputFiles()) < cores
+    return df.repartition(cores, key) if few else df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from datetime import timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import jobs as J, reuse, score
@@ -49,53 +50,92 @@ def drop(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-class Buckets:
-    """A keyed table that batches bring up to date, in buckets by a hash of the key.
+def staged(df: DataFrame, path: str) -> DataFrame:
+    """A frame that a batch uses more than once, written; the batch drops it at its end."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-    A batch rewrites only the buckets that its keys fall into, under its own number, and leaves the others where
-    they are; the newest version of each bucket is listed in a small index per batch.  A repeated batch starts
-    from the index of the batch before it, so it gives the same table again.  Versions that neither this batch nor
-    the one before needs are deleted.
+
+class Runs:
+    """A keyed table that batches bring up to date by writing only their own rows.
+
+    A batch adds a run: what it says of its keys.  Four runs of one size are merged into one of the next size, so a row is written
+    once for each size, and what a batch writes follows the batch and not the table.  A run is cut by a hash of the
+    key into as many folders as its rows need; a look-up reads the folders its keys fall into.  ``merge`` brings rows of
+    several runs down to one for each key, in whatever order the runs come.
+
+    The live runs are listed in a manifest per batch.  A repeated batch starts from the manifest of the batch before
+    it and replaces its own runs.  Runs that neither this batch nor the one before needs are deleted.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema, buckets: int = 64):
-        self.spark, self.path, self.schema, self.buckets = spark, path, schema, buckets
+    FANOUT = 4
+    ROWS_PER_FOLDER = 1 << 16
+    MANIFEST = "run string, tier int, folders int, rows long"
 
-    def number(self, key: str):
-        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
+    def __init__(self, spark: SparkSession, path: str, schema, key: str, merge: Callable[[DataFrame], DataFrame]):
+        self.spark, self.path, self.schema, self.key, self.merge = spark, path, schema, key, merge
 
-    def index(self, batch: int) -> dict[int, int]:
-        """Bucket to the batch that wrote it; at most ``buckets`` rows."""
+    def live(self, batch: int) -> list[tuple[str, int, int, int]]:
+        """Run, tier, folders and rows of each run after a batch: some for each size, so few."""
         if batch < 0:
-            return {}
-        rows = self.spark.read.parquet(f"{self.path}-index/batch={batch}").collect()
-        return {r["bucket"]: r["version"] for r in rows}
+            return []
+        return sorted(map(tuple, self.spark.read.schema(self.MANIFEST).parquet(f"{self.path}-manifest/batch={batch}").collect()))
 
-    def read(self, index: dict[int, int], only: set[int] | None = None) -> DataFrame:
-        paths = [f"{self.path}-bucket/version={v}/bucket={b}" for b, v in sorted(index.items()) if only is None or b in only]
+    def _rows(self, runs: list[tuple], only: dict[int, set[int]] | None = None) -> DataFrame:
+        paths = [f"{self.path}-run/{run}/folder={f}" for run, _, folders, rows in runs if rows
+                 for f in (range(folders) if only is None else sorted(only[folders]))]
+        found = [p for p in paths if self._exists(p)]
         reader = self.spark.read.schema(self.schema)
-        return reader.parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
-
-    def write(self, batch: int, keys: DataFrame, key: str, update: Callable[[DataFrame], DataFrame]) -> None:
-        """Replace the buckets of these keys by update(their rows)."""
-        before = self.index(batch - 1)
-        touched = {r[0] for r in keys.select(self.number(key)).distinct().collect()}  # at most ``buckets``
-        new = update(self.read(before, touched)).withColumn("bucket", self.number(key))
-        new.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}-bucket/version={batch}")
-        root = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}-bucket/version={batch}")
-        files = root.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(root)
-        found = {int(f.getPath().getName()[7:]) for f in files if f.getPath().getName().startswith("bucket=")}
-        after = {b: v for b, v in before.items() if b not in touched} | {b: batch for b in found}
-        put(self.spark.createDataFrame(sorted(after.items()), "bucket int, version int").coalesce(1), f"{self.path}-index", batch)
-        needed = set(before.items()) | set(after.items())
-        for b, v in self.index(batch - 2).items() if batch > 1 else ():
-            if (b, v) not in needed:
-                drop(self.spark, f"{self.path}-bucket/version={v}/bucket={b}")
-
-    def last(self) -> DataFrame:
-        """The table after the newest batch."""
-        newest_index = self.spark.read.parquet(f"{self.path}-index").agg(F.max("batch")).first()[0]
-        return self.read(self.index(newest_index))
+        return reader.parquet(*found) if found else self.spark.createDataFrame([], self.schema)
+
+    def _exists(self, path: str) -> bool:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder)
+
+    def _folder(self, folders: int):
+        return F.pmod(F.xxhash64(self.key), F.lit(folders)).cast("int")
+
+    def known(self, batch: int, keys: DataFrame) -> DataFrame:
+        """What the table holds of these keys after a batch."""
+        runs = self.live(batch)
+        most = max((r[2] for r in runs), default=1)  # folders are powers of two: the finest cut tells all others
+        finest = range(1) if most == 1 else [r[0] for r in keys.select(self._folder(most)).distinct().collect()]
+        only = {folders: {f % folders for f in finest} for _, _, folders, _ in runs}
+        return self.merge(self._rows(runs, only).join(keys.select(self.key).distinct(), self.key, "left_semi"))
+
+    def all(self, batch: int | None = None) -> DataFrame:
+        """The table after a batch, or after the newest one."""
+        if batch is None:
+            batch = self.spark.read.parquet(f"{self.path}-manifest").agg(F.max("batch")).first()[0]
+        return self.merge(self._rows(self.live(batch)))
+
+    def _write(self, name: str, tier: int, rows: DataFrame) -> tuple[str, int, int, int]:
+        at, wait = f"{self.path}-run/{name}", f"{self.path}-wait/{name}"
+        rows = staged(rows, wait)
+        n = rows.count()
+        folders = 1 << max(0, (n - 1) // self.ROWS_PER_FOLDER).bit_length()
+        rows.withColumn("folder", self._folder(folders)).repartition(folders, "folder").write.mode("overwrite").partitionBy("folder").parquet(at)
+        drop(self.spark, wait)
+        return name, tier, folders, n
+
+    def add(self, batch: int, rows: DataFrame, keep=None) -> None:
+        """Add a run with the rows of a batch; rows for which ``keep`` is not true go when runs are merged."""
+        before = self.live(batch - 1)
+        runs = [*before, self._write(f"{batch}-0", 0, rows)]
+        tier = 0
+        while len(same := [r for r in runs if r[1] == tier]) >= self.FANOUT:
+            merged = self.merge(self._rows(same))
+            tier += 1
+            runs = [r for r in runs if r not in same]
+            runs.append(self._write(f"{batch}-{tier}", tier, merged if keep is None else merged.filter(keep)))
+        put(self.spark.createDataFrame(runs, self.MANIFEST).coalesce(1), f"{self.path}-manifest", batch)
+        needed = {r[0] for r in [*before, *runs]}
+        for run in {r[0] for r in (self.live(batch - 2) if batch > 1 else [])} - needed:
+            drop(self.spark, f"{self.path}-run/{run}")
+
+
+def newest_by(key: str, order: list[str]) -> Callable[[DataFrame], DataFrame]:
+    return lambda rows: newest(rows, key, order)
 
 
 # ---- review ------------------------------------------------------------------
@@ -109,27 +149,20 @@ def review(files: DataFrame) -> DataFrame:
 def first_report(letters: DataFrame, path: str | None = None, keep_days: int | None = None) -> DataFrame:
     """Idempotent capture: one row per message, the first report wins.
 
-    Known messages lie in buckets by message, so a batch reads only the buckets its messages fall into and repeats
-    are found at any distance; with ``keep_days`` keys older than that before the newest report are forgotten, as
-    the queue forgets the messages.  A replayed batch replaces its own rows.
+    Known messages lie in runs, so a batch writes only its own messages and repeats are found at any distance; with
+    ``keep_days`` keys older than that before the newest report are forgotten when runs are merged, as the queue forgets
+    the messages.  A replayed batch replaces its own rows.
     """
     spark, known_schema = letters.sparkSession, "message_id string, seen long"
 
     def write(df: DataFrame, n: int, at: str) -> None:
-        known = Buckets(spark, f"{at}-known", known_schema)
+        known = Runs(spark, f"{at}-known", known_schema, "message_id", newest_by("message_id", ["seen"]))
         first = oldest(df, "message_id", ["moved_to_dlq_at", "id"])
-        touched = {r[0] for r in first.select(known.number("message_id")).distinct().collect()}
-        fresh = first.join(known.read(known.index(n - 1), touched).select("message_id"), "message_id", "left_anti")
+        fresh = first.join(known.known(n - 1, first).select("message_id"), "message_id", "left_anti")
         put(fresh.select(*df.columns), at, n)
         new = spark.read.schema(df.schema).parquet(f"{at}/batch={n}").select("message_id", micros(F.col("moved_to_dlq_at")).alias("seen"))
-
-        def update(rows: DataFrame) -> DataFrame:
-            both = rows.unionByName(new)
-            if keep_days is None:
-                return both
-            limit = new.agg(F.max("seen")).first()[0]
-            return both if limit is None else both.filter(F.col("seen") >= limit - keep_days * 86_400_000_000)
-        known.write(n, first, "message_id", update)
+        limit = None if keep_days is None else new.agg(F.max("seen")).first()[0]
+        known.add(n, new, None if limit is None else F.col("seen") >= limit - keep_days * DAY)
 
     rows = each_batch(letters, "first-report", write, path=path)
     return spark.read.schema(_with_batch(letters)).parquet(rows).drop("batch")
@@ -142,16 +175,17 @@ def _with_batch(df: DataFrame) -> T.StructType:
 def dead_jobs(letters: DataFrame, path: str | None = None) -> DataFrame:
     """The job half of the capture: job_id, message_id, last_error, moved_to_dlq_at of the last report of each job.
 
-    Kept as a bucketed table that each batch brings up to date; a replayed or repeated report changes nothing.
+    Kept in runs, to which each batch adds its own jobs; a replayed or repeated report changes nothing.
     """
     columns, order = ["job_id", "message_id", "last_error", "moved_to_dlq_at", "id"], ["moved_to_dlq_at", "id"]
     narrow = letters.select(*columns)
     spark = letters.sparkSession
 
-    def write(df: DataFrame, n: int, at: str) -> None:
-        Buckets(spark, at, narrow.schema).write(n, df, "job_id", lambda old: newest(old.unionByName(df), "job_id", order))
+    def table(at: str) -> Runs:
+        return Runs(spark, at, narrow.schema, "job_id", newest_by("job_id", order))
 
-    return Buckets(spark, each_batch(narrow, "dead-jobs", write, path=path), narrow.schema).last()
+    at = each_batch(narrow, "dead-jobs", lambda df, n, at: table(at).add(n, newest(df, "job_id", order)), path=path)
+    return table(at).all()
 
 
 # ---- retry routing -------------------------------------------------------------
@@ -234,14 +268,15 @@ def route_by_batch(deliveries: DataFrame, max_receive: int = J.MAX_RECEIVE, keep
 
 
 def latest_status(log: DataFrame, path: str | None = None) -> DataFrame:
-    """Last state of each job, as a bucketed table that each batch brings up to date."""
+    """Last state of each job, in runs to which each batch adds its own jobs."""
     narrow = log.select("job_id", "status", "ts", "event_id")
     spark, order = log.sparkSession, ["ts", "event_id"]
 
-    def write(df: DataFrame, n: int, at: str) -> None:
-        Buckets(spark, at, narrow.schema).write(n, df, "job_id", lambda old: newest(old.unionByName(df), "job_id", order))
+    def table(at: str) -> Runs:
+        return Runs(spark, at, narrow.schema, "job_id", newest_by("job_id", order))
 
-    return Buckets(spark, each_batch(narrow, "latest", write, path=path), narrow.schema).last().drop("event_id")
+    at = each_batch(narrow, "latest", lambda df, n, at: table(at).add(n, newest(df, "job_id", order)), path=path)
+    return table(at).all().drop("event_id")
 
 
 # ---- reuse ---------------------------------------------------------------------
@@ -360,29 +395,128 @@ def deadlines(log: DataFrame, seconds: int, delay: str = "1 hour") -> DataFrame:
         step, DEADLINE, OPEN, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def missed_deadlines(log: DataFrame, seconds: int, path: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Jobs that stayed in a state that is not final for longer than ``seconds``, and the rows that came too late to tell.
+
+    log(job_id, event_id, status, ts) -> (job_id, event_id, status, ts, outcome) and (job_id, event_id, status, ts, batch).
+    ``late``: the next state came after the deadline.  ``open``: no further state by the newest time seen.  The last
+    state of every job is kept in runs by job; a batch looks up its own jobs only, and all is done by the engine's joins
+    and windows.  A row older than the state its job had in an earlier batch cannot be placed any more, since what
+    follows it has been judged: it goes to the second table.  Rows of one batch may come in any order.
+    """
+    spark, order = log.sparkSession, ["ts", "event_id"]
+    narrow = log.select("job_id", "event_id", "status", "ts")
+
+    def table(at: str) -> Runs:
+        return Runs(spark, f"{at}-last", narrow.schema, "job_id", newest_by("job_id", order))
+
+    def write(df: DataFrame, n: int, at: str) -> None:
+        last = table(at)
+        df = staged(df, f"{at}-states/{n}")  # read once
+        known = last.known(n - 1, df)
+        before = known.select("job_id", F.struct(*order).alias("_last"))
+        placed = df.join(before, "job_id", "left").withColumn("_behind", F.coalesce(F.struct(*order) < F.col("_last"), F.lit(False)))
+        placed = staged(placed.drop("_last"), f"{at}-placed/{n}")
+        put(placed.filter("_behind").drop("_behind"), f"{at}-behind", n)
+        fresh = placed.filter("not _behind").drop("_behind")
+        # the known state stands before the rows of its job; a repeated row is no new state
+        states = known.unionByName(fresh).dropDuplicates(["job_id", "event_id", "status", "ts"])
+        after = F.lead("ts").over(Window.partitionBy("job_id").orderBy(*order))
+        judged = states.withColumn("_next", after).filter(
+            ~F.col("status").isin(*J.TERMINAL) & (F.timestamp_diff("MICROSECOND", F.col("ts"), F.col("_next")) > seconds * 1_000_000))
+        put(judged.drop("_next").withColumn("outcome", F.lit("late")), at, n)
+        last.add(n, newest(fresh, "job_id", order))
+        drop(spark, f"{at}-states/{n}")
+        drop(spark, f"{at}-placed/{n}")
+
+    at = each_batch(narrow, "missed", write, path=path)
+    late = spark.read.schema(T.StructType([*narrow.schema.fields, T.StructField("outcome", T.StringType()), T.StructField("batch", T.IntegerType())])).parquet(at).drop("batch")
+    return late.unionByName(J.stuck(table(at).all(), seconds).select(*narrow.columns, F.lit("open").alias("outcome"))), spark.read.schema(
+        _with_batch(narrow)).parquet(f"{at}-behind")
+
+
+def letter_dashboard(letters: DataFrame, path: str | None = None) -> DataFrame:
+    """All dead-letter statistics, brought up to date by every batch: counts, mean retries, jobs and newest letter.
+
+    letters(job_id, resolved, retry_count, moved_to_dlq_at): jobs that a batch brings for the first time are counted
+    against a keyed table of jobs, everything else is a sum or a maximum.
+    """
+    spark = letters.sparkSession
+
+    def write(df: DataFrame, n: int, at: str) -> None:
+        jobs = Runs(spark, f"{at}-jobs", "job_id long", "job_id", lambda rows: rows.distinct())
+        here = df.filter("job_id is not null").select(F.col("job_id").cast("long").alias("job_id")).distinct()
+        new = staged(here.join(jobs.known(n - 1, here), "job_id", "left_anti"), f"{at}-new/{n}")
+        jobs.add(n, new)
+        sums = df.agg(F.count(F.lit(1)).alias("total"), F.count_if("resolved").alias("resolved"), F.count_if(~F.col("resolved")).alias("unresolved"),
+                      F.coalesce(F.sum("retry_count"), F.lit(0)).alias("retries"), F.count("retry_count").alias("retried"),
+                      F.max("moved_to_dlq_at").alias("newest"))
+        now = sums.crossJoin(new.agg(F.count(F.lit(1)).alias("jobs")))  # one row each
+        if n > 0:
+            now = now.unionByName(spark.read.schema(now.schema).parquet(f"{at}/batch={n - 1}"))
+            now = now.agg(*[(F.max if c == "newest" else F.sum)(c).alias(c) for c in now.columns])
+        put(now.coalesce(1), at, n)
+        drop(spark, f"{at}-new/{n}")
+
+    at = each_batch(letters, "letters", write, path=path)
+    rows = spark.read.parquet(at)
+    last = rows.join(F.broadcast(rows.agg(F.max("batch").alias("batch"))), "batch")
+    return last.select(
+        F.col("total").alias("total_messages"), "unresolved", "resolved", F.col("jobs").alias("unique_jobs"),
+        F.when(F.col("retried") > 0, F.col("retries") / F.col("retried")).alias("avg_retries"), F.col("newest").alias("latest_message"))
+
+
 def retention(letters: DataFrame, days: int, path: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Rows within ``days`` of the newest one seen, and per batch how many were kept and how many dropped.
 
-    letters(..., moved_to_dlq_at).  Every batch drops what has grown too old, from its own rows and from those
-    kept before, and says how many those were.
+    letters(..., moved_to_dlq_at).  A batch writes its own rows only, in folders by day.  Days that are over as a whole go as
+    folders, counted from the manifest, without being read; of the one day that the limit cuts, the older rows are
+    counted and hidden.  What is kept is never written again.  Rows without a time are kept.
     """
     spark, schema = letters.sparkSession, letters.schema
+    manifest = "day date, version int, rows long"
+    time = F.col("moved_to_dlq_at")
+
+    def live(at: str, n: int) -> list[tuple]:
+        """Day, batch that wrote it and rows of each folder; some for each day kept, so few."""
+        return [tuple(r) for r in spark.read.schema(manifest).parquet(f"{at}-manifest/batch={n}").collect()] if n >= 0 else []
+
+    def rows_of(at: str, parts: list[tuple]) -> DataFrame:
+        paths = [f"{at}/version={v}/day={d if d is not None else '__HIVE_DEFAULT_PARTITION__'}" for d, v, _ in parts]
+        return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
     def write(df: DataFrame, n: int, at: str) -> None:
-        old = spark.read.schema(schema).parquet(f"{at}/batch={n - 1}") if n > 0 else spark.createDataFrame([], schema)
-        rows = old.unionByName(df).withColumn("_t", micros(F.col("moved_to_dlq_at")))
-        newest_t = rows.agg(F.max("_t").alias("_now"))  # one row
-        marked = rows.crossJoin(F.broadcast(newest_t)).withColumn("_old", F.col("_t") < F.col("_now") - days * DAY)
-        put(marked.filter(~F.col("_old")).select(*df.columns), at, n)
-        put(marked.agg(F.count_if(~F.col("_old")).alias("kept"), F.count_if("_old").alias("dropped")), f"{at}-counts", n)
-        if n > 1:
-            drop(spark, f"{at}/batch={n - 2}")
+        fresh = df.withColumn("day", F.to_date(time))
+        fresh.repartition("day").write.mode("overwrite").partitionBy("day").parquet(f"{at}/version={n}")
+        fresh = spark.read.schema(T.StructType([*schema.fields, T.StructField("day", T.DateType())])).parquet(f"{at}/version={n}")
+        told = fresh.groupBy("day").agg(F.count(F.lit(1)).alias("rows"), F.max(time.cast("timestamp_ntz")).alias("newest")).collect()
+        old = spark.read.parquet(f"{at}-counts/batch={n - 1}").first() if n > 0 else None
+        newest_t = max([r["newest"] for r in told if r["newest"]] + ([old["newest"]] if old and old["newest"] else []), default=None)
+        limit = newest_t - timedelta(days=days) if newest_t else None
+        parts = live(at, n - 1) + [(r["day"], n, r["rows"]) for r in told]
+        over = [p for p in parts if limit and p[0] and p[0] < limit.date()]
+        left = [p for p in parts if p not in over]
+        cut = [p for p in left if limit and p[0] == limit.date()]
+        hidden = rows_of(at, cut).filter(time < F.lit(limit)).count() if cut else 0
+        gone = (old["gone"] if old else 0) + sum(r for _, _, r in over)
+        put(spark.createDataFrame(left, manifest).coalesce(1), f"{at}-manifest", n)
+        kept = sum(r for _, _, r in left) - hidden
+        dropped = gone + hidden - (old["gone"] + old["hidden"] if old else 0)
+        put(spark.createDataFrame([(kept, dropped, gone, hidden, newest_t)], "kept long, dropped long, gone long, hidden long, newest timestamp_ntz").coalesce(1),
+            f"{at}-counts", n)
+        # a repeated batch begins with the manifest of the one before it, so its folders go one batch later
+        for d, v, _ in (set(live(at, n - 2)) - set(live(at, n - 1)) if n > 1 else ()):
+            drop(spark, f"{at}/version={v}/day={d}")
 
     at = each_batch(letters, "retained", write, path=path)
     counts = spark.read.parquet(f"{at}-counts")
-    last = counts.agg(F.max("batch")).first()[0]
-    return spark.read.schema(schema).parquet(f"{at}/batch={last}"), counts
+    last = counts.orderBy(F.desc("batch")).first()
+    rows = rows_of(at, live(at, last["batch"]))
+    if last["newest"] is not None:
+        rows = rows.filter(time.isNull() | (time >= F.lit(last["newest"] - timedelta(days=days))))
+    return rows, counts.select("kept", "dropped", "batch")
 
 
 __all__ = ["to_table", "each_batch", "review", "first_report", "dead_jobs", "route", "route_by_batch", "latest_status",
-           "reuse_labels", "possible_hits", "dashboard", "letter_counts", "deadlines", "retention", "Buckets"]
+           "reuse_labels", "possible_hits", "dashboard", "letter_counts", "deadlines",
+           "missed_deadlines", "letter_dashboard", "retention", "Runs"]

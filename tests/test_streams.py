@@ -132,3 +132,94 @@ def test_possible_hits_bound_the_real_ones(spark, tmp_path):
     got = {r.job_id for r in ST.to_table(ST.possible_hits(read(path), done), "possible").collect()}
     want = {i for i, h, t in rows if any(j % 4 == 0 and k == h and c <= t < c + timedelta(hours=1) for j, k, c in rows)}
     assert got == want
+
+
+LOG = "job_id long, event_id long, status string, ts timestamp_ntz"
+
+
+def log_rows(n=240):
+    rnd = random.Random(12)
+    times = sorted(rnd.randint(0, 4000) for _ in range(n))
+    return [(rnd.randint(0, 30), i, rnd.choice(["queued", "processing", "retrying", "complete", "dlq"]), T0 + timedelta(seconds=t)) for i, t in enumerate(times)]
+
+
+def missed_by_hand(rows, seconds=30):
+    out, by = set(), {}
+    for job, event, status, t in sorted(rows, key=lambda r: (r[3], r[1])):
+        if job in by and by[job][1] not in J.TERMINAL and (t - by[job][2]).total_seconds() > seconds:
+            out.add((job, by[job][0], "late"))
+        by[job] = event, status, t
+    now = max(r[3] for r in rows)
+    return out | {(job, e, "open") for job, (e, s, t) in by.items() if s not in J.TERMINAL and (now - t).total_seconds() > seconds}
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_missed_deadlines_of_both_kinds(spark, tmp_path, parts):
+    rows = log_rows()
+    path, stream = folder(spark, tmp_path, rows, LOG, parts)
+    missed, behind = ST.missed_deadlines(stream, 30)
+    assert as_set(missed, ["job_id", "event_id", "outcome"]) == missed_by_hand(rows) and behind.count() == 0
+    batch = J.stuck(spark.read.parquet(path), 30)
+    assert as_set(missed.filter("outcome = 'open'"), ["job_id", "event_id"]) == as_set(batch, ["job_id", "event_id"])
+
+
+def test_rows_behind_their_job_are_kept_apart_and_none_is_lost(spark, tmp_path):
+    rows = log_rows()
+    late = [r for r in rows[:80] if r[1] % 3 == 0]
+    order = [r for r in rows if r not in late] + late
+    _, stream = folder(spark, tmp_path, order, LOG, 3)
+    missed, behind = ST.missed_deadlines(stream, 30)
+    apart = as_set(behind, ["event_id"])
+    # a late row that no later one of its job had come before is placed; all others are told
+    placed = [r for r in rows if (r[1],) not in apart]
+    assert apart and apart <= {(r[1],) for r in late}
+    assert as_set(missed, ["job_id", "event_id", "outcome"]) == missed_by_hand(placed)
+
+
+def test_a_batch_writes_what_it_holds_and_not_the_table(spark, tmp_path, monkeypatch):
+    """Runs: many keys first, then small batches; what these write does not follow the table."""
+    monkeypatch.setattr(ST.Runs, "ROWS_PER_FOLDER", 512)
+    table = ST.Runs(spark, str(tmp_path / "t"), "k long, v long", "k", ST.newest_by("k", ["v"]))
+    want = {}
+    sizes = []
+    for batch in range(10):
+        rows = [(k, batch) for k in range(6000)] if batch == 0 else [(batch * 37 % 6000, batch), (7000 + batch, batch)]
+        want |= dict(rows)
+        table.add(batch, spark.createDataFrame(rows, "k long, v long"))
+        table.add(batch, spark.createDataFrame(rows, "k long, v long"))  # replayed
+        live = table.live(batch)
+        sizes.append(sum(r[3] for r in live if r[0].startswith(f"{batch}-")))
+        assert {tuple(r) for r in table.all(batch).collect()} == set(want.items())
+        keys = spark.createDataFrame([(37,), (7001,), (-1,)], "k long")
+        assert {tuple(r) for r in table.known(batch, keys).collect()} == {(k, want[k]) for k in (37, 7001) if k in want}
+    assert live[0][2] >= 8 and max(sizes[1:3]) <= 4  # the large run is cut; small batches write themselves
+    assert sum(s > 100 for s in sizes[1:]) <= 2  # and merge with the large one only when there are four like it
+    assert len(live) <= 6 and table.all().count() == len(want)
+
+
+def test_letter_dashboard_has_all_statistics(spark, tmp_path):
+    from codesift.operators import deadletters as DL
+    rows = [(i, i % 7 if i % 5 else None, i % 3 == 0, i % 4, T0 + timedelta(minutes=i * 7 % 50)) for i in range(60)]
+    path, stream = folder(spark, tmp_path, rows, "id long, job_id long, resolved boolean, retry_count int, moved_to_dlq_at timestamp_ntz", 4)
+    got, want = ST.letter_dashboard(stream).first().asDict(), DL.statistics(spark.read.parquet(path)).first().asDict()
+    assert got == want
+
+
+def test_retention_drops_days_without_writing_what_is_kept(spark, tmp_path):
+    rows = [(i, T0 + timedelta(hours=5 * i)) for i in range(100)] + [(1000, None)]
+    path, stream = folder(spark, tmp_path, rows, "id long, moved_to_dlq_at timestamp_ntz", 5)
+    where = tmp_path / "kept"
+    kept, counts = ST.retention(stream, 3, str(where))
+    newest = max(t for _, t in rows if t)
+    assert as_set(kept, ["id"]) == {(i,) for i, t in rows if t is None or t >= newest - timedelta(days=3)}
+    per = {r["batch"]: (r["kept"], r["dropped"]) for r in counts.collect()}
+    seen = dropped = 0
+    for b in range(5):
+        part = rows[: (b + 1) * len(rows) // 5]
+        now = max(t for _, t in part if t)
+        alive = sum(t is None or t >= now - timedelta(days=3) for _, t in part)
+        dropped += per[b][1]
+        assert per[b][0] == alive and dropped == len(part) - alive
+    versions = sorted(int(p.name[8:]) for p in (where / "rows").glob("version=*"))
+    written = {v: sum(1 for _ in (where / "rows" / f"version={v}").glob("day=*")) for v in versions}
+    assert written[0] == 0 and written[4] > 0  # folders of the first batch are gone
