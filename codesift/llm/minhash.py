@@ -191,17 +191,30 @@ def near_duplicates(docs: DataFrame, work: Workspace, key: str | None = None) ->
             F.col("set_id").alias("a"), F.col("lead.one").alias("b")).distinct()
         label = _joined(work.put(confirmed(pairs, sets), f"links{turn}"), label, work, f"round{turn}")
         labelled = _labelled(member, label, work, f"labelled{turn}")
-    # what is left: the members of a bucket that lie in different components, whole buckets or blocks of them
-    mixed = labelled.groupBy("band").agg(
-        F.min("label").alias("low"), F.max("label").alias("high"),
-        F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS)).alias("blocks"))
-    open_ = labelled.join(mixed.filter("low <> high").select("band", "blocks"), "band").select(
-        "band", "set_id", "label", "blocks", F.pmod(F.xxhash64("set_id"), "blocks").alias("block"))
-    open_ = work.put(open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))), "open")
+    # what is left: the members of a bucket that lie in different components.  Blocks of the rest meet each other and
+    # blocks of the largest component, whose blocks never meet: a stray in a bucket of m members costs m rows
+    parts = labelled.groupBy("band", "label").agg(F.count(F.lit(1)).alias("many"), F.sum("n").alias("n"))
+    open_bands = parts.groupBy("band").agg(F.max(F.struct("many", "label", "n")).alias("lead"), F.sum("many").alias("all"), F.sum("n").alias("size"),
+                                           F.count(F.lit(1)).alias("labels")).filter("labels > 1")
+
+    def blocks(members, shingles):
+        return F.greatest(F.ceil(shingles / BLOCK_SHINGLES), F.ceil(members / BLOCK_MEMBERS))
+
+    open_bands = open_bands.select("band", F.col("lead.label").alias("lead"), blocks(F.col("lead.many"), F.col("lead.n")).alias("lead_blocks"),
+                                   blocks(F.col("all") - F.col("lead.many"), F.col("size") - F.col("lead.n")).alias("rest_blocks"))
+    open_ = labelled.join(open_bands, "band").withColumn("leads", F.col("label") == F.col("lead"))
+    own = F.pmod(F.xxhash64("set_id"), F.when(F.col("leads"), F.col("lead_blocks")).otherwise(F.col("rest_blocks")))
+
+    def each(blocks, meeting):
+        return F.transform(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1), meeting)
+
+    meets = F.when(F.col("leads"), each("rest_blocks", lambda x: F.struct(F.lit(True).alias("led"), x.alias("i"), F.col("own").alias("j")))).otherwise(
+        F.concat(each("rest_blocks", lambda x: F.struct(F.lit(False).alias("led"), F.least("own", x).alias("i"), F.greatest("own", x).alias("j"))),
+                 each("lead_blocks", lambda x: F.struct(F.lit(True).alias("led"), F.col("own").alias("i"), x.alias("j")))))
+    open_ = work.put(open_.withColumn("own", own).select("band", "set_id", "label", F.explode(meets).alias("at")).select(
+        "band", "set_id", "label", "at.*"), "open")
     short = sets.select("set_id", F.transform("shingles", lambda x: F.shiftright(x, 32).cast("int")).alias("half"))
-    pairs = open_.join(short, "set_id").select(
-        "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "set_id", "label", "half").groupBy(
-        "band", "i", "j").applyInArrow(_links_inside, "a binary, b binary").distinct()
+    pairs = open_.join(short, "set_id").groupBy("band", "led", "i", "j").applyInArrow(_links_inside, "a binary, b binary").distinct()
     label = _joined(work.put(confirmed(pairs, sets), "links3"), label, work, "round3")
 
     named = nodes.select("set_id", "doc_id").join(label.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn(

@@ -46,6 +46,18 @@ def test_a_group_without_a_middle_is_whole(spark):
     assert {r["component_id"] for r in got} == {81}
 
 
+def test_strays_in_large_buckets(spark, monkeypatch):
+    """Many blocks of the rest and of the largest component: no link is lost, and a stray costs one row a member."""
+    monkeypatch.setattr(minhash, "BLOCK_MEMBERS", 5)
+    r = random.Random(6)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join(base[:100] + [f"x{i}y{k}" for k in range(r.randint(0, 3))]), "s") for i in range(60)]
+    rows += [(100 + i, " ".join(base[20:] + [f"z{i}", f"z{i + 1}"]), "s") for i in range(25)]
+    rows += [(200 + i, " ".join(base[:60] + [f"q{i}k{k}" for k in range(20)]), "s") for i in range(12)]
+    got = minhash.near_duplicates(documents(spark, rows), Workspace(spark, "t")).collect()
+    assert some((x["doc_id"], x["n_shingles"], x["component_id"]) for x in got) == some(brute.components([x[:2] for x in rows]))
+
+
 def test_signature_agreement_estimates_similarity():
     r = random.Random(3)
     for share in (0.3, 0.6, 0.9):
