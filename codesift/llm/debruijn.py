@@ -20,8 +20,9 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import shipped
+from .scanned import Powers, chunks
 from .store import Workspace
-from .words import Chunk, WordHash, binary, chunks, covered, windows
+from .words import Chunk, binary, covered, windows
 
 shipped(__name__)
 
@@ -45,10 +46,10 @@ def anchor_table(docs: DataFrame) -> DataFrame:
     """anchor, doc_id: the distinct anchors of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHash()
+        powers = Powers()
         for batch in batches:
             ids = batch.column("doc_id").to_numpy()
-            for c in chunks(batch, cache):
+            for c in chunks(batch, powers, lower=False):
                 at, least = anchors(c)
                 doc = c.doc[at]
                 new = np.ones(len(at), bool)
@@ -71,11 +72,11 @@ def piece_table(texts: DataFrame) -> DataFrame:
     """texts(doc_id, row, text, anchors) -> the pieces under these anchors: name, place, end nodes and edges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHash()
+        powers = Powers()
         for batch in batches:
             ids, keys = batch.column("doc_id").to_numpy(), batch.column("row").to_numpy()
             asked = batch.column("anchors")
-            for c in chunks(batch, cache):
+            for c in chunks(batch, powers, lower=False):
                 at, least = anchors(c)
                 doc = c.doc[at]
                 wanted = np.zeros(len(at), bool)

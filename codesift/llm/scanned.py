@@ -1,6 +1,6 @@
 """Hashes of the words of texts, straight from the buffers of an Arrow column.
 
-A word is a run of bytes other than space and 0x09 to 0x0D, A-Z lower-cased.  Its hash is a polynomial over random numbers
+A word is a run of bytes other than space and 0x09 to 0x0D, with A-Z lower-cased or unchanged.  Its hash is a polynomial over random numbers
 of its bytes: prefix sums give that of every word at once, and no word becomes a Python object.
 """
 
@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 from . import shipped
-from .words import mix
+from .words import CHUNK_WORDS, Chunk, mix
 
 shipped(__name__)
 
@@ -23,7 +23,8 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
-VALUE = mix(LOWER.astype(np.uint64), 11)  # a random number for each byte
+VALUE = mix(LOWER.astype(np.uint64), 11)  # a random number for each byte, one for both cases of a letter
+CASED = mix(np.arange(256, dtype=np.uint64), 11)
 
 
 class Powers:
@@ -46,7 +47,7 @@ def one_hash(word: bytes) -> int:
     return int(mix(np.array([total % (1 << 64)], np.uint64), 12)[0])
 
 
-def _hashes(data: np.ndarray, first: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
+def _hashes(data: np.ndarray, first: np.ndarray, powers: Powers, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and place of each word of some bytes; ``first`` are the places where a document begins."""
     inside = ~SPACE[data]
     begins = inside.copy()
@@ -59,11 +60,11 @@ def _hashes(data: np.ndarray, first: np.ndarray, powers: Powers) -> tuple[np.nda
     a, b = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     up, down = powers.upto(len(data))
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(VALUE[data] * up, out=sums[1:])
+    np.cumsum(value[data] * up, out=sums[1:])
     return mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64), 12), a
 
 
-def hashed(column: pa.Array, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
+def hashed(column: pa.Array, powers: Powers, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts one after another, and how many each text has; null has none."""
     column = pc.fill_null(column.cast(pa.large_binary()), b"")
     _, offsets, buffer = column.buffers()
@@ -72,7 +73,7 @@ def hashed(column: pa.Array, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
     begin = offsets[:-1][offsets[:-1] < offsets[1:]]  # of texts that are not empty
     hashes, places = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
     for a, b in _slices(data, int(offsets[0]) if len(offsets) else 0, begin):
-        h, at = _hashes(data[a:b], begin[np.searchsorted(begin, a):np.searchsorted(begin, b)] - a, powers)
+        h, at = _hashes(data[a:b], begin[np.searchsorted(begin, a):np.searchsorted(begin, b)] - a, powers, VALUE if lower else CASED)
         hashes.append(h)
         places.append(at + a)
     place = np.concatenate(places)
@@ -95,3 +96,21 @@ def _slices(data: np.ndarray, a: int, begin: np.ndarray) -> Iterator[tuple[int,
         b = min(b, len(data))
         yield a, b
         a = b
+
+
+def chunks(batch: pa.RecordBatch, powers: Powers, lower: bool, column: str = "text") -> Iterator[Chunk]:
+    """The documents of an Arrow batch, some at a time; their texts are not kept.  A document is never cut."""
+    texts, begin = batch.column(column), 0
+    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    while begin < len(texts):
+        before = int(ends[begin - 1]) if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, before + 6 * CHUNK_WORDS)))
+        c = Chunk(list(range(begin, end)))
+        h, n = hashed(texts.slice(begin, end - begin), powers, lower)
+        c.parts = [h]
+        c.close()
+        c.n = n
+        c.end = np.cumsum(n)
+        c.begin = c.end - n
+        yield c
+        begin = end

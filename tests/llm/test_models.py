@@ -231,6 +231,13 @@ def test_hashes_of_words_from_buffers(monkeypatch):
             h, n = scanned.hashed(column, powers)
             assert n.tolist() == [len(w) for w in want] and h.tolist() == [x for w in want for x in w]
     assert one_hash(b"ONE") == one_hash(b"one") != one_hash(b"on") and one_hash(b"ab") != one_hash(b"ba")
+    h, n = scanned.hashed(pa.array(["Ab ab AB"]), powers, lower=False)
+    assert len(set(h.tolist())) == 3
+    for size in (3, 1 << 18):
+        monkeypatch.setattr(scanned, "CHUNK_WORDS", size)
+        found = list(scanned.chunks(pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"]), powers, True))
+        assert [r for c in found for r in c.rows] == list(range(len(texts))) and [x for c in found for x in c.n.tolist()] == [len(w) for w in want]
+        assert [x for c in found for x in c.h.tolist()] == [x for w in want for x in w]
     h, n = scanned.hashed(pa.array([], pa.string()), powers)
     assert len(h) == len(n) == 0
 
