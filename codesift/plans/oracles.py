@@ -178,9 +178,11 @@ def oracles() -> dict[str, str]:
     issues_found = "CAST(json_extract_string(result, '$.metrics.issuesFound') AS INT) AS issues_found"
     o["p_hist_view"] = w(REVIEW_JOBS) + f"SELECT id, user_id, file_name, status, cache_hit, processing_time_ms, created_at, {issues_found} FROM review_jobs"
     o["p_done_jobs"] = w(REVIEW_JOBS) + "SELECT id, file_name, result FROM review_jobs WHERE status = 'complete'"
-    o["p_hit_result"] = lang + (f"SELECT file_id, {lit(U.HIT_REVIEW_TIME)} AS \"reviewTime\", 0 AS \"processingTimeMs\", "
-                                f"{_seconds('file_id % 5000')} AS \"originalReviewTime\", CAST(file_id % 5000 AS INT) AS "
-                                "\"originalProcessingTimeMs\", CAST(len(ls) AS INT) AS \"linesAnalyzed\" FROM langs")
+    security = "(SELECT file_id, string_agg(line || ':' || rule, ';' ORDER BY position) AS listed, arg_min(rule, position) AS first_rule FROM issues WHERE bucket = 'security' GROUP BY 1)"
+    o["p_hit_result"] = REVIEW + (
+        f"SELECT p.file_id, {lit(U.HIT_REVIEW_TIME)} AS \"reviewTime\", 0 AS \"processingTimeMs\", {_seconds('p.file_id % 5000')} AS \"originalReviewTime\", "
+        "CAST(p.file_id % 5000 AS INT) AS \"originalProcessingTimeMs\", CAST(n_lines AS INT) AS \"linesAnalyzed\", CAST(n_issues AS INT) AS \"issuesFound\", "
+        f"{GRADE} AS \"qualityScore\", coalesce(s.listed, '') AS security FROM per_file p LEFT JOIN {security} s ON s.file_id = p.file_id")
     o["p_res_flag"] = w(DLQ) + "SELECT id, message_id, resolved FROM dlq_messages"
     size = f"len(ls) BETWEEN {R.MIN_LINES} AND {R.MAX_LINES}"
     o["p_ai_eligible"] = lang + f"SELECT file_id, CAST(len(ls) AS INT) AS n_lines FROM langs WHERE {size}"
@@ -399,13 +401,14 @@ def oracles() -> dict[str, str]:
     o["m05_resolve"] = w(LETTERS) + (
         "SELECT id, resolved OR retry_count > 1 AS resolved, CASE WHEN retry_count > 1 THEN moved_to_dlq_at END AS resolved_at, "
         "CASE WHEN retry_count > 1 THEN CASE WHEN id % 2 = 0 THEN 'fixed' ELSE 'Manual resolution' END END AS resolution_reason FROM letters")
-    o["m06_hit_insert"] = w(FILES, SUBMISSIONS, HASHED, LABELS, REVIEW_JOBS, recursive=True) + (
+    o["m06_hit_insert"] = w(FILES, "code_files AS (SELECT * FROM files)", LANGS, LINES, ALL_FOUND, PER_FILE, SUBMISSIONS, HASHED, LABELS, REVIEW_JOBS, recursive=True) + (
         "SELECT id, user_id, file_name, NULL AS code_hash, status, cache_hit, processing_time_ms, completed_at, "
-        "json_extract_string(result, '$.fileName') AS result_file, NULL AS review_time, NULL AS original_ms FROM review_jobs UNION ALL "
+        "json_extract_string(result, '$.fileName') AS result_file, NULL AS review_time, NULL AS original_ms, NULL AS grade, NULL AS first_security_rule, "
+        "CAST(json_extract_string(result, '$.metrics.issuesFound') AS INT) AS issues_found FROM review_jobs UNION ALL "
         "SELECT -1 - h.job_id, h.user_id, h.file_name, h.code_hash, 'complete', true, 0, h.created_at, e.file_name, "
-        f"{lit(U.HIT_REVIEW_TIME)}, CAST(e.file_id % 5000 AS VARCHAR) FROM labelled l JOIN hashed h ON h.job_id = l.job_id "
+        f"{lit(U.HIT_REVIEW_TIME)}, CAST(e.file_id % 5000 AS VARCHAR), {GRADE}, s.first_rule, CAST(p.n_issues AS INT) FROM labelled l JOIN hashed h ON h.job_id = l.job_id "
         "JOIN (SELECT sha256(content) AS code_hash, max(file_id) AS file_id, arg_max(file_name, file_id) AS file_name FROM files GROUP BY 1) e "
-        "ON e.code_hash = h.code_hash WHERE l.hit")
+        f"ON e.code_hash = h.code_hash JOIN per_file p ON p.file_id = e.file_id LEFT JOIN {security} s ON s.file_id = e.file_id WHERE l.hit")
     o["m07_mixed_changes"] = w(
         REVIEW_JOBS,
         "log AS (SELECT event_id - event_id % 4 AS id, event_id % 3 AS k, ts, event_id FROM events)",

@@ -182,15 +182,12 @@ def _(spark, sf):
 
 @query("p_hit_result")
 def _(spark, sf):
-    base = S.prepare(D.code_files(spark, sf), in_loop=False).withColumn("ms", F.col("file_id") % 5000)
-    doc = C.with_result(base.withColumn("issues", F.array().cast(ISSUES)), processing_ms="ms")
-    m = U.hit_result(F.col("result"))["metrics"]
-    return doc.select("file_id", *[m[f].alias(f) for f in (
-        "reviewTime", "processingTimeMs", "originalReviewTime", "originalProcessingTimeMs", "linesAnalyzed")])
-
-
-ISSUES = ("array<struct<line:int,message:string,severity:string,rule:string,suggestion:string,category:string,"
-          "bucket:string,penalty:double>>")
+    doc = C.with_result(reviewed(spark, sf).withColumn("ms", F.col("file_id") % 5000), processing_ms="ms")
+    again = doc.select("file_id", U.hit_result(F.col("result")).alias("r"))
+    listed = F.array_join(F.transform("r.security", lambda i: F.concat(i["line"].cast("string"), F.lit(":"), i["rule"])), ";")
+    return again.select("file_id", *[F.col(f"r.metrics.{f}").alias(f) for f in (
+        "reviewTime", "processingTimeMs", "originalReviewTime", "originalProcessingTimeMs", "linesAnalyzed", "issuesFound")],
+        "r.qualityScore", listed.alias("security"))
 
 
 @query("p_res_flag")
@@ -795,17 +792,19 @@ def _(spark, sf):
 @query("m06_hit_insert")
 def _(spark, sf):
     sent = labelled(spark, sf, "file_id", "file_name").filter("hit")
-    # the earlier result: one per content, that of the first file with it
-    base = S.prepare(U.with_hash(D.files(spark, sf)), in_loop=False).withColumn("ms", F.col("file_id") % 5000)
-    found = C.with_result(base.withColumn("issues", F.array().cast(ISSUES)), processing_ms="ms")
+    # the earlier result: the review of one file of each content
+    files = newest(U.with_hash(D.files(spark, sf)), "code_hash", ["file_id"])
+    found = C.with_result(C.with_issues(S.scan(files)).withColumn("ms", F.col("file_id") % 5000), processing_ms="ms")
     found = found.select("code_hash", "file_id", F.to_json(U.hit_result(F.col("result"))).alias("result"))
-    earlier = newest(found, "code_hash", ["file_id"]).drop("file_id")
+    earlier = found.drop("file_id")
     hits = sent.join(earlier, "code_hash").select(
         (-1 - F.col("job_id")).alias("id"), "user_id", "file_name", "code_hash", "result", "created_at")
     return J.insert_hits(D.review_jobs(spark, sf), hits).select(
         "id", "user_id", "file_name", "code_hash", "status", "cache_hit", "processing_time_ms", "completed_at",
         *[F.get_json_object("result", f"$.{f}").alias(n) for f, n in (
-            ("fileName", "result_file"), ("metrics.reviewTime", "review_time"), ("metrics.originalProcessingTimeMs", "original_ms"))])
+            ("fileName", "result_file"), ("metrics.reviewTime", "review_time"), ("metrics.originalProcessingTimeMs", "original_ms"),
+            ("qualityScore", "grade"), ("security[0].rule", "first_security_rule"))],
+        F.get_json_object("result", "$.metrics.issuesFound").cast("int").alias("issues_found"))
 
 
 @query("m07_failed_attempt")
