@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T
 from ..session import store
+from . import inflight
 from .asof import micros, nearest
 
 # fixed values of the cache
@@ -100,8 +101,12 @@ def label(submissions: DataFrame, ttl: int = TTL_SECONDS, hot_rows: int = 10_000
     """Adds ``hit``: answered from an earlier result or analysed anew.
 
     submissions(job_id, code_hash, created_at, ...).  At one instant the lowest
-    job number comes first.
+    job number comes first.  With a column ``completed_at`` a result lives from
+    its completion and several misses may be in flight (``inflight``); without
+    it, from the submission.
     """
+    if "completed_at" in submissions.columns:
+        return inflight.label(submissions, ttl, min(hot_rows, inflight.FOLDED_JOBS))
     narrow = submissions.select("code_hash", micros(F.col("created_at")).alias("t"), "job_id")
     # written once: the texts are hashed a single time for all later steps
     instants = store(narrow.groupBy("code_hash", "t").agg(F.min("job_id").alias("job_id")), "instants")

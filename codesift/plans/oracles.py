@@ -71,6 +71,17 @@ walk AS (SELECT code_hash, k, job_id, created_at AS last, false AS hit FROM orde
 labelled AS (SELECT o.job_id, o.user_id, o.created_at, w.hit, strlen(o.content) AS n_bytes
   FROM walk w JOIN ordered o ON o.job_id = w.job_id)"""
 LABELLED = w(FILES, SUBMISSIONS, HASHED, LABELS, recursive=True)
+# results live from completion: the completions of all misses of a hash so far are carried along
+FLIGHTS = f"""flights AS (SELECT job_id, code_hash, created_at, content,
+    CASE WHEN job_id % 17 <> 0 THEN created_at + to_seconds(job_id * 37 % 9001) END AS completed_at,
+    row_number() OVER (PARTITION BY code_hash ORDER BY created_at, job_id) AS k FROM hashed),
+walk AS (SELECT code_hash, k, job_id, false AS hit, [completed_at] AS done FROM flights WHERE k = 1
+  UNION ALL SELECT code_hash, k, job_id, hit, CASE WHEN hit THEN done ELSE list_append(done, completed_at) END FROM (
+    SELECT o.code_hash, o.k, o.job_id, o.completed_at, w.done,
+      len(list_filter(w.done, lambda c: c <= o.created_at AND o.created_at < c + {TTL})) > 0 AS hit
+    FROM walk w JOIN flights o ON o.code_hash = w.code_hash AND o.k = w.k + 1)),
+labelled AS (SELECT o.job_id, o.created_at, w.hit, strlen(o.content) AS n_bytes FROM walk w JOIN flights o ON o.job_id = w.job_id)"""
+FROM_COMPLETION = w(FILES, SUBMISSIONS, HASHED, FLIGHTS, recursive=True)
 
 # ---- dead letters ------------------------------------------------------------
 LETTERS = (DLQ + ", letters AS (SELECT *, 'error ' || CAST(id % 7 AS VARCHAR) AS last_error, "
@@ -240,6 +251,8 @@ def oracles() -> dict[str, str]:
     o["a09_state_variables"] = code + f"SELECT file_id, CAST(len({_names(sm.STATE_FIELD)}) AS INT) AS n, {first_three} FROM code_files"
     o["a10_greedy_ttl"] = LABELLED + "SELECT job_id, hit FROM labelled"
     o["t05_reuse_stream"] = o["a10_greedy_ttl"]
+    o["a10_reuse_from_completion"] = FROM_COMPLETION + "SELECT job_id, hit FROM labelled"
+    o["t05_reuse_from_completion"] = o["a10_reuse_from_completion"]
     o["a11_match_counts"] = code + (f"SELECT file_id, {_count(sm.NESTED_ARROWS)} AS nested, {_count('=>')} AS arrows, "
                                     f"{_count(r'\w+\s*=\s*true')} AS set_true FROM code_files")
     o["a12_first_matching_line"] = lined + (f"SELECT f.file_id, CAST(coalesce(min(l.n), 0) AS INT) AS line FROM langs f LEFT JOIN lines l ON "
@@ -438,6 +451,7 @@ def oracles() -> dict[str, str]:
     o["c04_reuse_per_day"] = LABELLED + (
         "SELECT CAST(created_at AS DATE) AS day, count(*) AS submissions, count_if(NOT hit) AS analyses, round(100.0 * count_if(hit) / count(*), 2) AS hit_rate, "
         "CAST(sum(CASE WHEN hit THEN n_bytes ELSE 0 END) AS BIGINT) AS bytes_saved FROM labelled GROUP BY 1")
+    o["c04_reuse_from_completion"] = FROM_COMPLETION + o["c04_reuse_per_day"].removeprefix(LABELLED)
     # one review per content, shared by all its submissions
     o["j04_review_once_per_hash"] = w(CODE_FILES, SUBMISSIONS.replace("JOIN files f", "JOIN code_files f"), HASHED, LANGS, LINES, ALL_FOUND, PER_FILE,
                                       "firsts AS (SELECT code_hash, file_id, file_name FROM hashed "

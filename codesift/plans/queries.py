@@ -348,6 +348,17 @@ def _(spark, sf):
     return labelled(spark, sf).select("job_id", "hit")
 
 
+def with_completion(submissions: DataFrame) -> DataFrame:
+    """Jobs take up to two and a half hours; every seventeenth never ends."""
+    took = F.make_dt_interval(secs=F.col("job_id") * 37 % 9001)
+    return submissions.withColumn("completed_at", F.when(F.col("job_id") % 17 != 0, F.col("created_at") + took))
+
+
+@query("a10_reuse_from_completion")
+def _(spark, sf):
+    return U.label(with_completion(hashed_once(spark, sf))).select("job_id", "hit")
+
+
 @query("a11_match_counts")
 def _(spark, sf):
     def n(p):
@@ -651,6 +662,15 @@ def _(spark, sf):
     return ST.reuse_labels(e.join(f, "file_id").select("job_id", "code_hash", "created_at")).select("job_id", "hit")
 
 
+@query("t05_reuse_from_completion")
+def _(spark, sf):
+    n = D.table(spark, sf, "documents").count()
+    f = D.files(spark, sf).select("file_id", T.content_hash(F.col("content")).alias("code_hash"))
+    e = _stream_events(spark, sf).select(
+        F.col("event_id").alias("job_id"), (F.col("event_id") % n).alias("file_id"), F.col("ts").alias("created_at"))
+    return ST.reuse_from_completion(with_completion(e.join(f, "file_id"))).select("job_id", "hit")
+
+
 @query("t06_possible_hits")
 def _(spark, sf):
     n = D.table(spark, sf, "documents").count()
@@ -870,4 +890,9 @@ def _(spark, sf):
     return U.per_day(labelled(spark, sf))
 
 
+@query("c04_reuse_from_completion")
+def _(spark, sf):
+    return U.per_day(U.label(with_completion(hashed_once(spark, sf, "user_id", "n_bytes"))))
+
+
 __all__ = ["QUERIES", "rule_name"]

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators import jobs as J, reuse, score
+from ..operators import inflight, jobs as J, reuse, score
 from ..operators.asof import micros
 from ..operators.scan import scan
 from ..operators.tables import newest, oldest
@@ -325,6 +325,48 @@ def reuse_labels(submissions: DataFrame, ttl: int = reuse.TTL_SECONDS, hot_rows:
     return spark.read.parquet(rows).drop("batch")
 
 
+def reuse_from_completion(submissions: DataFrame, ttl: int = reuse.TTL_SECONDS, hot_rows: int = inflight.FOLDED_JOBS,
+                          path: str | None = None, late_seconds: int = 0) -> DataFrame:
+    """Like ``reuse_labels`` for submissions with ``completed_at``: a result lives from its completion.
+
+    Between batches the results of misses are kept that are still alive or still to come; of those that are there
+    already only the last one of a hash.  Rows older than the newest row of the batches before (less ``late_seconds``)
+    are set apart with hit null and leave no result.
+    """
+    spark, wait = submissions.sparkSession, 2_000_000 * ttl
+
+    def write(df: DataFrame, n: int, at: str) -> None:
+        rows = staged(df.select("job_id", "code_hash", "created_at", "completed_at"), f"{at}-rows/{n}")
+        known = (spark.read.parquet(f"{at}-state/batch={n - 1}").drop("batch") if n > 0
+                 else spark.createDataFrame([], "code_hash string, effect long"))
+        clock = spark.read.parquet(f"{at}-clock/batch={n - 1}").first()["newest"] if n > 0 else None
+        t = micros(F.col("created_at"))
+        behind = F.lit(False) if clock is None else t < clock - late_seconds * 1_000_000
+        late, rows = rows.filter(behind), rows.filter(~behind)
+        jobs = staged(inflight.jobs_of(rows), f"{at}-jobs/{n}")
+        missed = inflight.miss_instants(jobs, known, ttl, hot_rows)
+        missed = staged(jobs.join(missed, ["code_hash", "at"], "left_semi"), f"{at}-misses/{n}")
+        labelled = rows.join(missed.select("job_id", F.lit(True).alias("_miss")), "job_id", "left").select(
+            "job_id", "code_hash", F.col("_miss").isNull().alias("hit"))
+        put(labelled.unionByName(late.select("job_id", "code_hash", F.lit(None).cast("boolean").alias("hit"))), at, n)
+        newest_t = max((x for x in (clock, rows.agg(F.max(t)).first()[0]) if x is not None), default=None)
+        # whatever comes in a later batch follows these jobs, those of the same moment too
+        results = known.union(missed.filter("effect IS NOT NULL").select("code_hash", inflight.even(F.col("effect"))))
+        if newest_t is not None:
+            oldest_t = 2 * (newest_t - late_seconds * 1_000_000)
+            there = results.filter(F.col("effect") <= oldest_t).groupBy("code_hash").agg(F.max("effect").alias("effect"))
+            results = there.filter(F.col("effect") + wait > oldest_t).union(results.filter(F.col("effect") > oldest_t).distinct())
+        put(results, f"{at}-state", n)
+        put(spark.createDataFrame([(newest_t,)], "newest long").coalesce(1), f"{at}-clock", n)
+        for part in ("rows", "jobs", "misses"):
+            drop(spark, f"{at}-{part}/{n}")
+        if n > 1:
+            drop(spark, f"{at}-state/batch={n - 2}")
+
+    rows = each_batch(submissions, "reuse", write, path=path)
+    return spark.read.parquet(rows).drop("batch")
+
+
 def possible_hits(submissions: DataFrame, completions: DataFrame, ttl: int = reuse.TTL_SECONDS, salts: int = 8) -> DataFrame:
     """Submissions with some completion of their hash in the hour before (an upper bound on hits).
 
