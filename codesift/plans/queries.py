@@ -633,7 +633,7 @@ def _(spark, sf):
 
 @query("t03_retry_routing_state")
 def _(spark, sf):
-    return ST.to_table(ST.route(D.deliveries_of(_stream_events(spark, sf))), "routed")
+    return ST.route_in_time(D.deliveries_of(_stream_events(spark, sf)))
 
 
 @query("t03_retry_routing")
@@ -682,7 +682,7 @@ def _(spark, sf):
             F.col("ts").cast("timestamp").alias(ts), "event_type")
         return e.join(f, "file_id")
     done = side("completed_at").filter(F.col("event_type") == "purchase").select("code_hash", "completed_at")
-    return ST.to_table(ST.possible_hits(side("created_at").drop("event_type", "file_id"), done).select("job_id", "code_hash"), "possible")
+    return ST.possible_hits_by_batch(side("created_at"), done)[0].select("job_id", "code_hash")
 
 
 @query("t02_job_half")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import inflight, jobs as J, reuse, score
-from ..operators.asof import micros
+from ..operators.asof import micros, nearest
 from ..operators.scan import scan
 from ..operators.tables import newest, oldest
 from ..session import scratch
@@ -56,6 +56,46 @@ def staged(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def set_apart(stream: DataFrame, time: str, seconds: int, path: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """A stream of the rows that come in time, and a table of those that do not: (rows, late rows with their batch).
+
+    A row is late when it is at least ``seconds`` older than the newest row of the batches before, so a stage behind
+    with a watermark of that delay drops none: each row is in one of the two.  Rows without a time are in time.
+    """
+    spark, t = stream.sparkSession, micros(F.col(time))
+
+    def write(df: DataFrame, n: int, at: str) -> None:
+        rows = staged(df, f"{at}-all/{n}")
+        clock = newest_before(spark, at, n)
+        late = F.lit(False) if clock is None else F.coalesce(t <= clock - seconds * 1_000_000, F.lit(False))
+        put(rows.filter(~late), at, n)
+        put(rows.filter(late), f"{at}-late", n)
+        tell_newest(spark, at, n, clock, rows.agg(F.max(t)).first()[0])
+        drop(spark, f"{at}-all/{n}")
+
+    at = each_batch(stream, "in-time", write, path=path)
+    late = spark.read.schema(_with_batch(stream)).parquet(f"{at}-late") if exists(spark, f"{at}-late") else spark.createDataFrame(
+        [], _with_batch(stream))
+    return spark.readStream.schema(stream.schema).parquet(f"{at}/batch=*"), late
+
+
+def newest_before(spark: SparkSession, at: str, batch: int) -> int | None:
+    """The newest time, in microseconds, of the batches before this one."""
+    return spark.read.parquet(f"{at}-clock/batch={batch - 1}").first()["newest"] if batch > 0 else None
+
+
+def tell_newest(spark: SparkSession, at: str, batch: int, *times: int | None) -> int | None:
+    """Write the newest of these times as that of the batches up to this one."""
+    newest_t = max((x for x in times if x is not None), default=None)
+    put(spark.createDataFrame([(newest_t,)], "newest long").coalesce(1), f"{at}-clock", batch)
+    return newest_t
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
 class Runs:
     """A keyed table that batches bring up to date by writing only their own rows.
 
@@ -84,14 +124,10 @@ class Runs:
     def _rows(self, runs: list[tuple], only: dict[int, set[int]] | None = None) -> DataFrame:
         paths = [f"{self.path}-run/{run}/folder={f}" for run, _, folders, rows in runs if rows
                  for f in (range(folders) if only is None else sorted(only[folders]))]
-        found = [p for p in paths if self._exists(p)]
+        found = [p for p in paths if exists(self.spark, p)]
         reader = self.spark.read.schema(self.schema)
         return reader.parquet(*found) if found else self.spark.createDataFrame([], self.schema)
 
-    def _exists(self, path: str) -> bool:
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder)
-
     def _folder(self, folders: int):
         return F.pmod(F.xxhash64(self.key), F.lit(folders)).cast("int")
 
@@ -232,6 +268,21 @@ def route(deliveries: DataFrame, max_receive: int = J.MAX_RECEIVE, keep_days: in
         step, ROUTED, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def route_in_time(deliveries: DataFrame, by_batch: bool = False, max_receive: int = J.MAX_RECEIVE, keep_days: int = J.KEEP_DAYS,
+                  path: str | None = None) -> DataFrame:
+    """Either router behind ``set_apart``: a row for every delivery, those more than ``keep_days`` late with status ``late``.
+
+    The queue has forgotten a message by then, so a late delivery is no attempt and changes no count.
+    """
+    spark = deliveries.sparkSession
+    path = path or scratch(spark, "routing")
+    narrow = deliveries.select("delivery_id", "message_id", "failed", "delivered_at")
+    in_time, late = set_apart(narrow, "delivered_at", keep_days * 86_400, f"{path}/in-time")
+    done = (route_by_batch(in_time, max_receive, keep_days, f"{path}/routed") if by_batch
+            else to_table(route(in_time, max_receive, keep_days), "routed", f"{path}/routed"))
+    return done.unionByName(late.select("delivery_id", "message_id", F.lit(None).cast("int").alias("attempt"), F.lit("late").alias("status")))
+
+
 def route_by_batch(deliveries: DataFrame, max_receive: int = J.MAX_RECEIVE, keep_days: int = J.KEEP_DAYS,
                    path: str | None = None) -> DataFrame:
     """Like ``route`` without Python workers: each batch continues from a table of message states.
@@ -339,8 +390,7 @@ def reuse_from_completion(submissions: DataFrame, ttl: int = reuse.TTL_SECONDS,
         rows = staged(df.select("job_id", "code_hash", "created_at", "completed_at"), f"{at}-rows/{n}")
         known = (spark.read.parquet(f"{at}-state/batch={n - 1}").drop("batch") if n > 0
                  else spark.createDataFrame([], "code_hash string, effect long"))
-        clock = spark.read.parquet(f"{at}-clock/batch={n - 1}").first()["newest"] if n > 0 else None
-        t = micros(F.col("created_at"))
+        clock, t = newest_before(spark, at, n), micros(F.col("created_at"))
         behind = F.lit(False) if clock is None else t < clock - late_seconds * 1_000_000
         late, rows = rows.filter(behind), rows.filter(~behind)
         jobs = staged(inflight.jobs_of(rows), f"{at}-jobs/{n}")
@@ -349,7 +399,7 @@ def reuse_from_completion(submissions: DataFrame, ttl: int = reuse.TTL_SECONDS,
         labelled = rows.join(missed.select("job_id", F.lit(True).alias("_miss")), "job_id", "left").select(
             "job_id", "code_hash", F.col("_miss").isNull().alias("hit"))
         put(labelled.unionByName(late.select("job_id", "code_hash", F.lit(None).cast("boolean").alias("hit"))), at, n)
-        newest_t = max((x for x in (clock, rows.agg(F.max(t)).first()[0]) if x is not None), default=None)
+        newest_t = tell_newest(spark, at, n, clock, rows.agg(F.max(t)).first()[0])
         # whatever comes in a later batch follows these jobs, those of the same moment too
         results = known.union(missed.filter("effect IS NOT NULL").select("code_hash", inflight.even(F.col("effect"))))
         if newest_t is not None:
@@ -357,7 +407,6 @@ def reuse_from_completion(submissions: DataFrame, ttl: int = reuse.TTL_SECONDS,
             there = results.filter(F.col("effect") <= oldest_t).groupBy("code_hash").agg(F.max("effect").alias("effect"))
             results = there.filter(F.col("effect") + wait > oldest_t).union(results.filter(F.col("effect") > oldest_t).distinct())
         put(results, f"{at}-state", n)
-        put(spark.createDataFrame([(newest_t,)], "newest long").coalesce(1), f"{at}-clock", n)
         for part in ("rows", "jobs", "misses"):
             drop(spark, f"{at}-{part}/{n}")
         if n > 1:
@@ -382,6 +431,46 @@ def possible_hits(submissions: DataFrame, completions: DataFrame, ttl: int = reu
                      "left_semi").drop("salt")
 
 
+def possible_hits_by_batch(submissions: DataFrame, completions: DataFrame, ttl: int = reuse.TTL_SECONDS,
+                           late_seconds: int = 7200, path: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Like ``possible_hits``, with the rows that come too late to tell in a second table.
+
+    submissions(job_id, code_hash, created_at), completions(code_hash, completed_at) -> (job_id, code_hash, batch) of the
+    possible hits and (job_id, code_hash, t, batch) of the late rows, job_id null for completions.  A row may be up to
+    ``late_seconds`` older than the newest one of the batches before, on either side: a submission waits so long for
+    its completion, a completion is kept one time to live longer.  The last completion before a submission
+    decides, so rows of a hash are never paired and there is no fixed number of salts.
+    """
+    spark = submissions.sparkSession
+    both = submissions.select("job_id", "code_hash", micros(F.col("created_at")).alias("t"), F.lit(False).alias("done")).unionByName(
+        completions.select(F.lit(None).cast(submissions.schema["job_id"].dataType).alias("job_id"), "code_hash",
+                           micros(F.col("completed_at")).alias("t"), F.lit(True).alias("done")))
+
+    def write(df: DataFrame, n: int, at: str) -> None:
+        rows, clock = staged(df, f"{at}-all/{n}"), newest_before(spark, at, n)
+        kept = spark.read.schema(df.schema).parquet(f"{at}-state/batch={n - 1}") if n > 0 else rows.filter(F.lit(False))
+        late = F.lit(False) if clock is None else F.col("t") <= clock - late_seconds * 1_000_000
+        put(rows.filter(late).select("job_id", "code_hash", "t"), f"{at}-late", n)
+        live = rows.filter(~late).unionByName(kept)
+        landed = live.filter("done").select("job_id", "code_hash", "t", "done").distinct()
+        judged = nearest(live.filter("NOT done"), landed.select("code_hash", "t"), ["code_hash"], "t", "t", False)
+        judged = staged(judged.withColumn("hit", F.coalesce(F.col("t") < F.col("matched") + ttl * 1_000_000, F.lit(False))), f"{at}-judged/{n}")
+        put(judged.filter("hit").select("job_id", "code_hash"), at, n)
+        newest_t = tell_newest(spark, at, n, clock, rows.agg(F.max("t")).first()[0])
+        since = (newest_t or 0) - late_seconds * 1_000_000
+        put(judged.filter(~F.col("hit") & (F.col("t") > since)).select(*df.columns).unionByName(
+            landed.filter(F.col("t") > since - ttl * 1_000_000)), f"{at}-state", n)
+        for part in ("all", "judged"):
+            drop(spark, f"{at}-{part}/{n}")
+        if n > 1:
+            drop(spark, f"{at}-state/batch={n - 2}")
+
+    at = each_batch(both, "possible", write, path=path)
+    kind = submissions.schema["job_id"].dataType.simpleString()
+    return (spark.read.schema(f"job_id {kind}, code_hash string, batch int").parquet(at),
+            spark.read.schema(f"job_id {kind}, code_hash string, t long, batch int").parquet(f"{at}-late"))
+
+
 # ---- dashboards ----------------------------------------------------------------
 def dashboard(stream: DataFrame, aggregate: Callable[[DataFrame], DataFrame], purpose: str, path: str | None = None) -> DataFrame:
     """A global aggregate that every batch replaces; the last one is returned."""

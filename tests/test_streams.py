@@ -226,3 +226,34 @@ def test_retention_drops_days_without_writing_what_is_kept(spark, tmp_path):
     versions = sorted(int(p.name[8:]) for p in (where / "rows").glob("version=*"))
     written = {v: sum(1 for _ in (where / "rows" / f"version={v}").glob("day=*")) for v in versions}
     assert written[0] == 0 and written[4] > 0  # folders of the first batch are gone
+
+
+def test_routers_agree_on_a_backfilled_batch_and_no_row_is_lost(spark, tmp_path):
+    rows = deliveries(120)
+    rows = rows[:40] + [(i, m, f, t + timedelta(days=4)) for i, m, f, t in rows[40:80]] + [
+        (i, m, f, t + timedelta(days=4) if i % 2 else t) for i, m, f, t in rows[80:]]  # the last batch brings old deliveries
+    path, stream = folder(spark, tmp_path, rows, DELIVERY, 3)
+    late = {r[0] for r in rows[80:] if not r[0] % 2}
+    by_state, by_batch = (as_set(ST.route_in_time(stream, b, path=str(tmp_path / f"routed-{b}")), COLUMNS) for b in (False, True))
+    want = as_set(J.route_deliveries(spark.read.parquet(path).filter(~F.col("delivery_id").isin(*late))), COLUMNS)
+    assert by_state == by_batch == want | {(i, m, None, "late") for i, m, _, _ in rows if i in late}
+    assert len(by_state) == 120 and len(late) == 20
+
+
+def test_possible_hits_with_late_rows_on_both_sides(spark, tmp_path):
+    def at(minutes):
+        return T0 + timedelta(minutes=minutes)
+    schema = "job_id long, code_hash string, created_at timestamp_ntz, kind string"
+    # batch 0: up to minute 200; batch 1: a completion an hour old, a submission of the past; batch 2: rows too old on both sides
+    batches = [[(1, "a", at(150), "sent"), (2, "b", at(10), "sent"), (3, "a", at(200), "sent"), (None, "b", at(0), "done")],
+               [(None, "a", at(140), "done"), (4, "b", at(59), "sent"), (5, "b", at(130), "sent"), (6, "c", at(300), "sent")],
+               [(None, "c", at(170), "done"), (7, "a", at(180), "sent"), (8, "a", at(199), "sent"), (None, "c", at(290), "done")]]
+    path = str(tmp_path / "in")
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+    read = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet
+    hits, late = ST.possible_hits_by_batch(read(path).filter("kind = 'sent'"),
+                                           read(path).filter("kind = 'done'").withColumnRenamed("created_at", "completed_at"))
+    assert as_set(late, ["job_id", "code_hash"]) == {(4, "b"), (None, "c"), (7, "a")}
+    # 1 and 6 get their completion with the next batch; 3 and 5 are an hour or more after theirs
+    assert as_set(hits, ["job_id"]) == {(1,), (2,), (6,), (8,)} and hits.count() == 4
