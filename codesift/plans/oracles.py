@@ -435,6 +435,7 @@ def oracles() -> dict[str, str]:
         "CASE WHEN f.id IS NULL THEN j.dlq_message_id END AS dlq_message_id, CASE WHEN f.id IS NULL THEN j.result ELSE 'r' || f.event_id END AS result, "
         "CASE WHEN f.id IS NULL THEN j.completed_at ELSE f.ts END AS completed_at "
         "FROM review_jobs j LEFT JOIN n ON n.id = j.id LEFT JOIN e ON e.id = j.id LEFT JOIN f ON f.id = j.id")
+    o["m07_committed_changes"] = o["m07_mixed_changes"]
     o["m07_failed_attempt"] = _changed("status = 'processing'", status="'retrying'", attempts="2", last_error="'boom'")
 
     # user surface and corpus views

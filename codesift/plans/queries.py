@@ -16,6 +16,7 @@ from ..rules import BY_KEY, CATALOGUE, Rule, has
 from ..rules import pattern as pt, semantic as sm
 from ..session import scratch, store
 from ..sources import derived as D, io
+from ..sources.daytable import DayTable
 from ..streaming import streams as ST
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -833,14 +834,29 @@ def _(spark, sf):
     return J.fail(D.review_jobs(spark, sf), _twice(f)).select(*SHOWN)
 
 
-@query("m07_mixed_changes")
-def _(spark, sf):
+def _change_log(spark, sf):
     e = D.table(spark, sf, "events")
     kind = F.element_at(F.array(F.lit("start"), F.lit("fail"), F.lit("finish")), (F.col("event_id") % 3 + 1).cast("int"))
     log = e.select((F.col("event_id") - F.col("event_id") % 4).alias("id"), kind.alias("kind"), F.col("ts").alias("at"),
                    (F.col("event_id") % 5).cast("int").alias("attempts"), F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("last_error"),
                    F.concat(F.lit("r"), F.col("event_id").cast("string")).alias("result"), (F.col("event_id") % 900).cast("int").alias("processing_time_ms"))
-    return J.changed(D.review_jobs(spark, sf), _twice(log)).select(*SHOWN, "result", "completed_at")
+    return _twice(log)
+
+
+@query("m07_mixed_changes")
+def _(spark, sf):
+    return J.changed(D.review_jobs(spark, sf), _change_log(spark, sf)).select(*SHOWN, "result", "completed_at")
+
+
+@query("m07_committed_changes")
+def _(spark, sf):
+    # the same through a table by day: committed, and the same batch delivered again
+    jobs = D.review_jobs(spark, sf)
+    jobs_table = DayTable(spark, scratch(spark, "job-table"), jobs.schema, "id")
+    jobs_table.append(jobs)
+    for batch in (0, 0, 1):
+        jobs_table.update(_change_log(spark, sf), J.changed, ("worker", batch))
+    return jobs_table.read().select(*SHOWN, "result", "completed_at")
 
 
 # ---- user surface ----------------------------------------------------------------------

@@ -14,6 +14,7 @@ from ..operators.asof import micros, nearest
 from ..operators.scan import scan
 from ..operators.tables import newest, oldest
 from ..session import scratch
+from ..sources.daytable import DayTable
 
 
 # ---- running a stream to its end ---------------------------------------------
@@ -471,6 +472,20 @@ def possible_hits_by_batch(submissions: DataFrame, completions: DataFrame, ttl:
             spark.read.schema(f"job_id {kind}, code_hash string, t long, batch int").parquet(f"{at}-late"))
 
 
+# ---- table changes --------------------------------------------------------------
+def commit_changes(changes: DataFrame, table: DayTable, apply: Callable[[DataFrame, DataFrame], DataFrame], name: str,
+                   path: str | None = None) -> int:
+    """Apply a stream of changes to a table, a version for each batch; a replayed batch changes nothing.  Returns the version."""
+
+    def write(df: DataFrame, n: int, at: str) -> None:
+        rows = staged(df, f"{at}/{n}")
+        table.update(rows, apply, (name, n))
+        drop(changes.sparkSession, f"{at}/{n}")
+
+    each_batch(changes, "changes", write, path=path)
+    return table.manifest()["version"]
+
+
 # ---- dashboards ----------------------------------------------------------------
 def dashboard(stream: DataFrame, aggregate: Callable[[DataFrame], DataFrame], purpose: str, path: str | None = None) -> DataFrame:
     """A global aggregate that every batch replaces; the last one is returned."""
