@@ -125,24 +125,31 @@ def digests(rotations: DataFrame) -> DataFrame:
 
 ORACLE = r"""
 WITH t AS (
-  SELECT DISTINCT conv_id, turn, replace(coalesce(text, ''), '<|', '< |') AS text,
+  SELECT conv_id, turn, replace(coalesce(text, ''), '<|', '< |') AS text,
          regexp_replace(replace(coalesce(role, 'unnamed'), '<|', '< |'), '[\r\n]', ' ', 'g') AS role
-  FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
-s AS (SELECT *, CAST(floor(turn / 1024) AS BIGINT) AS segment FROM t),
-p AS (SELECT DISTINCT conv_id, segment, role AS perspective FROM s WHERE role <> 'system'),
+  FROM conversations),
+s AS (SELECT DISTINCT * FROM t WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+ranked AS (SELECT *, CAST((row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1) // %d AS BIGINT) AS segment FROM s),
+p AS (SELECT DISTINCT conv_id, role AS perspective FROM s WHERE role <> 'system'),
 m AS (
-  SELECT s.*, p.perspective, s.role = p.perspective AS learn,
-    '<|im_start|>' || CASE WHEN s.role = p.perspective THEN 'assistant' WHEN s.role = 'system' THEN 'system'
-                           ELSE 'user name=' || s.role END || chr(10) AS head, s.text || '<|im_end|>' AS body
-  FROM s JOIN p USING (conv_id, segment)),
+  SELECT r.*, p.perspective, r.role = p.perspective AS learn,
+    '<|im_start|>' || CASE WHEN r.role = p.perspective THEN 'assistant' WHEN r.role = 'system' THEN 'system'
+                           ELSE 'user name=' || r.role END || chr(10) AS head, r.text || '<|im_end|>' AS body
+  FROM ranked r JOIN p USING (conv_id)),
 o AS (
-  SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, segment, perspective ORDER BY turn, role, text
+  SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective ORDER BY turn, role, text
                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS start
-  FROM m)
+  FROM m),
+alone AS (SELECT *, '<|im_start|>assistant' || chr(10) AS head, text || '<|im_end|>' AS body FROM t
+          WHERE (conv_id IS NULL OR turn IS NULL) AND role <> 'system')
 SELECT conv_id, segment, perspective, count(*) AS n_turns, CAST(sum(length(head) + length(body) + 1) AS BIGINT) AS n_chars,
   CAST(sum(CASE WHEN learn THEN length(body) ELSE 0 END) AS BIGINT) AS n_learned,
   coalesce(string_agg(CASE WHEN learn THEN CAST(CAST(start AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(start + length(body) AS BIGINT) AS VARCHAR) END, ','
                       ORDER BY turn, role, text), '') AS spans,
   sha256(string_agg(head || body || chr(10), '' ORDER BY turn, role, text)) AS rendered_sha256
 FROM o GROUP BY conv_id, segment, perspective
-"""
+UNION ALL
+SELECT conv_id, NULL, role, 1, length(head) + length(body) + 1, length(body),
+  CAST(length(head) AS VARCHAR) || '-' || CAST(length(head) + length(body) AS VARCHAR), sha256(head || body || chr(10))
+FROM alone
+""" % SEGMENT_TURNS

@@ -239,7 +239,7 @@ def test_rotation_against_duckdb(spark):
     con = duckdb.connect()
     con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
     con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", placed)
-    df = rotation.digests(rotation.rotated(turns(spark).filter("conv_id is not null and turn is not null")))
+    df = rotation.digests(rotation.rotated_dialogues(turns(spark).filter("conv_id is not null and turn is not null")))
     assert sorted(map(tuple, df.collect())) == sorted(con.execute(rotation.ORACLE).fetchall())
 
 
@@ -274,3 +274,21 @@ def test_every_speaker_has_the_whole_dialogue(spark, tmp_path):
     df.write.parquet(f"{tmp_path}/conversations.parquet")
     got = {(r["conv_id"], r["perspective"]): r["n_turns"] for r in QUERIES["op7_perspective_rotation"](spark, str(tmp_path)).collect()}
     assert got[5, "user"] == got[5, "assistant"] == got[9, "user"] == 2
+
+
+def test_whole_dialogues_against_duckdb(spark, tmp_path):
+    """Longer than a segment, numbered with gaps, with rows that have no place: the query's SQL holds for all of it."""
+    duckdb = pytest.importorskip("duckdb")
+    said = [(1, 3 * i, ["anna", "ben", "system", "cleo"][i % 4], f"word {i} <|x|>") for i in range(2500)]
+    said += [(2, 5_000_000, "anna", "late"), (2, 1, "system", None), (3, 0, "system", "only"), (None, 1, "ben", "lost"), (None, 1, "ben", "lost"),
+             (4, None, None, "nowhere"), (5, None, "system", "nowhere"), (1, 0, "anna", "word 0 <|x|>")]
+    df = spark.createDataFrame(said, "conv_id long, turn long, role string, text string")
+    df.coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+
+    def ordered(rows):
+        return sorted((tuple(r) for r in rows), key=lambda r: tuple(str(x) for x in r))
+    got = QUERIES["op7_perspective_rotation"](spark, str(tmp_path)).collect()
+    assert ordered(got) == ordered(con.execute(rotation.ORACLE).fetchall())
+    assert sum(r["conv_id"] == 1 for r in got) == 9 and sum(r["segment"] is None for r in got) == 3
