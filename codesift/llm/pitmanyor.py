@@ -3,8 +3,9 @@
 Every word that occurs is a context with a restaurant of its own, which serves the words that follow it; all these
 restaurants share one parent, the root restaurant of all words, whose parent is uniform over the known words and
 one that stands for all others.  A customer of a context's restaurant is an occurrence, a customer of the root is a table
-below it.  Gibbs sweeps take customers from their tables and seat them again by the Chinese restaurant's rule: at a table in
-proportion to its customers less a discount, at a new one in proportion to what the parent says.  After some sweeps every
+below it.  Gibbs sweeps take all customers of a dish from their tables and seat them again by the Chinese restaurant's rule: at
+a table in proportion to its customers less a discount, at a new one in proportion to what the parent says.  What the model needs of a
+seating is its number of tables, and that is drawn at once from its law.  After some sweeps every
 further one gives a sample of the tables, and a word's probability is the mean of its predictive probabilities.
 
 All dishes of a level are sampled at once, given the tables that the sweep before left to the others, so a sweep is
@@ -15,8 +16,9 @@ goes to the driver, and buckets grow in number with the text.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,8 @@ shipped(__name__)
 
 # production parameters
 BURN_IN, SAMPLES = 2, 3  # sweeps before the first sample, samples
-VISITS = 4  # a sweep seats 4 * log2(1 + c) random customers of a dish again, all of them up to c = 16
+ROWS = 1024  # up to so many customers of a dish, weights of seatings come from a table; beyond, from an integral
+NODES = 40  # of the integral, on either side
 STRENGTH = 0.5  # of the restaurants of contexts
 ROOT_STRENGTH = 1.0
 BUCKET_BYTES = 4 << 20  # text for which there is a bucket
@@ -49,55 +52,123 @@ SINGLES, SEATS, PAIR_SAMPLE, FACTS, WORDS, WORD_SAMPLE, TOLD, REPLY, ASKED, FOUN
 
 
 # ---- seating ------------------------------------------------------------------------
+@lru_cache(maxsize=4)
+def stirling(discount: float) -> np.ndarray:
+    """Logarithms of the weights of all seatings of c customers at t tables, for c and t up to ROWS.
+
+    A seating weighs the product over its tables of (1 - discount)(2 - discount)...(size - 1 - discount).
+    """
+    out = np.full((ROWS + 1, ROWS + 1), -np.inf)
+    out[1, 1] = 0
+    t = np.arange(1, ROWS + 1)
+    for c in range(1, ROWS):
+        out[c + 1, 1:c + 2] = out[c, :c + 1]  # the next customer opens a table
+        out[c + 1, 1:c + 1] = np.logaddexp(out[c + 1, 1:c + 1], out[c, 1:c + 1] + np.log(c - discount * t[:c]))
+    return out
+
+
+def log1p(z: np.ndarray) -> np.ndarray:
+    """log(1 + z) of complex numbers, exact for small ones."""
+    return 0.5 * np.log1p(z.real * (2 + z.real) + z.imag ** 2) + 1j * np.arctan2(z.imag, 1 + z.real)
+
+
+def odds_of_tables(c: int, weight: float, discount: float) -> tuple[int, np.ndarray]:
+    """Odds of k, k + 1, ... tables for many customers: all numbers of tables whose odds are not lost in rounding.
+
+    The weight of all seatings of c customers at t tables is c!/(t! discount^t) times the coefficient of z^c in
+    (1 - (1 - z)^discount)^t, which is Cauchy's integral.  Its path is the circle through the saddle point where the saddle is
+    far from the cut of (1 - z)^discount, else a parabola around the cut, through the saddle or some 8/c from the branch point.
+    """
+    rate = weight / discount
+    low, high = -600.0, 0.0  # log of the saddle x = 1 - z of rate * (1 - x^discount) - (c + 1) log(1 - x)
+    for _ in range(60):
+        middle = 0.5 * (low + high)
+        x = math.exp(middle)
+        low, high = (middle, high) if x >= 1 or weight * x ** (discount - 1) * (1 - x) > c + 1 else (low, middle)
+    saddle = math.exp(low)
+    likely = min(max(-rate * math.expm1(discount * low), 1.0), c)
+    near = likely * c ** -discount < 0.5  # nearly all are at one table: what is left after the 1 of (1 - x^discount)^t
+    z, inner = -math.expm1(low), -math.expm1(discount * low)
+    far, bend = -math.log(z), discount * saddle ** (discount - 1) * z / inner
+    # the second derivative of likely * log(1 - (1 - e^-y)^discount) + c * y
+    spread = max(likely * (bend * (1 + (1 - discount) * z / saddle) - bend * bend), 0.0)
+    if not near and (far > 1 or far * math.sqrt(spread) > 6):
+        turn = min(math.pi, 12 / math.sqrt(spread)) if far * math.sqrt(spread) > 6 else math.pi
+        angle = (np.arange(NODES) + 0.5) * (turn / NODES)
+        x = 1 - z * np.exp(1j * angle)
+        one, rest = log1p(-x ** discount), -1j * c * angle
+    else:
+        vertex, wide = max(saddle, 8 / c), 1 / math.sqrt(min(1, 2 - 2 * discount))
+        nodes = math.ceil(NODES * wide)
+        theta = (np.arange(nodes) + 0.5) * (math.sqrt(40 / (c * vertex)) * wide / nodes)
+        x = vertex * (1 + 1j * theta) ** 2
+        one, rest = log1p(-x ** discount), -(c + 1) * log1p(-x) + np.log(1 + 1j * theta)
+    step = 8 * math.sqrt(min(likely, c - likely + 1)) + 16
+    first, last = max(1, int(likely - step)), min(c, int(likely + step))
+    while True:
+        t = np.arange(first, last + 1)
+        power = t[:, None] * one
+        if near:
+            values = (np.expm1(power) * np.exp(rest - rest[0].real)).real.sum(axis=1)
+            scale = 0.0
+        else:
+            power += rest
+            scale = power[:, 0].real
+            values = np.exp(power - scale[:, None]).real.sum(axis=1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            odds = t * math.log(rate) - np.array([math.lgamma(k + 1) for k in t.tolist()]) + scale + np.log(np.where(values > 0, values, 0))
+        odds -= odds.max()
+        more = 2 * int(step)
+        before, after = first > 1 and odds[0] > -32, last < c and odds[-1] > -32
+        if not before and not after:
+            return first, np.exp(odds)
+        step += more
+        first, last = max(1, first - more * before), min(c, last + more * after)
+
+
+def drawn_tables(customers: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """Numbers of tables after all customers of every dish got up and sat down again.
+
+    Drawn at once from the law that seating one customer after another has in the long run: t tables are as
+    likely as weight^t times the weight of all seatings at t tables.  Nothing depends on how they sat before.
+    """
+    tables = np.minimum(customers, 1).astype(np.int64)
+    draw = rng.random(len(customers))
+    log_weight = np.log(np.maximum(weight, 1e-300))
+    ends = np.unique(np.ceil(1.25 ** np.arange(3, 1 + math.ceil(math.log(ROWS, 1.25)))).astype(int).clip(2, ROWS))
+    size = np.searchsorted(ends, customers)  # dishes with about as many customers are done together
+    order = np.argsort(np.where(customers < 2, -1, size), kind="stable")
+    begins = np.searchsorted(np.where(customers < 2, -1, size)[order], np.arange(len(ends) + 1))
+    for i, most in enumerate(ends.tolist()):
+        t = np.arange(1, most + 1)
+        rows, many = stirling(discount)[:, 1:most + 1], max(1, (1 << 19) // most)
+        for begin in range(begins[i], begins[i + 1], many):
+            here = order[begin:min(begin + many, begins[i + 1])]
+            odds = rows[customers[here]] + log_weight[here, None] * t
+            odds -= odds.max(axis=1, keepdims=True)
+            total = np.cumsum(np.exp(odds, out=odds), axis=1, out=odds)
+            tables[here] = 1 + (total <= (draw[here] * total[:, -1])[:, None]).sum(axis=1)
+    for i in order[begins[-1]:].tolist():
+        first, odds = odds_of_tables(int(customers[i]), float(weight[i]), discount)
+        total = np.cumsum(odds)
+        tables[i] = first + np.searchsorted(total, draw[i] * total[-1], side="right")
+    return np.minimum(tables, customers)
+
+
 def reseated(sizes: np.ndarray, tables: np.ndarray, weight: np.ndarray, discount: float,
              rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
     """One Gibbs sweep over many dishes: table sizes dish after dish, tables per dish -> the same afterwards.
 
-    ``weight`` is that of a new table.  Each dish has at least two customers.  All dishes take their next customer
-    at a time; those with more visits come first, so the dishes that are still at it are a beginning of the arrays.
+    ``weight`` is that of a new table.  All customers of a dish are seated again, however many they are.  The model
+    depends on numbers of tables only, so the sizes are summed out: of the new ones all but the first are 1.
     """
     if not len(tables):
         return sizes, tables
-    first = np.cumsum(tables) - tables
-    customers = np.add.reduceat(sizes, first).astype(np.float64)
-    visits = np.minimum(customers, np.ceil(VISITS * np.log2(1 + customers))).astype(np.int64)
-    visits[customers == 2] = 1  # where the second one sits does not depend on where either sat before
-    order = np.argsort(-visits, kind="stable")
-    visits, customers, weight, live = visits[order], customers[order], weight[order], tables[order].astype(np.int64)
-    room = live + visits  # seats for all tables that may open
-    begin = np.cumsum(room) - room
-    flat = np.zeros(int(room.sum()))
-    inside = np.arange(int(live.sum())) - np.repeat(np.cumsum(live) - live, live)
-    flat[np.repeat(begin, live) + inside] = sizes[np.repeat(first[order], live) + inside]
-    free = begin + live
-    many = len(visits)
-    for turn in range(int(visits[0])):
-        while visits[many - 1] <= turn:
-            many -= np.count_nonzero(visits[max(0, many - 4096):many] <= turn)
-        f, at = flat[:begin[many - 1] + room[many - 1]], begin[:many]
-        seats = np.cumsum(f)
-        before = seats[at] - f[at]
-        leaves = np.searchsorted(seats, before + np.floor(rng.random(many) * customers[:many]), side="right")
-        f[leaves] -= 1
-        live[:many] -= f[leaves] == 0
-        stay = customers[:many] - 1 - discount * live[:many]
-        draw = rng.random(many) * (stay + weight[:many])
-        opens = draw >= stay
-        share = f - discount * (f > 0)
-        seats = np.cumsum(share)
-        goes = np.searchsorted(seats, seats[at] - share[at] + draw, side="right")
-        goes = np.minimum(np.maximum(goes, at), free[:many] - 1)
-        lost = ~opens & (f[goes] == 0)  # a rounding error at the edge of a table
-        goes[lost] = leaves[lost]
-        live[:many] += lost & (f[leaves] == 0)
-        goes[opens] = free[:many][opens]
-        free[:many] += opens
-        live[:many] += opens
-        f[goes] += 1
-    used = flat > 0
-    dish = np.repeat(order, room)[used]
-    back = np.argsort(dish, kind="stable")
-    return flat[used][back].astype(np.int64), np.bincount(dish, minlength=len(tables))
+    customers = np.add.reduceat(sizes, np.cumsum(tables) - tables).astype(np.int64)
+    tables = drawn_tables(customers, weight, discount, rng)
+    sizes = np.ones(int(tables.sum()), np.int64)
+    sizes[np.cumsum(tables) - tables] += customers - tables
+    return sizes, tables
 
 
 def started(customers: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -298,38 +369,27 @@ def told(bucket: int, asked: Asked, tables: np.ndarray) -> Iterator[tuple]:
 
 # ---- sweeps -------------------------------------------------------------------------
 def gathered_words(bucket: int, got: Got) -> Iterator[tuple]:
-    """The words of a bucket: occurrences as word and as context; fixed customers and tables, and no seating yet."""
+    """The words of a bucket: occurrences as word and as context; fixed customers and tables."""
     keys, *columns = joined([a for _, a in got[FACTS]], 5)
     words, at = np.unique(keys, return_inverse=True)
     count, size, customers, tables = (np.bincount(at, weights=c, minlength=len(words)).astype(np.int64) for c in columns)
     yield row(bucket, FACTS, 0, words, count, size, stats=[int((count > 0).sum())])
-    yield row(bucket, WORDS, 0, words, customers, tables, np.empty(0, np.int64), np.zeros(len(words), np.int64))
+    yield row(bucket, WORDS, 0, words, customers, tables)
 
 
 def root_sweep(turn: int, discount: float, new_table: float, sample: int | None):
     """New customers from the tables below, one sweep over the root's tables, and replies to the buckets of pairs."""
     def work(bucket: int, got: Got) -> Iterator[tuple]:
-        words, fixed_customers, fixed_tables, sizes, tables = got[WORDS][0][1]
+        words, fixed_customers, fixed_tables = got[WORDS][0][1]
         customers, below = fixed_customers.astype(np.int64), fixed_tables.astype(np.int64)
         places = []
         for _, (keys, k, t) in got.get(TOLD, []):
             places.append(np.searchsorted(words, keys))
             customers[places[-1]] += k
             below[places[-1]] += t
-        if turn == 1:
-            sizes, tables = started(customers, np.full(len(words), new_table))
-        else:
-            sizes, tables = changed(sizes.astype(np.int64), tables.astype(np.int64), customers)
-        busy = customers >= 2
-        mine = np.repeat(busy, tables)
         rng = np.random.default_rng([SEED, turn, 0, bucket])
-        new_sizes, new_tables = reseated(sizes[mine], tables[busy], np.full(int(busy.sum()), new_table), discount, rng)
-        dish = np.append(np.repeat(np.flatnonzero(busy), new_tables), np.repeat(np.arange(len(words)), tables)[~mine])
-        back = np.argsort(dish, kind="stable")
-        sizes = np.append(new_sizes, sizes[~mine])[back]
-        tables = tables.copy()
-        tables[busy] = new_tables
-        yield row(bucket, WORDS, 0, words, fixed_customers, fixed_tables, sizes, tables,
+        tables = drawn_tables(customers, np.full(len(words), new_table), discount, rng)
+        yield row(bucket, WORDS, 0, words, fixed_customers, fixed_tables,
                   stats=[int(customers.sum()), int(tables.sum()), int((customers == 1).sum()), int((customers == 2).sum())])
         if sample is not None:
             yield row(bucket, WORD_SAMPLE, sample, customers, tables, below)
@@ -339,18 +399,14 @@ def root_sweep(turn: int, discount: float, new_table: float, sample: int | None)
 
 
 def pair_sweep(turn: int, discount: float, root: Root, buckets: int, sample: int | None):
-    """One sweep over the tables of a bucket of pairs, and what the words learn of it."""
+    """One sweep over the tables of a bucket of pairs: what the words learn of it."""
     def work(bucket: int, got: Got) -> Iterator[tuple]:
-        context, word, tables, sizes = paired(got[SEATS][0][1])
+        context, word, tables, customers = paired(got[SEATS][0][1])
         asked = Asked(context, word, buckets)
         if len(word):
-            customers, seats, below = asked.answer(got[REPLY])
-            weight = (STRENGTH + discount * below[asked.context]) * root.predictive(customers, seats)[asked.word]
-            sizes, tables = sizes.astype(np.int64), tables.astype(np.int64)
-            if turn == 1:
-                sizes, tables = started(sizes, weight)
-            sizes, tables = reseated(sizes, tables, weight, discount, np.random.default_rng([SEED, turn, 1, bucket]))
-        yield row(bucket, SEATS, 0, *runs(context), word, tables, sizes)
+            k, seats, below = asked.answer(got[REPLY])
+            weight = (STRENGTH + discount * below[asked.context]) * root.predictive(k, seats)[asked.word]
+            tables = drawn_tables(customers.astype(np.int64), weight, discount, np.random.default_rng([SEED, turn, 1, bucket]))
         if sample is not None:
             yield row(bucket, PAIR_SAMPLE, sample, tables)
         yield from told(bucket, asked, tables)
@@ -394,8 +450,9 @@ def fitted(docs: DataFrame, work: Workspace, burn_in: int = BURN_IN, samples: in
     words = work.put(grouped(of_kind(start, FACTS), buckets, gathered_words), "words0")
     types = added(of_kind(words, FACTS), 1)[0]
     known_words = [work.put(of_kind(words, FACTS), "facts")]
-    known_pairs = [work.put(of_kind(start, SINGLES), "singles")]
-    seats = work.put(of_kind(start, SEATS, TOLD), "seats0")
+    pairs = work.put(of_kind(start, SINGLES, SEATS), "pairs")  # with all their customers at one table: a sweep needs their number only
+    known_pairs = [pairs]
+    seats = work.put(of_kind(start, TOLD), "seats0")
     work.drop("start")
     # a first root: every word has one table
     root = Root(0, types, types, 0.5)
@@ -413,13 +470,12 @@ def fitted(docs: DataFrame, work: Workspace, burn_in: int = BURN_IN, samples: in
         work.drop(f"words{turn - 1}")
         if turn <= burn_in + samples:
             sample = turn - burn_in - 1 if turn > burn_in else None
-            swept = grouped(of_kind(seats, SEATS).unionByName(of_kind(words, REPLY)), buckets,
+            swept = grouped(of_kind(pairs, SEATS).unionByName(of_kind(words, REPLY)), buckets,
                             pair_sweep(turn, discount, root, buckets, sample))
             seats = work.put(swept, f"seats{turn}")
             if sample is not None:
                 known_pairs.append(work.put(of_kind(seats, PAIR_SAMPLE), f"pair-sample{sample}"))
             work.drop(f"seats{turn - 1}")
-    known_pairs.append(work.put(of_kind(seats, SEATS), "seats"))
     work.drop(f"words{turn}", f"seats{burn_in + samples}")
     return Model(reduce(DataFrame.unionByName, known_pairs), reduce(DataFrame.unionByName, known_words), tokens, types, discount, roots, buckets)
 

@@ -219,6 +219,25 @@ def test_reseating_has_the_exact_distribution():
             assert abs(seen[t] / (20 * many) - p) < 0.015
 
 
+def test_a_sweep_seats_all_customers_whatever_their_number():
+    # odds by the table of weights against odds by the integral, for dishes nearly all at one table, nearly all alone and between
+    for discount in (0.05, 0.4, 0.6, 0.8, 0.95):
+        for weight in (1e-4, 0.4, 5.0, 60.0, 700.0, 2e4):
+            first, odds = P.odds_of_tables(P.ROWS, weight, discount)
+            want = P.stirling(discount)[P.ROWS, 1:] + np.log(weight) * np.arange(1, P.ROWS + 1)
+            want, got = np.exp(want - want.max()), np.zeros(P.ROWS)
+            got[first - 1:first - 1 + len(odds)] = odds / odds.sum()
+            assert np.abs(got - want / want.sum()).sum() < 1e-5
+    # one sweep is enough from any start: with random visits to a few customers, a start at one table or all alone would show
+    rng, many = np.random.default_rng(6), 1500
+    for c, weight in ((700, 20.0), (3000, 20.0)):
+        one = P.reseated(np.full(many, c), np.ones(many, np.int64), np.full(many, weight), 0.5, rng)
+        alone = P.reseated(np.ones(20 * c, np.int64), np.full(20, c), np.full(20, weight), 0.5, rng)
+        first, odds = P.odds_of_tables(c, weight, 0.5)
+        mean = (odds * np.arange(first, first + len(odds))).sum() / odds.sum()
+        assert abs(one[1].mean() - mean) < 0.02 * mean and abs(alone[1].mean() - mean) < 0.2 * mean
+
+
 def test_hashes_of_words_from_buffers(monkeypatch):
     r = random.Random(3)
     texts = [None, "", "  ", "A b\tC\x0bé\n", "one", " one", "long" * 900 + " x", "😀 ONE", "\x1f\x00 y"]
