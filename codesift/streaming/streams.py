@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 from datetime import timedelta
 
@@ -227,45 +228,55 @@ def dead_jobs(letters: DataFrame, path: str | None = None) -> DataFrame:
 
 # ---- retry routing -------------------------------------------------------------
 ROUTED = "delivery_id long, message_id string, attempt int, status string"
-STATE = "attempts int, closed boolean, first long"
+STATE = "messages binary"
+GROUPS = 512  # of messages, each with one state
 DAY = 86_400_000_000
 
 
-def route(deliveries: DataFrame, max_receive: int = J.MAX_RECEIVE, keep_days: int = J.KEEP_DAYS) -> DataFrame:
+def route(deliveries: DataFrame, max_receive: int = J.MAX_RECEIVE, keep_days: int = J.KEEP_DAYS, groups: int = GROUPS) -> DataFrame:
     """Attempt number and outcome of each delivery, with a counter per message as state.
 
-    The state expires by event time, ``keep_days`` after the first delivery of the message; deliveries that come
+    The counters of the messages that share a hash lie in one state, so that the cost of calling Python is paid per group
+    and not per message; ``groups`` follows the number of messages alive at a time, some thousands of messages to each.  A counter
+    expires by event time, ``keep_days`` after the first delivery of the message; deliveries that come
     later than the watermark, of the same length, are counted by the engine (numRowsDroppedByWatermark).
     """
     keep = keep_days * DAY
 
     def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        attempts, closed, first = state.get if state.exists else (0, False, None)
-        seen: list[tuple] = []  # the narrow rows of one message in one batch
-        for c in chunks:
-            seen += zip(c["t"].tolist(), c["delivery_id"].tolist(), c["failed"].tolist())
+        known = pickle.loads(state.get[0]) if state.exists else {}  # message: attempts, closed, first
+        now = state.getCurrentWatermarkMs() * 1000
         rows = []
-        for t, delivery, failed in sorted(seen):
-            if first is None or t - first >= keep:
-                attempts, closed, first = 0, False, t
-            if closed:
-                rows.append((delivery, key[0], None, "ignored"))
-                continue
-            attempts += 1
-            status = "complete" if not failed else "dlq" if attempts >= max_receive else "retrying"
-            closed = status != "retrying"
-            rows.append((delivery, key[0], attempts, status))
-        state.update((attempts, closed, first))
-        state.setTimeoutTimestamp(max((first + keep) // 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"delivery_id": [r[0] for r in rows], "message_id": [r[1] for r in rows],
-                            "attempt": pd.array([r[2] for r in rows], "Int32"), "status": [r[3] for r in rows]})
+        if not state.hasTimedOut:
+            seen: list[tuple] = []  # the narrow rows of one group in one batch
+            for c in chunks:
+                seen += zip(c["t"].tolist(), c["delivery_id"].tolist(), c["failed"].tolist(), c["message_id"].tolist())
+            for t, delivery, failed, message in sorted(seen, key=lambda r: r[:3]):
+                attempts, closed, first = known.get(message, (0, False, None))
+                if first is None or t - first >= keep:
+                    attempts, closed, first = 0, False, t
+                if closed:
+                    rows.append((delivery, message, None, "ignored"))
+                else:
+                    attempts += 1
+                    status = "complete" if not failed else "dlq" if attempts >= max_receive else "retrying"
+                    closed = status != "retrying"
+                    rows.append((delivery, message, attempts, status))
+                known[message] = attempts, closed, first
+        known = {message: s for message, s in known.items() if s[2] + keep > now}
+        if known:
+            state.update((pickle.dumps(known),))
+            state.setTimeoutTimestamp(max((min(s[2] for s in known.values()) + keep) // 1000, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
+        if rows:
+            yield pd.DataFrame({"delivery_id": [r[0] for r in rows], "message_id": [r[1] for r in rows],
+                                "attempt": pd.array([r[2] for r in rows], "Int32"), "status": [r[3] for r in rows]})
 
     narrow = deliveries.select("message_id", "delivery_id", "failed", micros(F.col("delivered_at")).alias("t"),
-                               F.col("delivered_at").cast("timestamp").alias("at")).withWatermark("at", f"{keep_days} days")
-    return narrow.groupBy("message_id").applyInPandasWithState(
+                               F.col("delivered_at").cast("timestamp").alias("at"),
+                               F.pmod(F.xxhash64("message_id"), F.lit(groups)).alias("group")).withWatermark("at", f"{keep_days} days")
+    return narrow.groupBy("group").applyInPandasWithState(
         step, ROUTED, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 

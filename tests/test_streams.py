@@ -41,6 +41,18 @@ def test_routing(spark, tmp_path):
     assert as_set(ST.route_by_batch(stream), COLUMNS) == want
 
 
+@pytest.mark.parametrize("groups", [1, 7])
+def test_messages_share_a_state_and_python_is_called_for_groups(spark, tmp_path, groups):
+    """As the batch operator says over several days; at most one state for each group."""
+    rnd = random.Random(5)
+    rows = [(i, f"m{rnd.randint(0, 40)}", rnd.random() < 0.7, T0 + timedelta(hours=i / 9)) for i in range(600)]
+    path, stream = folder(spark, tmp_path, rows, DELIVERY, 4)
+    want = as_set(J.route_deliveries(spark.read.parquet(path)), COLUMNS)
+    where = str(tmp_path / "routed")
+    assert as_set(ST.to_table(ST.route(stream, groups=groups), "routed", where), COLUMNS) == want
+    assert 1 <= spark.read.format("statestore").load(f"{where}/progress").count() <= groups
+
+
 def test_routers_agree_over_days_and_go_on_where_they_stopped(spark, tmp_path):
     """Three batches two days apart; the last comes after a stop."""
     rnd = random.Random(8)
