@@ -98,7 +98,8 @@ def _(spark, sf):
 
 
 def _messages(spark, sf):
-    return hashed(spark, sf).select("job_id", "code_hash", "file_name", "content")
+    # each file is hashed once, before its submissions
+    return D.submissions(spark, sf, U.with_hash(D.files(spark, sf))).select("job_id", "code_hash", "file_name", "content")
 
 
 @query("s03_job_stream")

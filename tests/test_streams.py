@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codesift.operators import jobs as J, reuse as U
+from codesift.sources import io
 from codesift.streaming import streams as ST
 
 T0 = datetime(2024, 1, 1)
@@ -269,3 +270,17 @@ def test_possible_hits_with_late_rows_on_both_sides(spark, tmp_path):
     assert as_set(late, ["job_id", "code_hash"]) == {(4, "b"), (None, "c"), (7, "a")}
     # 1 and 6 get their completion with the next batch; 3 and 5 are an hour or more after theirs
     assert as_set(hits, ["job_id"]) == {(1,), (2,), (6,), (8,)} and hits.count() == 4
+
+
+def test_sinks_of_whole_files_are_compressed_and_read_back(spark, tmp_path):
+    rows = [(i, f"h{i % 5}", f"f{i}.js", f"let a{i % 5} = 1;\n\t\"ü\u2028\" " * 400) for i in range(100)]
+    sent = spark.createDataFrame(rows, "job_id long, code_hash string, file_name string, content string").withColumn("user_id", F.lit(None).cast("int"))
+    queue, box = str(tmp_path / "queue"), str(tmp_path / "box")
+    io.publish(sent, queue)
+    io.write_submissions(sent, box)
+    got = as_set(ST.to_table(io.read_messages(spark, queue), "consumed"), ["jobId", "codeHash", "fileName", "fileContent"])
+    assert got == {(str(a), b, c, d) for a, b, c, d in rows}
+    assert as_set(io.read_submissions(spark, box), ["user_id", "file_name", "content"]) == {(io.DEFAULT_USER, c, d) for _, _, c, d in rows}
+    whole = sum(len(r[3].encode()) for r in rows)
+    for folder_ in (queue, box):
+        assert sum(p.stat().st_size for p in (tmp_path / folder_).glob("part-*")) < whole / 3
